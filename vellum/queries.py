@@ -1,0 +1,51 @@
+"""Named queries of the core with their SQL, as the driver's entry file lists them."""
+
+from __future__ import annotations
+
+from vellum.operators import references
+
+QUERIES = {
+    "p6_found": references.p6_found,
+    "p6_report": references.p6_report,
+}
+
+_P6 = r"""
+WITH notes_at AS (
+  SELECT path, note_id, regexp_extract(note_id, '[^/]*$') AS name, added_at AS s, coalesce(removed_at, TIMESTAMP '9999-12-31') AS e FROM notes
+), spans AS (
+  SELECT 'id:' || note_id AS k, s, e FROM notes_at
+  UNION ALL SELECT 'path:' || path, s, e FROM notes_at
+  UNION ALL SELECT 'name:' || name, s, e FROM notes_at n
+    WHERE note_id = name OR NOT EXISTS (SELECT 1 FROM notes_at r WHERE r.note_id = n.name)
+  UNION ALL SELECT 'kind:' || lower(trim(kind)), valid_from, coalesce(valid_to, TIMESTAMP '9999-12-31') FROM issue_kinds
+), cut AS (
+  SELECT *, replace(url_decode(trim(split_part(split_part(target, '#', 1), '^', 1))), '\', '/') AS address FROM wiki_links
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(address, '\.[mM][dD]$', ''), '^/', '') AS bare,
+    regexp_replace(source_path, '/?[^/]*$', '') AS folder FROM cut
+  WHERE address <> '' AND (regexp_extract(regexp_extract(address, '[^/]*$'), '^.+(\.[^.]*)$', 1) = '' OR lower(address) LIKE '%.md')
+), resolved AS (
+  SELECT *, len(regexp_extract_all(bare, '\.\./')) AS ups, string_split(folder, '/') AS parts FROM named
+), keyed AS (
+  SELECT 'wiki_links' AS tbl, 'target' AS ref_field, link_id AS row_id, seen_at AS t,
+    CASE WHEN bare LIKE '.%' THEN 'id:' || CASE WHEN len(parts) - ups > 0 AND folder <> ''
+        THEN array_to_string(parts[1:len(parts) - ups], '/') || '/' ELSE '' END || regexp_replace(bare, '^(\.\.?/)+', '')
+      WHEN bare LIKE '%/%' THEN 'id:' || bare ELSE 'name:' || bare END AS k FROM resolved
+  UNION ALL SELECT 'wiki_links', 'source_path', link_id, seen_at, 'path:' || source_path FROM wiki_links
+  UNION ALL SELECT 'link_issues', 'source_path', issue_id, reported_at, 'path:' || source_path FROM link_issues
+  UNION ALL SELECT 'link_issues', 'kind', issue_id, reported_at, 'kind:' || lower(trim(kind)) FROM link_issues
+), judged AS (
+  SELECT tbl, ref_field, row_id, t, count(s.k) AS n, count(*) FILTER (s.s <= t) AS begun,
+    count(*) FILTER (s.s <= t AND t < s.e) AS there
+  FROM keyed LEFT JOIN spans s USING (k) WHERE keyed.k IS NOT NULL GROUP BY ALL
+), found AS (
+  SELECT tbl, ref_field, row_id, strftime(t, '%Y-%m') AS ref_period,
+    CASE WHEN n = 0 THEN 'missing' WHEN begun = 0 THEN 'late' ELSE 'deleted' END AS reason
+  FROM judged WHERE there = 0
+)
+"""
+
+SQL = {
+    "p6_found": _P6 + "SELECT * FROM found",
+    "p6_report": _P6 + "SELECT tbl, ref_field, ref_period, reason, count(*) AS n_refs FROM found GROUP BY ALL",
+}
