@@ -16,9 +16,9 @@ def trim(text: Column) -> Column:
 
 def percent_decoded(text: Column) -> Column:
     """Percent-decoding; the input itself where it is malformed. ``+`` stays ``+``."""
-    plain = F.when(~text.contains("%"), text)
-    decoded = F.try_url_decode(F.regexp_replace(text, r"\+", "%2B"))
-    return F.coalesce(plain, F.when(~decoded.contains(chr(0xFFFD)) | text.contains(chr(0xFFFD)), decoded), text)
+    decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    sound = F.when(~decoded.contains(chr(0xFFFD)) | text.contains(chr(0xFFFD)), decoded)
+    return F.when(text.contains("%"), F.coalesce(sound, text)).otherwise(text)
 
 
 def normalized(path: Column) -> Column:
@@ -68,8 +68,6 @@ def is_attachment(address: Column) -> Column:
     return (found != "") & (found != ".md")
 
 
-def link_id(address: Column, source_id: Column) -> Column:
-    """The note id, or the bare name, that an address stands for."""
-    bare = F.regexp_replace(without_markdown_extension(address), "^/", "")
-    relative = normalized(F.concat_ws("/", F.nullif(dirname(source_id), F.lit("")), bare))
-    return F.when(bare.startswith("."), relative).otherwise(bare)
+def joined(folder: Column, relative: Column) -> Column:
+    """``relative`` read from ``folder``, normalised."""
+    return normalized(F.concat_ws("/", F.nullif(folder, F.lit("")), relative))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from vellum.functions import paths
 from vellum.sources.tables import table
 
-#: A key is hot from this share of all references on; so there are at most 1/HOT_SHARE hot keys.
-HOT_SHARE = 1 / 500
+#: Keys that are salted at most; every other key then holds less than 1 / MAX_HOT of the references.
+MAX_HOT = 500
 #: References of a hot key that share one salt.
 SALT_ROWS = 50_000
 MAX_SALTS = 1024
@@ -42,11 +42,9 @@ def parent_spans(df: DataFrame, key: Column, start: Column, end: Column) -> Data
 
 
 def hot_salts(references: DataFrame) -> list[tuple[str, int]]:
-    """Hot keys with their number of salts; at most ``1 / HOT_SHARE`` entries whatever the input."""
+    """Hot keys with their number of salts; at most ``MAX_HOT`` entries whatever the input."""
     counts = references.groupBy("ref_key").count()
-    total = references.count()
-    least = max(SALT_ROWS, int(total * HOT_SHARE))
-    rows = counts.filter(F.col("count") > least).collect()
+    rows = counts.filter(F.col("count") > SALT_ROWS).orderBy(F.desc("count"), "ref_key").limit(MAX_HOT).collect()
     return [(r["ref_key"], min(MAX_SALTS, -(-r["count"] // SALT_ROWS))) for r in rows]
 
 
@@ -66,7 +64,7 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     hot = hot_salts(references)
     n_salts = F.lit(1)
     if hot:
-        salts = F.broadcast(spark.createDataFrame(hot, "ref_key string, n_salts int"))  # at most 1 / HOT_SHARE rows
+        salts = F.broadcast(spark.createDataFrame(hot, "ref_key string, n_salts int"))  # at most MAX_HOT rows
         references, parents = (x.join(salts, "ref_key", "left") for x in (references, parents))
         n_salts = F.coalesce("n_salts", F.lit(1))
 
@@ -130,13 +128,19 @@ def note_name_spans(notes: DataFrame) -> DataFrame:
     return ids.unionByName(names).unionByName(files)
 
 
-def target_key(target: Column, source_path: Column) -> Column:
-    """The parent key that a link target means; null for an empty target or an attachment."""
-    address = paths.link_address(target)
-    bare = paths.link_id(address, paths.without_markdown_extension(source_path))
-    exact = bare.contains("/") | paths.without_markdown_extension(address).rlike(r"^/?\.")
-    key = F.when(exact, F.concat(F.lit("id:"), bare)).otherwise(F.concat(F.lit("name:"), bare))
-    return F.when((address == "") | paths.is_attachment(address), F.lit(None)).otherwise(key)
+def with_target_key(links: DataFrame) -> DataFrame:
+    """``links`` with ``target_key``: the parent key that ``target`` means; null for none or an attachment."""
+    address = F.col("address")
+    links = links.withColumn("address", paths.link_address(F.col("target")))
+    links = links.withColumn("bare", F.regexp_replace(paths.without_markdown_extension(address), "^/", ""))
+    bare = F.col("bare")
+    relative = F.when(bare.startswith("."), paths.joined(paths.dirname(F.col("source_path")), bare))
+    links = links.withColumn("relative", relative)
+    exact = F.coalesce("relative", F.when(bare.contains("/"), bare))
+    key = F.coalesce(F.concat(F.lit("id:"), exact), F.concat(F.lit("name:"), bare))
+    return links.withColumn(
+        "target_key", F.when((address != "") & ~paths.is_attachment(address), key)
+    ).drop("address", "bare", "relative")
 
 
 def kind_key(kind: Column) -> Column:
@@ -152,11 +156,11 @@ def vault_orphans(spark: SparkSession, folder: str) -> DataFrame:
         return F.inline(F.array(*[F.struct(F.lit(k).alias("ref_field"), v.alias("ref_key")) for k, v in keys.items()]))
 
     path_key = F.concat(F.lit("path:"), F.col("source_path"))
-    of_links = links.select(
+    of_links = with_target_key(links).select(
         F.lit("wiki_links").alias("tbl"),
         F.col("link_id").alias("row_id"),
         F.col("seen_at").alias("moment"),
-        fields(target=target_key(F.col("target"), F.col("source_path")), source_path=path_key),
+        fields(target=F.col("target_key"), source_path=path_key),
     )
     of_issues = issues.select(
         F.lit("link_issues").alias("tbl"),
