@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from vellum.llm import splitting
+from vellum.llm import leaks, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
     "p1_pieces": splitting.p1_pieces,
+    "p7_ids": tokens.p7_ids,
+    "p8_found": leaks.p8_found,
+    "p8_spans": leaks.p8_spans,
+    "p8_clean": leaks.p8_clean,
 }
 
 SQL = {
