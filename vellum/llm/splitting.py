@@ -101,57 +101,47 @@ def latin(text: Column) -> Column:
 
 
 def word_marks(text: Column) -> Column:
-    """A mark for each word, telling how strong the boundary after it is."""
-    blank, line = rf"[{BLANK}&&[^\n]]", r"\n"
-    text = F.regexp_replace(text, _HELD, " ")
-    text = F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
-    text = F.regexp_replace(text, r"[\x02-\x06]", "x")
-    text = F.regexp_replace(text, f"{blank}+", " ")
-    text = F.regexp_replace(text, rf" ?{line}[\n ]*(?=#{{1,6}} )", "\x02")
-    text = F.regexp_replace(text, rf" ?{line} ?{line}[\n ]*", "\x03")
-    text = F.regexp_replace(text, rf" ?{line} ?", "\x04")
-    text = F.regexp_replace(text, r"(?<=[.!?]) ", "\x05")
-    text = F.regexp_replace(text, " ", "\x06")
-    return F.concat(F.regexp_replace(text, r"[^\x02-\x06]+", ""), F.lit("\x06"))
-
-
-def size_of(text: Column, unit: str) -> Column:
-    if unit == "chars":
-        return F.length(text)
-    return F.octet_length(text) if unit == "bytes" else F.regexp_count(text, F.lit(f"[^{BLANK}]+"))
+    """A mark for each word, telling how strong the boundary after it is.
 
-
-def _by_unit(unit: Column, **values: Column) -> Column:
-    out = F
-    for name, value in values.items():
-        out = out.when(unit == name, value)
-    return out
+    The first step leaves one letter for each run of ordinary characters, so that the
+    others read a short string.
+    """
+    text = F.regexp_replace(text, r"[!-\"$-\-/->@-~]+", "w")
+    text = F.regexp_replace(text, r"[^\x00-\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", "w")
+    text = F.regexp_replace(text, rf"[{BLANK}\x01&&[^ \n]]+", " ")
+    text = F.regexp_replace(text, r"[\x00-\x08\x0E-\x1B\x7F]+", "w")
+    text = F.regexp_replace(text, "^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(text, r" *\n[\n ]*(?=#{1,6} )", "\x02")
+    text = F.regexp_replace(text, r" *\n *\n[\n ]*", "\x03")
+    text = F.regexp_replace(text, r" *\n *", "\x04")
+    text = F.regexp_replace(text, r"(?<=[.!?]) +", "\x05")
+    text = F.regexp_replace(text, " +", "\x06")
+    return F.concat(F.regexp_replace(text, r"[^\x02-\x06]+", ""), F.lit("\x06"))
 
 
 def cuts(df: DataFrame, id_col: str, text_col: str, known: list[Profile]) -> DataFrame:
     """Each row and profile where the text is too large, with ``steps``: the sizes of its cuts."""
-    text = F.col("text")
-
-    def over(p: Profile) -> Column:
-        larger = size_of(text, p.size_unit) > p.max_size
-        # n words take 2n - 1 characters at least: most texts need no counting
-        return (F.length(text) > 2 * p.max_size) & larger if p.size_unit == "words" else larger
-
-    fits = F.array_compact(F.array(*[F.when(over(p), F.lit(p.profile_id)) for p in known]).cast("array<int>"))
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    rows = rows.filter(F.length("text") > min(p.max_size for p in known) // 4) if known else rows.limit(0)
-    rows = rows.select("row_id", "text", fits.alias("fits")).filter(F.size("fits") > 0)
-    rows = rows.select("row_id", "text", held(text).alias("held"), F.explode("fits").alias("profile_id"))
-    subject = {"chars": F.col("held"), "bytes": latin(F.col("held")), "words": word_marks(F.col("held"))}
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
+    if not known:
+        return rows.limit(0).select("row_id", F.lit(0).alias("profile_id"), "text", F.array().cast("array<int>").alias("steps"))
+    text, words = F.col("text"), [p.max_size for p in known if p.size_unit == "words"]
+    # n words take 2n - 1 characters at least: most texts need no counting
+    marks = F.when(F.length("text") > 2 * min(words), word_marks(F.col("held"))) if words else F.lit("")
+    size = {"chars": F.length("text"), "bytes": F.octet_length("text"), "words": F.coalesce(F.length("marks"), F.lit(0))}
+    fits = F.array(*[F.when(size[p.size_unit] > p.max_size, F.lit(p.profile_id)) for p in known])
+    rows = (
+        rows.filter(text.isNotNull() & (F.octet_length("text") > min(p.max_size for p in known)))
+        .select("row_id", "text", held(text).alias("held"))
+        .select("*", marks.alias("marks"))
+        .select("*", F.explode_outer(fits).alias("profile_id"))
+        .filter(F.col("profile_id").isNotNull())
+    )
+    subject = {"chars": F.col("held"), "bytes": latin(F.col("held")), "words": F.col("marks")}
     found = F
     for p in known:
-        found = found.when(
-            F.col("profile_id") == p.profile_id,
-            F.transform(F.regexp_extract_all(subject[p.size_unit], F.lit(p.pattern), F.lit(0)), F.length),
-        )
-    return rows.select("row_id", "profile_id", "text", found.alias("steps")) if known else rows.select(
-        "row_id", "profile_id", "text", F.array().cast("array<int>").alias("steps")
-    )
+        cores = F.regexp_extract_all(subject[p.size_unit], F.lit(p.pattern), F.lit(0))
+        found = found.when(F.col("profile_id") == p.profile_id, F.transform(cores, F.length))
+    return rows.select("row_id", "profile_id", "text", found.alias("steps"))
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, known: list[Profile]) -> DataFrame:
