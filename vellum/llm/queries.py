@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import leaks, splitting, tokens
+from vellum.llm import languages, leaks, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p8_found": leaks.p8_found,
     "p8_spans": leaks.p8_spans,
     "p8_clean": leaks.p8_clean,
+    "p9_found": languages.p9_found,
+    "p9_languages": languages.p9_languages,
 }
 
 SQL = {
