@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import languages, leaks, splitting, tokens
+from vellum.llm import languages, leaks, lookalikes, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
     "p1_pieces": splitting.p1_pieces,
+    "p3_found": lookalikes.p3_found,
+    "p3_classes": lookalikes.p3_classes,
+    "p3_texts": lookalikes.p3_texts,
     "p7_ids": tokens.p7_ids,
     "p8_found": leaks.p8_found,
     "p8_spans": leaks.p8_spans,
