@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import languages, leaks, lookalikes, splitting, tokens
+from vellum.llm import languages, leaks, lookalikes, privacy, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_found": lookalikes.p3_found,
     "p3_classes": lookalikes.p3_classes,
     "p3_texts": lookalikes.p3_texts,
+    "p4_found": privacy.p4_found,
+    "p4_texts": privacy.p4_texts,
     "p7_ids": tokens.p7_ids,
     "p8_found": leaks.p8_found,
     "p8_spans": leaks.p8_spans,
