@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import languages, leaks, lookalikes, privacy, splitting, tokens
+from vellum.llm import boilerplate, languages, leaks, lookalikes, privacy, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p3_texts": lookalikes.p3_texts,
     "p4_found": privacy.p4_found,
     "p4_texts": privacy.p4_texts,
+    "p5_found": boilerplate.p5_found,
+    "p5_articles": boilerplate.p5_articles,
     "p7_ids": tokens.p7_ids,
     "p8_found": leaks.p8_found,
     "p8_spans": leaks.p8_spans,
