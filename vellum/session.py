@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "vellum", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = configured or os.path.join(tempfile.gettempdir(), "vellum-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there.
+
+    The table is new at every call; the folder's owner clears it with the checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
