@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import boilerplate, languages, leaks, lookalikes, privacy, splitting, tokens
+from vellum.llm import boilerplate, languages, leaks, lookalikes, privacy, scans, splitting, tokens
 
 QUERIES = {
     "p1_found": splitting.p1_found,
     "p1_pieces": splitting.p1_pieces,
+    "p2_found": scans.p2_found,
+    "p2_texts": scans.p2_texts,
     "p3_found": lookalikes.p3_found,
     "p3_classes": lookalikes.p3_classes,
     "p3_texts": lookalikes.p3_texts,
