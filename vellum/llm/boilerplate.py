@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.session import written
 from vellum.sources.tables import table
 
 #: Pages of the labelled table at most; depth and smallest leaf of the tree.
@@ -41,11 +42,12 @@ _FIRST = re.compile(r"<(\w+)")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I)
 _OPENS = re.compile(r"^\s*<(p|li|div|blockquote|td|h[1-6]|figcaption|dd|dt)\b[^>]*>(?=.*\S)", re.I)
 _HIDDEN = re.compile(r"<(script|style|noscript|template|head)\b.*?</\1>|<!--.*?-->", re.I | re.S)
+_HIDES = re.compile(r"<(?:script|style|noscript|template|head)\b|<!--", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
 _MAIN = re.compile(r"<(/?)(main|article)\b", re.I)
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _MARK = re.compile(r"^(?:[-*+]|\d+[.)])\s+")
-_DIGITS, _NAME = re.compile(r"\d+"), re.compile(r"(?<=[ \"'(«„])[^\W\d_a-zà-öø-ÿа-яё][\w'’-]*(?: [^\W\d_a-zà-öø-ÿа-яё][\w'’-]*)*")
+_DIGITS = re.compile(r"\d+")
 _SEPARATOR = re.compile(r" (?:[›>/·|»]) ")
 _ENDS = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*$")
 _KIND_OF = {"li": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "td": 3, "tr": 3, "th": 3, "button": 4, "a": 4, "span": 4, "blockquote": 5}
@@ -60,11 +62,17 @@ def html_blocks(body: str) -> tuple[list, set[str]]:
     titles = {t.strip() for m in _TITLE.findall(body) for t in (html.unescape(m), html.unescape(m).rpartition(" - ")[0]) if t.strip()}
     marked = bool(_MAIN.search(body))
     out, depth, pending = [], 0, None
-    for no, line in enumerate(_HIDDEN.sub(_blank, body).split("\n"), 1):
-        for m in _MAIN.finditer(line):
-            depth += -1 if m.group(1) else 1
+    at = max(0, body.find("<body"))
+    skipped = body.count("\n", 0, at)
+    shown = body[at:]
+    if _HIDES.search(shown):
+        shown = _HIDDEN.sub(_blank, shown)
+    for no, line in enumerate(shown.split("\n"), 1 + skipped):
+        if marked and ("main" in line or "article" in line):
+            for m in _MAIN.finditer(line):
+                depth += -1 if m.group(1) else 1
         text = _TAG.sub(" ", line) if "<" in line else line
-        text = " ".join(html.unescape(text).split())
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
         if pending is not None and text:
             block = out[pending]
             block[1], block[2] = no - block[0] + 1, f"{block[2]} {text}"
@@ -118,11 +126,13 @@ def markdown_blocks(text: str) -> tuple[list, set[str]]:
     return out, titles
 
 
-def block_key(text: str) -> str:
+def block_key(text: str, ends: bool) -> str:
     """Equal for blocks whose first words differ in numbers, names and punctuation only; short blocks count whole."""
-    words = _DIGITS.sub("9", _NAME.sub("X", text)).split(" ", HEAD_WORDS)
-    kind = ("" if len(words) <= HEAD_WORDS else " ...") + (" !" if _ENDS.search(text) else "")
-    return " ".join(w.strip(".,;:") for w in words[:HEAD_WORDS]) + kind
+    words = text.split(" ", HEAD_WORDS)
+    head = [w.strip(".,;:") for w in words[:HEAD_WORDS]]
+    head[1:] = ["X" if w[:1].isupper() else w for w in head[1:]]
+    shown = _DIGITS.sub("9", " ".join(head))
+    return shown + (" ..." if len(words) > HEAD_WORDS else "") + (" !" if ends else "")
 
 
 _BLOCK = T.StructType(
@@ -148,16 +158,15 @@ def _features(tbl: str, row_id: int, body: str, title: str | None) -> list[tuple
     blocks, titles = html_blocks(body) if markup else markdown_blocks(body)
     if title:
         titles.add(title.strip())
-    parts = [len(_SEPARATOR.findall(b[2])) for b in blocks]
+    parts = [len(_SEPARATOR.findall(b[2])) if _SEPARATOR.search(b[2]) else 0 for b in blocks]
     for b, n in zip(blocks, parts, strict=True):
         if n:
             titles.add(_SEPARATOR.split(b[2])[-1])
     out = []
     for (no, lines, text, kind, linked, inside), n in zip(blocks, parts, strict=True):
-        out.append(
-            (tbl, row_id, no, lines, block_key(text), len(text.split()), min(1.0, linked / len(text)), kind,
-             int(bool(_ENDS.search(text))), n, int(text in titles and kind != 1), inside)
-        )
+        ends = bool(_ENDS.search(text[-6:]))
+        words = text.count(" ") + 1
+        out.append((tbl, row_id, no, lines, block_key(text, ends), words, min(1.0, linked / len(text)), kind, int(ends), n, int(text in titles and kind != 1), inside))
     return out
 
 
@@ -286,7 +295,7 @@ def labelled_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def furniture(pages: DataFrame) -> DataFrame:
     """``(tbl, row_id, line_no)`` of lines of pages ``(tbl, row_id, body, title)`` that are no part of the article."""
-    rows = with_shares(blocks(pages)).withColumn("plain", F.lit(0))
+    rows = with_shares(written(blocks(pages), "page-blocks")).withColumn("plain", F.lit(0))
     x, y = labelled_table(rows)
     score = expression(grown(x, y)) if len(y) else F.when((F.col("density") > 0.5) | (F.col("words") < 4), 1.0).otherwise(0.0)
     found = with_neighbours(rows).filter(score >= 0.5)
