@@ -302,7 +302,11 @@ def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind", "field_name"))).alias("spans")
     )
     rows = entries.join(spans, "entry_row_id", "left")
-    cleaned = {c: replaced(F.col(c), F.filter("spans", lambda s, c=c: s["field_name"] == c)) for c in ("text", "handle")}
+
+    def own(column: str):
+        return F.filter("spans", lambda s: s["field_name"] == column)
+
+    cleaned = {c: replaced(F.col(c), own(c)) for c in ("text", "handle")}
     return rows.select("entry_row_id", *[v.alias(c) for c, v in cleaned.items()])
 
 
