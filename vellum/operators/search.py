@@ -37,7 +37,11 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 10) -
     if not wanted or not 1 <= k <= MAX_HITS:
         raise ValueError("a query needs a term and 1 to 100 hits")
     rows = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("terms")).filter(F.size("terms") > 0)
-    counts = [F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"tf_{i}") for i, w in enumerate(wanted)]
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("terms", lambda t: t == word))
+
+    counts = [times(w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
     rows = rows.select("doc_id", F.size("terms").alias("length"), *counts)
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))]

@@ -2,12 +2,376 @@
 
 from __future__ import annotations
 
-from vellum.operators import references
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import redaction, urls
+from vellum.operators import assets, captures, graph, pdf, references, search, threads, traverse
+from vellum.operators import notes as note_ops
+from vellum.plans import query as plans
+from vellum.sources.tables import table
+from vellum.streaming import jobs
+
+BM25_QUERY = "harbor survey glossary"
+
+
+def live_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that are still in the vault, the first row of each path."""
+    rows = table(spark, folder, "notes").filter("removed_at IS NULL AND path IS NOT NULL")
+    columns = {"note_id": "id", "title": "title", "aliases": "aliases", "tags": "tags", "metadata": "metadata", "summary": "summary", "content": "content"}
+    first = F.min_by(F.struct(*[F.col(a).alias(b) for a, b in columns.items()]), "note_row_id").alias("n")
+    return rows.groupBy("path").agg(F.min("note_row_id").alias("scan_ordinal"), first).select("scan_ordinal", "path", "n.*")
+
+
+def live_links(spark: SparkSession, folder: str, notes: DataFrame) -> DataFrame:
+    """Links of those notes, the first row of each place."""
+    rows = table(spark, folder, "wiki_links").filter("source_path IS NOT NULL AND ordinal IS NOT NULL")
+    first = F.min_by(F.struct("target", F.col("line_no").alias("line"), "embedded"), "link_id").alias("l")
+    rows = rows.groupBy("source_path", "ordinal").agg(first).select("source_path", "ordinal", "l.*")
+    sources = notes.select(F.col("path").alias("source_path"), F.col("id").alias("source_id"), F.col("scan_ordinal").alias("source_ordinal"))
+    return rows.join(sources, "source_path").withColumn("target", F.coalesce("target", F.lit("")))
+
+
+def vault_graph(spark: SparkSession, folder: str) -> graph.Analysis:
+    notes = live_notes(spark, folder)
+    return graph.Analysis(notes, live_links(spark, folder, notes))
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """Rows of a bounded result with their place in it."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+# --- notes and lists --------------------------------------------------------
+
+
+def note_parse(spark, folder):
+    """Every note's text parsed: counts of links, prose and metadata; malformed ones with their error."""
+    files = table(spark, folder, "notes").select(F.col("note_row_id").alias("scan_ordinal"), "path", "content")
+    rows = note_ops.parse_notes(files, on_error="quarantine")
+    embeds = F.size(F.filter("links", lambda x: x["embedded"]))
+    return rows.select("scan_ordinal", "path", "title", F.size("links").alias("n_links"), embeds.alias("n_embedded"), F.length("searchable_text").alias("n_prose"), "summary", "error")
+
+
+def note_links(spark, folder):
+    """Links read from the notes' own texts."""
+    files = table(spark, folder, "notes").select(F.col("note_row_id").alias("scan_ordinal"), "path", "content")
+    return note_ops.raw_links(note_ops.parse_notes(files, on_error="quarantine", content=False).filter("error IS NULL"))
+
+
+def tag_counts(spark, folder):
+    tags = F.explode(F.array_distinct(F.transform("tags", plans.normalized_tag))).alias("tag")
+    return live_notes(spark, folder).select(tags).filter("tag != ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+def _listed(spark, folder, query):
+    return plans.run(live_notes(spark, folder), query)
+
+
+def list_equals(spark, folder):
+    return _listed(spark, folder, plans.Query([plans.Equals("status", "Draft")])).select("path")
+
+
+def list_number(spark, folder):
+    return _listed(spark, folder, plans.Query([plans.Equals("priority", 3)])).select("path")
+
+
+def list_exists(spark, folder):
+    return _listed(spark, folder, plans.Query([plans.Exists("Priority")])).select("path")
+
+
+def list_tags_all(spark, folder):
+    return _listed(spark, folder, plans.Query(tags=["#inbox", "Method"])).select("path")
+
+
+def list_sort_mixed(spark, folder):
+    """The fifty notes of highest priority: types in rank order, missing values last."""
+    rows = _listed(spark, folder, plans.Query(sort=plans.Sort("priority", True, True), limit=50))
+    return rows.select("path", F.monotonically_increasing_id().cast("int").alias("place"))
+
+
+def list_most_linked(spark, folder):
+    """The twenty content notes with most links to them."""
+    g = vault_graph(spark, folder)
+    rows = plans.run(g.notes, plans.Query(sort=plans.Sort("inbound", True), limit=20), g.degrees)
+    return rows.select("path", "inbound", "outbound")
+
+
+# --- graph ------------------------------------------------------------------
+
+
+def link_kinds(spark, folder):
+    return vault_graph(spark, folder).resolved.groupBy("kind").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def edges(spark, folder):
+    return vault_graph(spark, folder).edges.select("source", "target", "line")
+
+
+def backlinks(spark, folder):
+    return vault_graph(spark, folder).backlinks
+
+
+def degrees(spark, folder):
+    return vault_graph(spark, folder).degrees
+
+
+def graph_issues(spark, folder):
+    return vault_graph(spark, folder).issues
+
+
+def issue_candidates(spark, folder):
+    g = vault_graph(spark, folder)
+    return graph.candidates(g.issues, g.notes)
+
+
+def orphans(spark, folder):
+    return vault_graph(spark, folder).orphans
+
+
+def mentions(spark, folder):
+    """Notes named in another's prose but not linked."""
+    g = vault_graph(spark, folder)
+    files = g.notes.select("scan_ordinal", "path", "content")
+    texts = note_ops.parse_notes(files, on_error="quarantine").select("path", "searchable_text")
+    return graph.mentions(g.notes.join(texts, "path"), g.edges)
+
+
+def graph_summary(spark, folder):
+    return vault_graph(spark, folder).summary()
+
+
+def catalog_sections(spark, folder):
+    return graph.catalog_rows(live_notes(spark, folder).withColumn("properties", F.create_map().cast("map<string,string>"))).groupBy("section").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+def _around(spark, folder, direction, depth):
+    """From the first note that links anywhere."""
+    g = vault_graph(spark, folder)
+    start = g.edges.agg(F.min("source")).first()[0] or ""
+    return traverse.neighborhood(g.notes, g.edges, start, direction, depth, traverse.MAX_NODES).nodes
+
+
+def neighborhood_out_d2(spark, folder):
+    return _around(spark, folder, "out", 2)
+
+
+def neighborhood_out_d3(spark, folder):
+    return _around(spark, folder, "out", 3)
+
+
+# --- search -----------------------------------------------------------------
+
+
+def bm25_topk(spark, folder):
+    rows = search.bm25(table(spark, folder, "documents"), "doc_id", "text", BM25_QUERY, 20)
+    return rows.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def posting_counts(spark, folder):
+    rows = search.postings(table(spark, folder, "documents"), "doc_id", "text")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def vector_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = search.nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    return rows.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def index_changes(spark, folder):
+    """What an index of the first year's notes lacks now."""
+    notes = table(spark, folder, "notes").filter("path IS NOT NULL")
+    old = notes.filter("added_at < TIMESTAMP_NTZ '2025-01-01' AND (removed_at IS NULL OR removed_at >= TIMESTAMP_NTZ '2025-01-01')")
+
+    def listing(rows):
+        return rows.groupBy("path").agg(F.sha2(F.min_by(F.coalesce("content", F.lit("")), "note_row_id"), 256).alias("sha256"))
+
+    diff = search.index_diff(listing(old), listing(notes.filter("removed_at IS NULL")))
+    return diff.groupBy("state").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+def search_hits(spark, folder):
+    """Hits of the notes with line and snippet."""
+    notes = live_notes(spark, folder)
+    hits = search.bm25(notes, "path", "content", "kiln catalog", 10).withColumnRenamed("doc_id", "path").join(notes.select("path", "content"), "path")
+    at = search.snippet_offset(F.col("content"), "kiln catalog")
+    return hits.select("path", search.hit_line(F.col("content"), at).alias("line"), search.snippet(F.col("content"), at).alias("snippet"))
+
+
+# --- pages ------------------------------------------------------------------
+
+
+def url_classify(spark, folder):
+    rows = table(spark, folder, "capture_outcomes")
+    return rows.select("capture_id", urls.classified(F.col("source_url"))["platform"].alias("platform"), urls.canonical(F.col("source_url")).alias("canonical"))
+
+
+def capture_slugs(spark, folder):
+    rows = table(spark, folder, "capture_outcomes")
+    title = F.regexp_extract("markdown", r"(?m)^# (.+)$", 1)
+    return rows.select("capture_id", urls.with_id(urls.slugs(title), urls.classified(F.col("source_url"))["content_id"]).alias("slug"))
+
+
+def page_words(spark, folder):
+    return table(spark, folder, "acquisitions").select("page_id", captures.word_count(F.col("body")).alias("n_words"))
+
+
+def page_titles(spark, folder):
+    title = captures.plain_title(F.col("browser_title"), F.coalesce("body", F.lit("")), F.col("final_url"))
+    return table(spark, folder, "acquisitions").select("page_id", title.alias("title"))
+
+
+def capture_markers(spark, folder):
+    marks = captures.marker_counts(F.col("markdown"))
+    return table(spark, folder, "capture_outcomes").filter("markdown IS NOT NULL").select("capture_id", *[v.alias(k) for k, v in marks.items()])
+
+
+def _judged(spark, folder):
+    rows = table(spark, folder, "capture_outcomes")
+    verdict = captures.status(F.col("markdown"), F.lit(None).cast("string"), F.col("capture_scope"), F.lit(False))
+    return rows.withColumn("verdict", verdict)
+
+
+def capture_status(spark, folder):
+    return _judged(spark, folder).select("capture_id", "verdict")
+
+
+def capture_quality(spark, folder):
+    score = captures.quality(F.col("markdown"), F.col("verdict"), F.col("captured_items"), F.col("acquisition_method"), F.lit("text/html"))
+    return _judged(spark, folder).select("capture_id", score.cast("bigint").alias("score"))
+
+
+def page_best_candidate(spark, folder):
+    """Of the captures of a page the best by status, then words, then order."""
+    rows = table(spark, folder, "capture_outcomes").filter("page_id IS NOT NULL")
+    rows = rows.select("page_id", "capture_id", "status", F.coalesce("word_count", F.lit(0)).alias("score"))
+    return captures.best_candidates(rows, "page_id", "capture_id").select("page_id", "capture_id", "status")
+
+
+def capture_manifests(spark, folder):
+    return assets.manifest(table(spark, folder, "capture_outcomes"))
+
+
+def redacted_texts(spark, folder):
+    """Captured texts in which credentials were found."""
+    rows = table(spark, folder, "captured_entries").filter("text IS NOT NULL")
+    rows = rows.select("entry_row_id", redaction.redacted("text").alias("r"))
+    return rows.filter("r.count > 0").select("entry_row_id", "r.text", "r.count")
+
+
+def content_dedupe(spark, folder):
+    """Documents by content: the first of each text and how many there are."""
+    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return rows.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+
+
+# --- threads ----------------------------------------------------------------
+
+
+def _entries(spark, folder):
+    return threads.distinct_entries(table(spark, folder, "captured_entries"))
+
+
+def thread_counts(spark, folder):
+    return threads.thread_counts(_entries(spark, folder))
+
+
+def thread_depths(spark, folder):
+    return threads.linked(_entries(spark, folder)).groupBy("thread_id").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_entries"))
+
+
+def thread_render(spark, folder):
+    rows = threads.rendered(threads.linked(_entries(spark, folder)))
+    return rows.select("thread_id", "n_lines", F.length("markdown").alias("n_chars"))
+
+
+# --- PDF --------------------------------------------------------------------
+
+
+def _fragments(spark, folder):
+    """One fragment a place: of repeated records the first."""
+    rows = table(spark, folder, "pdf_fragments")
+    columns = [c for c in rows.columns if c not in ("pdf_id", "page_no", "ordinal", "fragment_id")]
+    first = F.min_by(F.struct("fragment_id", *columns), "fragment_id").alias("f")
+    return rows.filter("text IS NOT NULL").groupBy("pdf_id", "page_no", "ordinal").agg(first).select("pdf_id", "page_no", "ordinal", "f.*")
+
+
+def _pdf_lines(spark, folder):
+    return pdf.visual_lines(_fragments(spark, folder))
+
+
+def pdf_body_sizes(spark, folder):
+    return pdf.body_sizes(_pdf_lines(spark, folder))
+
+
+def pdf_heading_levels(spark, folder):
+    lines = _pdf_lines(spark, folder)
+    return pdf.heading_levels(lines, pdf.body_sizes(lines))
+
+
+def pdf_margins(spark, folder):
+    return pdf.repeated_margins(_pdf_lines(spark, folder))
+
+
+def pdf_layout(spark, folder):
+    return pdf.layout_blocks(_pdf_lines(spark, folder))
+
+
+def pdf_markdown(spark, folder):
+    return pdf.markdown(pdf_layout(spark, folder)).select("pdf_id", F.length("markdown").alias("n_chars"))
+
+
+def _words(spark, folder):
+    """Printed lines as recognised words, a confidence by their length."""
+    rows = table(spark, folder, "pdf_fragments").filter("text IS NOT NULL")
+    word = F.posexplode(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("word", "text")
+    rows = rows.select(F.col("pdf_id").alias("image_id"), F.col("page_no").alias("page"), F.lit(1).alias("block"), F.lit(1).alias("paragraph"), F.col("fragment_id").alias("line_no"), word)
+    return rows.withColumn("confidence", (F.lit(40) + F.pmod(F.length("text"), F.lit(50))).cast("double"))
+
+
+def ocr_quality(spark, folder):
+    rows = pdf.ocr_quality(_words(spark, folder))
+    return rows.select("image_id", "words", F.round("confidence", 6).alias("confidence"), "substantive")
+
+
+def ocr_lines(spark, folder):
+    return pdf.ocr_lines(_words(spark, folder)).select("line_no", "text")
+
+
+# --- events -----------------------------------------------------------------
+
+
+def _events(spark, folder):
+    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _shown(rows, column):
+    return rows.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")).withColumn("sum_value", F.round("sum_value", 4))
+
+
+def events_tumbling(spark, folder):
+    return _shown(jobs.tumbling(_events(spark, folder)), "window_start")
+
+
+def events_sliding(spark, folder):
+    return jobs.sliding(_events(spark, folder)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def events_sessions(spark, folder):
+    return _shown(jobs.sessions(_events(spark, folder)), "session_start")
+
 
 QUERIES = {
-    "p6_found": references.p6_found,
-    "p6_report": references.p6_report,
-}
+    f.__name__: f
+    for f in (
+        note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
+        degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, bm25_topk,
+        posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
+        capture_quality, page_best_candidate, capture_manifests, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, pdf_body_sizes,
+        pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
+    )
+} | {"p6_found": references.p6_found, "p6_report": references.p6_report}
 
 _P6 = r"""
 WITH notes_at AS (
@@ -45,7 +409,160 @@ WITH notes_at AS (
 )
 """
 
+_LIVE = r"""
+live AS (
+  SELECT note_row_id, path, note_id AS id, regexp_extract(note_id, '[^/]*$') AS base, title, tags, metadata, content
+  FROM notes WHERE removed_at IS NULL AND path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY note_row_id) = 1
+)"""
+
+_GRAPH = "WITH " + _LIVE + r""", first_links AS (
+  SELECT source_path, ordinal, coalesce(target, '') AS target, line_no AS line FROM wiki_links WHERE source_path IS NOT NULL AND ordinal IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source_path, ordinal ORDER BY link_id) = 1
+), addressed AS (
+  SELECT l.*, n.id AS source_id, n.note_row_id AS source_ordinal,
+    replace(url_decode(trim(split_part(split_part(target, '#', 1), '^', 1))), '\', '/') AS address
+  FROM first_links l JOIN live n ON n.path = l.source_path
+), bared AS (
+  SELECT *, regexp_replace(regexp_replace(address, '\.[mM][dD]$', ''), '^/', '') AS bare, regexp_replace(source_id, '/?[^/]*$', '') AS folder FROM addressed
+), parted AS (
+  SELECT *, len(regexp_extract_all(bare, '\.\./')) AS ups, string_split(folder, '/') AS parts FROM bared
+), wanted AS (
+  SELECT *, bare LIKE '.%' AS relative, CASE WHEN bare LIKE '.%' THEN
+    CASE WHEN len(parts) - ups > 0 AND folder <> '' THEN array_to_string(parts[1:len(parts) - ups], '/') || '/' ELSE '' END || regexp_replace(bare, '^(\.\.?/)+', '')
+    ELSE bare END AS wanted FROM parted
+), ids AS (SELECT DISTINCT id FROM live), names AS (SELECT base, count(DISTINCT id) AS bearers, min(id) AS sole FROM live GROUP BY base),
+kinds AS (
+  SELECT w.*, CASE WHEN NOT relative AND wanted NOT LIKE '%/%' THEN coalesce(bearers, 0) ELSE 0 END AS b, i.id IS NOT NULL AS known, sole FROM wanted w
+  LEFT JOIN ids i ON i.id = w.wanted LEFT JOIN names n ON n.base = w.wanted
+), resolved AS (
+  SELECT *, CASE WHEN address = '' THEN 'note'
+    WHEN regexp_extract(regexp_extract(address, '[^/]*$'), '^.+(\.[^.]*)$', 1) NOT IN ('', '.md', '.MD') THEN 'attachment'
+    WHEN known OR b = 1 THEN 'note' WHEN b > 1 THEN 'ambiguous' ELSE 'broken' END AS kind,
+    CASE WHEN address = '' THEN source_id WHEN known THEN wanted ELSE sole END AS target_id FROM kinds
+), edges AS (
+  SELECT source_id, source_path AS source, target_id, target_id || '.md' AS "target", line FROM resolved
+  WHERE kind = 'note' AND source_id <> target_id AND source_id <> 'index' AND target_id <> 'index'
+  QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY source_ordinal, ordinal) = 1
+), inbound AS (SELECT target_id AS id, count(*) AS n FROM edges GROUP BY 1), outbound AS (SELECT source_id AS id, count(*) AS n FROM edges GROUP BY 1),
+degrees AS (
+  SELECT id, path, coalesce(i.n, 0) AS inbound, coalesce(o.n, 0) AS outbound FROM live LEFT JOIN inbound i USING (id) LEFT JOIN outbound o USING (id) WHERE id <> 'index'
+), issues AS (
+  SELECT kind, source_path AS source, line, "target", CASE WHEN kind = 'ambiguous' THEN b ELSE 0 END AS n_candidates, bare FROM resolved WHERE kind IN ('broken', 'ambiguous')
+), orphans AS (SELECT path FROM live WHERE id <> 'index' AND id NOT IN (SELECT source_id FROM edges UNION SELECT target_id FROM edges))
+"""
+
+
+def _reach(depth: int) -> str:
+    walk = f"""
+, walk AS (
+  SELECT min(source) AS path, 0 AS distance FROM edges
+  UNION SELECT e."target", w.distance + 1 FROM walk w JOIN edges e ON e.source = w.path WHERE w.distance < {depth} AND e."target" IN (SELECT path FROM live)
+)
+SELECT path, min(distance)::INT AS distance FROM walk GROUP BY path"""
+    return _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + walk
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_WORDS = r"'[^\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+'"
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_STATUS = rf"""
+SELECT *, CASE WHEN markdown IS NULL THEN 'unsupported'
+  WHEN units <= 4096 AND words <= 160 AND NOT regexp_matches(seen, {_q(captures.DISCUSSION)})
+    AND ((words <= 24 AND regexp_matches(markdown, {_q(captures.BLOCKED_LINE)}))
+      OR (regexp_matches(markdown, {_q(captures.BLOCKED)}) AND regexp_matches(markdown, {_q(captures.BLOCKED_CONTEXT)}))) THEN 'blocked'
+  WHEN regexp_matches(seen, {_q(captures.SIGN_IN)}) AND units < 1500 THEN 'auth-required'
+  WHEN regexp_matches(seen, {_q(captures.SHELL)}) AND units < 500 THEN 'unsupported'
+  WHEN length(trim(markdown, chr(9) || chr(10) || chr(13) || ' ')) < 40 THEN 'unsupported'
+  WHEN regexp_matches(seen, {_q(captures.SIGN_IN)}) OR capture_scope IN ('thread', 'comments') THEN 'partial' ELSE 'complete' END AS verdict
+FROM (SELECT *, chr(10) || markdown AS seen, length(markdown) AS units, len(regexp_extract_all(markdown, {_WORDS})) AS words FROM capture_outcomes)"""
+_MARKS = r"least(len(regexp_extract_all(markdown, '!\[[^\]\n]*\]\([^)\n]*\)')), 100) AS images, least(len(regexp_extract_all(markdown, '\[[^\]\n]*\]\([^)\n]*\)')) - len(regexp_extract_all(markdown, '!\[[^\]\n]*\]\([^)\n]*\)')), 500) AS links"
+_ENTRIES = "first_entries AS (SELECT * FROM captured_entries QUALIFY row_number() OVER (PARTITION BY thread_id, entry_id ORDER BY captured_at, entry_row_id) = 1)"
+_FRAGMENTS = "f AS (SELECT * FROM pdf_fragments WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_id, page_no, ordinal ORDER BY fragment_id) = 1)"
+_BODY = _FRAGMENTS + ", weights AS (SELECT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size, sum(length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g')))) AS chars FROM f GROUP BY ALL), bodies AS (SELECT pdf_id, size AS body_size FROM weights QUALIFY row_number() OVER (PARTITION BY pdf_id ORDER BY chars DESC, size) = 1)"
+
 SQL = {
+    "tag_counts": "WITH " + _LIVE + r", t AS (SELECT DISTINCT path, lower(regexp_replace(trim(unnest(tags)), '^#+', '')) AS tag FROM live) SELECT tag, count(*) AS n_notes FROM t WHERE tag <> '' GROUP BY 1",
+    "list_equals": "WITH " + _LIVE + "SELECT path FROM live WHERE lower(json_extract_string(metadata, '$.status')) = 'draft'",
+    "list_number": "WITH " + _LIVE + "SELECT path FROM live WHERE json_type(metadata, '$.priority') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_extract_string(metadata, '$.priority')::DOUBLE = 3",
+    "list_exists": "WITH " + _LIVE + "SELECT path FROM live WHERE json_exists(metadata, '$.priority')",
+    "list_tags_all": "WITH " + _LIVE + r", t AS (SELECT path, [lower(regexp_replace(trim(x), '^#+', '')) for x in tags] AS own FROM live) SELECT path FROM t WHERE list_contains(own, 'inbox') AND list_contains(own, 'method')",
+    "list_sort_mixed": "WITH " + _LIVE + r""", v AS (
+  SELECT path, note_row_id, json_type(metadata, '$.priority') AS t, json_extract_string(metadata, '$.priority') AS p FROM live
+), r AS (
+  SELECT *, CASE WHEN t = 'NULL' THEN 0 WHEN t = 'BOOLEAN' THEN 1 WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 2 WHEN t = 'VARCHAR' THEN 3 END AS rank FROM v
+)
+SELECT path, (row_number() OVER (ORDER BY t IS NULL, rank DESC NULLS LAST, CASE WHEN rank = 2 THEN p::DOUBLE END DESC NULLS LAST,
+  CASE WHEN rank = 3 THEN lower(p) END DESC NULLS LAST, lower(path), note_row_id) - 1)::INT AS place FROM r QUALIFY place < 50""",
+    "list_most_linked": _GRAPH + "SELECT path, inbound, outbound FROM degrees JOIN live USING (id, path) ORDER BY inbound DESC, lower(path), note_row_id LIMIT 20",
+    "link_kinds": _GRAPH + "SELECT kind, count(*) AS n_links FROM resolved GROUP BY 1",
+    "edges": _GRAPH + 'SELECT source, "target", line FROM edges',
+    "backlinks": _GRAPH + 'SELECT "target", source, line FROM edges',
+    "degrees": _GRAPH + "SELECT * FROM degrees",
+    "graph_issues": _GRAPH + 'SELECT kind, source, line, "target", n_candidates FROM issues',
+    "issue_candidates": _GRAPH + """SELECT source, line, "target", c.id AS candidate FROM issues JOIN (SELECT DISTINCT id, base FROM live) c ON c.base = bare WHERE kind = 'ambiguous'""",
+    "orphans": _GRAPH + "SELECT path FROM orphans",
+    "graph_summary": _GRAPH + """SELECT 'notes' AS what, count(*) AS n FROM live WHERE id <> 'index' UNION ALL SELECT 'edges', count(*) FROM edges
+UNION ALL SELECT k, (SELECT count(*) FROM issues WHERE kind = k) FROM (VALUES ('broken'), ('ambiguous')) v(k) UNION ALL SELECT 'orphans', count(*) FROM orphans""",
+    "catalog_sections": "WITH " + _LIVE + "SELECT CASE WHEN id LIKE '%/%' THEN split_part(id, '/', 1) ELSE 'Notes' END AS section, count(*) AS n_notes FROM live WHERE id <> 'index' GROUP BY 1",
+    "neighborhood_out_d2": _reach(2),
+    "neighborhood_out_d3": _reach(3),
+    "bm25_topk": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
+q AS (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term), tf AS (SELECT doc_id, dl, term, len([t for t in terms if t = term])::DOUBLE AS tf FROM n, q),
+s AS (SELECT count(*)::DOUBLE AS total, avg(dl) AS mean FROM n), df AS (SELECT term, count(*) FILTER (tf > 0)::DOUBLE AS df FROM tf GROUP BY term),
+score AS (SELECT doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * ({1 - search.B} + {search.B} * dl / mean))) AS score
+  FROM tf JOIN df USING (term), s GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "posting_counts": f"WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY 1",
+    "vector_topk": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 5""",
+    "index_changes": """
+WITH o AS (SELECT path, sha256(coalesce(arg_min(coalesce(content, ''), note_row_id), '')) AS h FROM notes WHERE path IS NOT NULL AND added_at < '2025-01-01' AND (removed_at IS NULL OR removed_at >= '2025-01-01') GROUP BY 1),
+n AS (SELECT path, sha256(coalesce(arg_min(coalesce(content, ''), note_row_id), '')) AS h FROM notes WHERE path IS NOT NULL AND removed_at IS NULL GROUP BY 1)
+SELECT CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS state, count(*) AS n_notes
+FROM o FULL JOIN n ON o.path = n.path GROUP BY 1""",
+    "url_classify": r"""
+SELECT capture_id, CASE WHEN source_url IS NULL THEN NULL ELSE 'generic' END AS platform, regexp_replace(regexp_replace(regexp_replace(source_url, '#.*$', ''), '([?&])utm_[^&]*', '\1', 'g'), '[?&]+$', '') AS canonical FROM capture_outcomes""",
+    "page_words": f"SELECT page_id, coalesce(len(regexp_extract_all(body, {_WORDS})), 0)::INT AS n_words FROM acquisitions",
+    "capture_markers": f"SELECT capture_id, {_MARKS} FROM capture_outcomes WHERE markdown IS NOT NULL",
+    "capture_status": f"SELECT capture_id, verdict FROM ({_STATUS})",
+    "capture_quality": f"""
+SELECT capture_id, (CASE verdict WHEN 'complete' THEN 5000 WHEN 'partial' THEN 2000 WHEN 'auth-required' THEN -2000 WHEN 'blocked' THEN -4000 ELSE -5000 END
+  + least(coalesce(units, 0), 50000) + least(coalesce(words, 0), 10000) * 5 + least(coalesce(captured_items, 0), 1000) * 50 + coalesce(images, 0) * 100 + coalesce(links, 0) * 5)::BIGINT AS score
+FROM (SELECT *, {_MARKS} FROM ({_STATUS}))""",
+    "page_best_candidate": """
+SELECT page_id, capture_id, status FROM capture_outcomes WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id
+  ORDER BY CASE status WHEN 'complete' THEN 5 WHEN 'partial' THEN 4 WHEN 'auth-required' THEN 3 WHEN 'blocked' THEN 2 WHEN 'unsupported' THEN 1 ELSE 0 END DESC, coalesce(word_count, 0) DESC, capture_id) = 1""",
+    "content_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "thread_counts": "WITH " + _ENTRIES + """, c AS (
+  SELECT thread_id, count(*) FILTER (kind = 'content') AS n_content, count(*) FILTER (kind = 'unavailable') AS n_unavailable, count(*) FILTER (kind = 'more') AS n_more,
+    max(tree_depth) AS max_depth, sum(replies) FILTER (kind = 'content' AND parent_id IS NULL)::BIGINT AS declared FROM first_entries GROUP BY 1
+), e AS (SELECT *, n_content + n_unavailable AS captured, greatest(n_content + n_unavailable, coalesce(declared, 0) + 1) AS expected FROM c)
+SELECT *, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured < expected THEN 'partial' ELSE 'complete' END AS status FROM e""",
+    "thread_depths": "WITH RECURSIVE " + _ENTRIES + """, tree AS (
+  SELECT thread_id, entry_id, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
+  UNION ALL SELECT e.thread_id, e.entry_id, depth + 1 FROM tree t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id WHERE depth < 64
+) SELECT thread_id, max(depth)::INT AS depth, count(*) AS n_entries FROM tree GROUP BY 1""",
+    "pdf_body_sizes": "WITH " + _BODY + " SELECT * FROM bodies",
+    "pdf_heading_levels": "WITH " + _BODY + ", s AS (SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08) SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS level FROM s",
+    "ocr_quality": r"""
+WITH w AS (SELECT pdf_id, unnest(regexp_extract_all(text, '[^ ]+')) AS t FROM pdf_fragments WHERE text IS NOT NULL),
+q AS (SELECT pdf_id AS image_id, count(*) AS words, sum((40 + length(t) % 50) * length(t))::DOUBLE / sum(length(t)) AS c, sum(length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g'))) AS letters FROM w GROUP BY 1)
+SELECT image_id, words, round(c, 6) AS confidence, words >= 3 AND letters >= 12 AND c >= 35 AS substantive FROM q""",
+    "ocr_lines": "SELECT fragment_id AS line_no, array_to_string(regexp_extract_all(text, '[^ ]+'), ' ') AS text FROM pdf_fragments WHERE len(regexp_extract_all(text, '[^ ]+')) > 0",
+    "events_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL",
+    "events_sliding": """
+WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE)) AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_events FROM w GROUP BY 1""",
+    "events_sessions": """
+WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM s GROUP BY user_id, n""",
     "p6_found": _P6 + "SELECT * FROM found",
     "p6_report": _P6 + "SELECT tbl, ref_field, ref_period, reason, count(*) AS n_refs FROM found GROUP BY ALL",
 }
