@@ -216,8 +216,8 @@ def trigrams(texts: list[str], chars: int = 1_000_000):
         codes = np.frombuffer("".join(f" {t} " for t in part).encode("utf-32-le", "replace"), np.uint32)
         owners = np.repeat(np.arange(len(part), dtype=np.int32), [len(t) + 2 for t in part])
         kinds = _KIND[np.where(codes < 0x10000, codes, 0)]
-        keep = np.r_[True, (kinds[1:] > 0) | (kinds[:-1] > 0)]
-        keep[2:] &= (kinds[2:] != kinds[1:-1]) | (kinds[2:] != kinds[:-2])  # long runs of a letter are none of a language
+        keep = np.r_[True, (kinds[1:] > 0) | (kinds[:-1] > 0) | (owners[1:] != owners[:-1])]  # a text begins with its own gap
+        keep[2:] &= (kinds[2:] == 0) | (kinds[2:] != kinds[1:-1]) | (kinds[2:] != kinds[:-2])  # long runs of a letter are none of a language
         kinds, owners = kinds[keep], owners[keep]
         ids = (kinds[:-2].astype(np.int64) * _N + kinds[1:-1]) * _N + kinds[2:]
         # a lone gap in the middle tells nothing of its own; no trigram spans two texts
