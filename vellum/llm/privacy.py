@@ -193,11 +193,11 @@ def disclosing(rows: DataFrame) -> DataFrame:
                 words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(_EMAIL.sub(" ", text))]
                 roles = [(known.has("given", w), known.has("family", w)) for _, _, w in words]
                 for i, (_, _, w) in enumerate(words):
-                    for role, mine, other in (("given", 0, 1), ("family", 1, 0)):
+                    for role, mine in (("given", 0), ("family", 1)):
                         if roles[i][mine]:
                             near = [j for j in (i - 1, i + 1) if 0 <= j < len(words)]
                             seen[role, folded(w)] += 1
-                            beside[role, folded(w)] += any(roles[j][other] or len(words[j][2]) == 1 for j in near)
+                            beside[role, folded(w)] += any(any(roles[j]) or (len(words[j][2]) == 1 and words[j][2].isupper()) for j in near)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -211,7 +211,7 @@ def disclosing(rows: DataFrame) -> DataFrame:
 
     counts = rows.select("text").filter("text IS NOT NULL").mapInArrow(count, "role string, term string, seen long, beside long")
     counts = counts.groupBy("role", "term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside"))
-    share = (F.coalesce("beside", F.lit(0)) + 1) / (F.coalesce("seen", F.lit(0)) + 1)
+    share = (F.coalesce("beside", F.lit(0)) + 0.5) / (F.coalesce("seen", F.lit(0)) + 1)  # a term that no text has stays
     return terms.join(counts, ["role", "term"], "left").filter(share >= DISCLOSURE).select("role", "term")
 
 
