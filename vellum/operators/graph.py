@@ -143,6 +143,8 @@ def mentions(notes: DataFrame, edge_rows: DataFrame, suggest: Column | None = No
     out = None
     for block in range(n_blocks):
         rows = known.filter(F.pmod(F.xxhash64("lower"), F.lit(n_blocks)) == block).collect()  # PHRASE_BLOCK_CHARS at most
+        if not rows:
+            continue
         shared = context.broadcast([tuple(r) for r in rows])
         part = texts.mapInArrow(_mention_scanner(shared, ahocorasick), schema)
         out = part if out is None else out.unionByName(part)

@@ -128,17 +128,18 @@ def lookup(metadata: Column, path: Path) -> Column:
 
     @F.pandas_udf(LOOKUP)
     def read(texts: pd.Series) -> pd.DataFrame:
-        def one(text: str | None) -> dict[str, Any]:
-            try:
-                return _found(value_at(json.loads(text), parts) if text else _MISSING)
-            except ValueError:
-                return _found(_MISSING)
-
-        return pd.DataFrame([one(t) for t in texts], columns=["found", "rank", "bool", "num", "text", "canonical", "scalars"])
+        return pd.DataFrame([found_in(t, parts) for t in texts], columns=["found", "rank", "bool", "num", "text", "canonical", "scalars"])
 
     return read(metadata)
 
 
+def found_in(text: str | None, parts: Sequence[str]) -> dict[str, Any]:
+    try:
+        return _found(value_at(json.loads(text), parts) if text else _MISSING)
+    except ValueError:
+        return _found(_MISSING)
+
+
 def condition(f: Equals | Exists, value: Column) -> Column:
     if isinstance(f, Exists):
         return value["found"]

@@ -478,7 +478,7 @@ SELECT *, CASE WHEN markdown IS NULL THEN 'unsupported'
   WHEN length(trim(markdown, chr(9) || chr(10) || chr(13) || ' ')) < 40 THEN 'unsupported'
   WHEN regexp_matches(seen, {_q(captures.SIGN_IN)}) OR capture_scope IN ('thread', 'comments') THEN 'partial' ELSE 'complete' END AS verdict
 FROM (SELECT *, chr(10) || markdown AS seen, length(markdown) AS units, len(regexp_extract_all(markdown, {_WORDS})) AS words FROM capture_outcomes)"""
-_MARKS = r"least(len(regexp_extract_all(markdown, '!\[[^\]\n]*\]\([^)\n]*\)')), 100) AS images, least(len(regexp_extract_all(markdown, '\[[^\]\n]*\]\([^)\n]*\)')) - len(regexp_extract_all(markdown, '!\[[^\]\n]*\]\([^)\n]*\)')), 500) AS links"
+_MARKS = r"least(len(regexp_extract_all(coalesce(markdown, ''), '!\[[^\]\n]*\]\([^)\n]*\)')), 100) AS images, least(len(regexp_extract_all(coalesce(markdown, ''), '\[[^\]\n]*\]\([^)\n]*\)')) - len(regexp_extract_all(coalesce(markdown, ''), '!\[[^\]\n]*\]\([^)\n]*\)')), 500) AS links"
 _ENTRIES = "first_entries AS (SELECT * FROM captured_entries QUALIFY row_number() OVER (PARTITION BY thread_id, entry_id ORDER BY captured_at, entry_row_id) = 1)"
 _FRAGMENTS = "f AS (SELECT * FROM pdf_fragments WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_id, page_no, ordinal ORDER BY fragment_id) = 1)"
 _BODY = _FRAGMENTS + ", weights AS (SELECT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size, sum(length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g')))) AS chars FROM f GROUP BY ALL), bodies AS (SELECT pdf_id, size AS body_size FROM weights QUALIFY row_number() OVER (PARTITION BY pdf_id ORDER BY chars DESC, size) = 1)"
