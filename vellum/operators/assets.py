@@ -69,7 +69,7 @@ def capture_document(title: Column, author: Column, source: Column, captured: Co
     lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), quoted(c))) for k, c in (("title", title), ("author", author), ("source", source), ("captured", captured), ("status", status))]
     head = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"))
     repeated = F.startswith(F.ltrim(body), F.concat(F.lit("# "), title))
-    return F.concat(head, F.when(title.isNotNull() & ~F.coalesce(repeated, F.lit(False)), F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(""), F.trim(body), F.lit("\n"))
+    return F.concat(head, F.when(title.isNotNull() & ~F.coalesce(repeated, F.lit(False)), F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(""), F.regexp_replace(body, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
 class Bundle:

@@ -560,7 +560,7 @@ SELECT image_id, words, round(c, 6) AS confidence, words >= 3 AND letters >= 12
 WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE)) AS s FROM events)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_events FROM w GROUP BY 1""",
     "events_sessions": """
-WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM s GROUP BY user_id, n""",
     "p6_found": _P6 + "SELECT * FROM found",

@@ -25,7 +25,7 @@ def sliding(events: DataFrame, width: str = "1 hour", step: str = "15 minutes",
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
-    """Runs of a user's events with no pause of ``gap`` or more."""
+    """Runs of a user's events with no pause longer than ``gap``."""
     rows = events.withWatermark("ts", late) if late else events
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("sum_value")).select(
         "user_id", F.col("w.start").alias("session_start"), "n_events", "sum_value"
