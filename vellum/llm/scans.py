@@ -8,8 +8,8 @@ holds the header. A hyphen at a line's end cuts a word where the two halves make
 word and not a compound. A word is misread where it is not sound but one or two usual
 confusions, a lost blank or an added blank away from sound words; stray marks count too.
 
-Pages are read one at a time from partitions sorted by document and page; the first words
-of the next page come by a join, so a document of any length is never held whole. Blocks
+Pages are read one at a time from partitions sorted by document and page, documents cut
+into runs of pages that bring their neighbours along, so a document is never held whole. Blocks
 get the findings of the lines they hold. The vocabulary reaches the workers only with
 words that make ``SHARE`` of all words at least, which bounds its size.
 
@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.lookalikes import uniform
+from vellum.session import written
 from vellum.sources.tables import table
 
 #: Least share of all words that a vocabulary word makes: at most 1 / SHARE words are held.
 SHARE, LEAST = 1e-6, 4
 #: How a set-smaller line compares with the page's text; pages of a document on which furniture returns.
 SMALLER, RETURNS = 0.95, 2
+#: Pages of a document that one group of rows holds.
+RUN_PAGES = 64
 
 #: What recognition takes for what (fixed values): wrong characters, then the right ones.
 CONFUSIONS = (
@@ -189,65 +192,72 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     whole = F.when(F.col("text").rlike(r"[-¬=‐\x{AD}]\W*$"), F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
     # the parts of compounds are words too
     parts = F.flatten(F.transform(F.filter(whole, lambda w: w.contains("-")), lambda w: F.split(w, "-")))
-    # counted within a document first: long documents and hot ones leave as counts
-    counts = lines.select("pdf_id", F.explode(F.concat(whole, parts)).alias("word")).groupBy("pdf_id", "word").count()
-    counts = counts.join(noisy, "pdf_id").groupBy("word").agg(
-        F.sum("count").alias("n"), F.sum(F.when(F.col("noisy"), 0).otherwise(F.col("count"))).alias("clean"), F.count(F.lit(1)).alias("docs")
+    words = lines.select("pdf_id", "text").join(noisy, "pdf_id").select("pdf_id", "noisy", F.explode(F.concat(whole, parts)).alias("word"))
+    # counts are combined before the shuffle, so no word and no document is hot
+    counts = words.groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("noisy")).alias("clean"), (F.min("pdf_id") != F.max("pdf_id")).alias("spread")
     )
+    counts = written(counts, "scan-words")
     total = counts.agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")).first()
     n, clean = total["n"] or 1, total["clean"] or 0
     often = F.col("n") >= max(LEAST, int(n * SHARE))
     # where no document is clean every frequent word counts as sound
     fair = (F.col("clean") >= 3) & (F.col("clean") / F.lit(float(max(clean, 1))) >= 0.2 * F.col("n") / F.lit(float(n)))
-    spread = F.col("docs") >= 2
-    return counts.filter(often & spread & (fair if clean >= 0.02 * n else F.col("n") >= 20)).select("word", "n")
+    return counts.filter(often & F.col("spread") & (fair if clean >= 0.02 * n else F.col("n") >= 20)).select("word", "n")
 
 
 _OUT = T.StructType([T.StructField("tbl", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("defect", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def _page(rows: list[tuple], known: Vocabulary, repair: bool) -> list[tuple]:
-    """Findings of one page; ``rows``: (tbl, row_id, ordinal, text, size, returns, next_first, last_before)."""
-    lines: dict[tuple, list[int]] = {}
-    blocks: dict[tuple, list[int]] = {}
-    info: dict[tuple, tuple] = {}
-    following_page = None
-    for tbl, row_id, ordinal, text, size, returns, next_first, _ in rows:
-        following_page = following_page or next_first
-        if not text:
-            continue
-        key = (ordinal if ordinal is not None else 1 << 30, text)
-        (lines if tbl == "pdf_fragments" else blocks).setdefault(key, []).append(row_id)
-        if tbl == "pdf_fragments":
-            info[key] = (size, returns)
-    order = sorted(lines)
-    weights: dict[float, int] = {}
-    for key in order:
-        if (size := info[key][0]) is not None:
-            weights[size] = weights.get(size, 0) + len(key[1])
-    body = max(weights, key=lambda s: (weights[s], s)) if weights else None
-    ends = {order[0][0], order[-1][0]} if len(order) > 1 else set()
-
-    def is_edge(size: float | None, returns: int | None) -> bool:
-        ratio = size / body if body and size is not None else 1.0
-        return ratio < SMALLER or ((returns or 0) >= RETURNS and ratio <= 1 / SMALLER)  # larger type is a heading
-
-    edge = {k for k in order if k[0] in ends and is_edge(*info[k])}
-    content = [k for k in order if k not in edge]
+class Page:
+    """One page's distinct lines and blocks in order, its furniture told from its content."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" hold in ordinal and size how often first and last line return."""
+        self.lines: dict[tuple, list[int]] = {}
+        self.blocks: dict[tuple, list[int]] = {}
+        sizes: dict[tuple, float | None] = {}
+        returns = (0, 0)
+        for tbl, row_id, ordinal, text, size in rows:
+            if tbl == "edges":
+                returns = (ordinal, int(size))
+            elif text:
+                key = (ordinal if ordinal is not None else 1 << 30, text)
+                (self.lines if tbl == "pdf_fragments" else self.blocks).setdefault(key, []).append(row_id)
+                if tbl == "pdf_fragments":
+                    sizes[key] = size
+        self.order = sorted(self.lines)
+        weights: dict[float, int] = {}
+        for key in self.order:
+            if sizes[key] is not None:
+                weights[sizes[key]] = weights.get(sizes[key], 0) + len(key[1])
+        body = max(weights, key=lambda s: (weights[s], s)) if weights else None
+
+        def furniture(key: tuple, times: int) -> bool:
+            ratio = sizes[key] / body if body and sizes[key] is not None else 1.0
+            return ratio < SMALLER or (times >= RETURNS and ratio <= 1 / SMALLER)  # larger type is a heading
+
+        ends = {self.order[0][0]: returns[0], self.order[-1][0]: returns[1]} if len(self.order) > 1 else {}
+        self.edge = {k for k in self.order if k[0] in ends and furniture(k, ends[k[0]])}
+        self.content = [k for k in self.order if k not in self.edge]
+
+
+def page_findings(page: Page, before: str | None, after: str | None, known: Vocabulary, repair: bool) -> list[tuple]:
+    """Findings of a page between the last line of text before it and the first after it."""
+    order, edge, content, lines, blocks = page.order, page.edge, page.content, page.lines, page.blocks
     found: dict[tuple, set[str]] = {k: set() for k in order}
     halves: dict[tuple, list[str | None]] = {k: [None, None] for k in order}
-    cut_after = {}
     for i, key in enumerate(content):
         nxt = content[i + 1] if i + 1 < len(content) else None
         if nxt is not None and nxt[0] == key[0]:
             nxt = next((k for k in content[i + 1 :] if k[0] > key[0]), None)
-        cut = cut_word(key[1], nxt[1] if nxt else following_page, known)
+        cut = cut_word(key[1], nxt[1] if nxt else after, known)
         if cut:
             found[key].add("hyphen")
-            halves[key][1], cut_after[key] = cut[0], cut
+            halves[key][1] = cut[0]
             if nxt:
                 halves[nxt][0] = cut[1]
-    if content and (previous := rows[0][7]) is not None and (cut := cut_word(previous, content[0][1], known)):
+    if content and before is not None and (cut := cut_word(before, content[0][1], known)):
         halves[content[0]][0] = cut[1]
     for key in order:
         if key in edge:
@@ -316,43 +326,69 @@ def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> D
             F.coalesce("page_no", F.lit(0)).alias("page_no"), F.col("ordinal").cast("int").alias("ordinal"), "text", size.alias("size"),
         )
 
-    lines = _lines(keyed(fragments, "pdf_fragments", "fragment_id", F.col("font_size").cast("double")))
+    lines = written(_lines(keyed(fragments, "pdf_fragments", "fragment_id", F.col("font_size").cast("double"))), "scan-lines")
     texts = _lines(keyed(blocks, "pdf_blocks", "block_id", F.lit(None).cast("double")))
-    words = vocabulary(lines.select("pdf_id", "page_no", "ordinal", "text").distinct())
-    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary({r["word"]: r["n"] for r in words.collect()}))  # at most 1 / SHARE words
+    words = vocabulary(lines).collect()  # at most 1 / SHARE words
+    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary({r["word"]: r["n"] for r in words}))
 
-    ends = lines.groupBy("pdf_id", "page_no").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.mode("size").alias("body"))
-    edges = lines.join(ends, ["pdf_id", "page_no"]).filter("ordinal = first OR ordinal = last")
+    # how often a page's first and last line return, fuzzily, at the edges of its document's pages
+    place = F.struct("ordinal", "text")
+    ends = lines.groupBy("pdf_id", "page_no").agg(F.min_by("text", place).alias("first"), F.max_by("text", place).alias("last"))
+    both = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("text")), F.struct(F.lit(1).alias("side"), F.col("last").alias("text"))))
     fold = F.regexp_replace(F.translate(F.lower("text"), "1l!|0cbfnu", "iiiioehtan"), r"[^\p{L}]+", "")
-    returns = edges.withColumn("edge", fold).filter(F.length("edge") >= 4).groupBy("pdf_id", "edge").agg(F.count_distinct("page_no").alias("returns"))
-    # a page's first and last lines of text, for its neighbours
-    text_lines = lines.join(ends, ["pdf_id", "page_no"]).filter(F.coalesce(F.col("size") >= SMALLER * F.col("body"), F.lit(True)))
-    bounds = text_lines.groupBy("pdf_id", "page_no").agg(F.min_by("text", F.struct("ordinal", "text")).alias("head"), F.max_by("text", F.struct("ordinal", "text")).alias("tail"))
-    after = bounds.select("pdf_id", (F.col("page_no") - 1).alias("page_no"), F.col("head").alias("next_first"))
-    before = bounds.select("pdf_id", (F.col("page_no") + 1).alias("page_no"), F.col("tail").alias("last_before"))
-
-    both = lines.withColumn("edge", fold).join(returns, ["pdf_id", "edge"], "left").drop("edge").unionByName(texts, allowMissingColumns=True)
-    pages = both.join(after, ["pdf_id", "page_no"], "left").join(before, ["pdf_id", "page_no"], "left")
-    columns = ["pdf_id", "page_no", "tbl", "row_id", "ordinal", "text", "size", "returns", "next_first", "last_before"]
-    pages = pages.select(*columns).repartition("pdf_id", "page_no").sortWithinPartitions("pdf_id", "page_no")
+    edges = ends.select("pdf_id", "page_no", both).withColumn("edge", fold).filter(F.length("edge") >= 4)
+    returns = edges.groupBy("pdf_id", "edge").agg(F.count_distinct("page_no").alias("n")).filter(F.col("n") >= RETURNS)
+    sides = edges.join(returns, ["pdf_id", "edge"]).groupBy("pdf_id", "page_no").agg(
+        F.lit("edges").alias("tbl"), F.lit(None).cast("bigint").alias("row_id"), F.coalesce(F.max(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).cast("int").alias("ordinal"),
+        F.lit(None).cast("string").alias("text"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("n"))), F.lit(0)).cast("double").alias("size"),
+    )
+
+    # a document is cut into runs of pages; the pages next to a run come with it to be looked at only
+    run_no = F.floor(F.col("page_no") / RUN_PAGES)
+    near = F.array_distinct(F.array(run_no, F.floor((F.col("page_no") - 1) / RUN_PAGES), F.floor((F.col("page_no") + 1) / RUN_PAGES)))
+    columns = ["pdf_id", "page_no", "tbl", "row_id", "ordinal", "text", "size"]
+    rows = lines.select(*columns).unionByName(texts.select(*columns)).unionByName(sides.select(*columns))
+    rows = rows.withColumn("own", run_no).withColumn("run", F.explode(near))
+    rows = rows.select("pdf_id", "run", "page_no", (F.col("own") == F.col("run")).alias("own"), *columns[2:])
+    rows = rows.repartition("pdf_id", "run").sortWithinPartitions("pdf_id", "run", "page_no")
 
     def run(batches):
         known = shared.value
-
-        def emit(found):
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], _OUT.names)
-
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        stream = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         found: list[tuple] = []
-        for _, page in itertools.groupby(rows, key=lambda r: r[:2]):
-            found += _page([r[2:] for r in page], known, repair)
-            if len(found) > 20_000:
-                yield emit(found)
-                found = []
-        yield emit(found)
-
-    return pages.mapInArrow(run, _OUT)
+        for _, group in itertools.groupby(stream, key=lambda r: r[:2]):
+            for page, before, after in _neighbours(group):
+                found += page_findings(page, before, after, known, repair)
+                if len(found) > 20_000:
+                    yield _emitted(found)
+                    found = []
+        yield _emitted(found)
+
+    return rows.mapInArrow(run, _OUT)
+
+
+def _neighbours(group):
+    """Each own page of a run with the text lines that end the page before it and begin the page after."""
+    held: list[tuple[int, bool, Page]] = []
+    pages = ((no, rows[0][3], Page([r[4:] for r in rows])) for no, g in itertools.groupby(group, key=lambda r: r[2]) if (rows := list(g)))
+    for item in itertools.chain(pages, [None]):
+        if item is not None:
+            held.append(item)
+        if len(held) > 1 or item is None:
+            # the last but one, or at the end the last
+            k = len(held) - (1 if item is None else 2)
+            if k >= 0:
+                no, own, page = held[k]
+                last = next((p for n, _, p in held[:k] if n == no - 1), None)
+                first = next((p for n, _, p in held[k + 1 :] if n == no + 1), None)
+                if own:
+                    yield page, last.content[-1][1] if last and last.content else None, first.content[0][1] if first and first.content else None
+        del held[:-2]
+
+
+def _emitted(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], _OUT.names)
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
