@@ -44,9 +44,10 @@ CONFUSIONS = (
     ("c", "e"), ("b", "h"), ("f", "t"), ("n", "a"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("1", "l"), ("1", "i"),
     ("l", "i"), ("i", "l"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("u", "n"), ("n", "u"), ("e", "c"), ("h", "b"), ("t", "f"),
     ("a", "n"), ("li", "h"), ("in", "m"), ("m", "rn"), ("d", "cl"), ("j", "i"), ("|", "l"), ("!", "l"), ("2", "z"), ("4", "a"), ("3", "e"), ("7", "t"),
+    ("h", "li"), ("ii", "ü"), ("fi", "h"),
 )
 _STRAY = r"|¦^~\\`"
-_TOKEN = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _CODE = re.compile(r"\[?\bK-[0-9a-z]*\]?|\S*\d[:/.-]\S*")
 _CUT = re.compile(rf"([^\W_]+)([-¬=‐\xad])[\s{_STRAY}·]*$")
 _ROMAN = re.compile(r"(?:x{0,3})(?:ix|iv|v?i{0,3})", re.I)
@@ -81,6 +82,7 @@ class Vocabulary:
 
     def __init__(self, sound: dict[str, int]) -> None:
         self.sound, self.known = sound, {}
+        self.common = sorted(sound.values())[-(len(sound) // 20 + 1)] if sound else 0
 
     def right(self, word: str) -> str | None:
         """The sound word that ``word`` was most likely read from; itself where it is sound, None where unknown."""
@@ -98,9 +100,10 @@ class Vocabulary:
             return None
         once = {word[:i] + good + word[i + len(bad) :] for bad, good in CONFUSIONS for i in _places(word, bad)}
         best = max((w for w in once if w in self.sound), key=self.sound.get, default=None)
-        if best is None and len(word) >= 4:
+        if best is None and len(word) >= 3:
             twice = {w[:i] + good + w[i + len(bad) :] for w in once for bad, good in CONFUSIONS[:20] for i in _places(w, bad)}
-            best = max((w for w in twice if w in self.sound and len(w) > 3), key=self.sound.get, default=None)
+            least = 0 if len(word) > 3 else self.common  # of short words only the commonest are that near
+            best = max((w for w in twice if w in self.sound and len(w) > 2 and self.sound[w] >= least), key=self.sound.get, default=None)
         if best is None and len(word) >= 5:
             edits = {word[:i] + word[i + 1 :] for i in range(len(word))}
             edits |= {word[:i] + c + word[j:] for i in range(len(word) + 1) for j in (i, i + 1) for c in "abcdefghijklmnopqrstuvwxyzéèäüö"}
@@ -184,12 +187,13 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
-    """``(word, n)`` of sound words; ``lines`` has ``pdf_id`` and ``text``."""
+    """``(word, n, fair)`` of words that may be sound; ``lines`` has ``pdf_id`` and ``text``."""
     marked = F.col("text").rlike(rf"[{_STRAY}¬]|=$")
     noisy = lines.groupBy("pdf_id").agg((F.sum(marked.cast("int")) > 0).alias("noisy"))
     tokens = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"\[?\bK-[0-9a-z]*\]?", " ")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}]+)+|[\p{L}\p{N}]+"), F.lit(0))
-    # a word that the line's end may cut tells nothing: the last of a line with a hyphen is left out
-    whole = F.when(F.col("text").rlike(r"[-¬=‐\x{AD}]\W*$"), F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+    # a word that a line's end may have cut tells nothing: the first of a line is left out, and the last before a hyphen
+    cut = F.col("text").rlike(r"[-¬=‐\x{AD}]\W*$").cast("int")
+    whole = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1 - cut, F.lit(0)))
     # the parts of compounds are words too
     parts = F.flatten(F.transform(F.filter(whole, lambda w: w.contains("-")), lambda w: F.split(w, "-")))
     words = lines.select("pdf_id", "text").join(noisy, "pdf_id").select("pdf_id", "noisy", F.explode(F.concat(whole, parts)).alias("word"))
@@ -203,7 +207,18 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     often = F.col("n") >= max(LEAST, int(n * SHARE))
     # where no document is clean every frequent word counts as sound
     fair = (F.col("clean") >= 3) & (F.col("clean") / F.lit(float(max(clean, 1))) >= 0.2 * F.col("n") / F.lit(float(n)))
-    return counts.filter(often & F.col("spread") & (fair if clean >= 0.02 * n else F.col("n") >= 20)).select("word", "n")
+    fair = fair if clean >= 0.02 * n else F.lit(False)
+    return counts.filter(often & F.col("spread")).select("word", "n", fair.alias("fair")).filter("fair OR n >= 20")
+
+
+def sound_words(rows) -> dict[str, int]:
+    """Of ``(word, n, fair)`` the sound words: the fair ones, and frequent ones that are no misreading of a far more frequent one."""
+    sound = {w: n for w, n, fair in rows if fair}
+    known = Vocabulary(dict(sound) or {w: n for w, n, _ in rows})
+    for word, n, fair in rows:
+        if not fair and ((near := known.right(word)) in (None, word) or known.sound[near] < 5 * n):
+            sound[word] = n
+    return sound
 
 
 _OUT = T.StructType([T.StructField("tbl", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("defect", T.StringType()), T.StructField("text", T.StringType())])
@@ -329,7 +344,7 @@ def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> D
     lines = written(_lines(keyed(fragments, "pdf_fragments", "fragment_id", F.col("font_size").cast("double"))), "scan-lines")
     texts = _lines(keyed(blocks, "pdf_blocks", "block_id", F.lit(None).cast("double")))
     words = vocabulary(lines).collect()  # at most 1 / SHARE words
-    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary({r["word"]: r["n"] for r in words}))
+    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound_words([tuple(r) for r in words])))
 
     # how often a page's first and last line return, fuzzily, at the edges of its document's pages
     place = F.struct("ordinal", "text")
