@@ -29,5 +29,12 @@ SQL = {
 SELECT note_row_id, profile_id FROM notes, split_profiles
 WHERE max_size < CASE size_unit WHEN 'chars' THEN length(content) WHEN 'bytes' THEN strlen(content)
   ELSE len(regexp_extract_all(content, '[^\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) END
+""",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+eg AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """,
 }
