@@ -550,6 +550,14 @@ SELECT *, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured
 ) SELECT thread_id, max(depth)::INT AS depth, count(*) AS n_entries FROM tree GROUP BY 1""",
     "pdf_body_sizes": "WITH " + _BODY + " SELECT * FROM bodies",
     "pdf_heading_levels": "WITH " + _BODY + ", s AS (SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08) SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS level FROM s",
+    "pdf_margins": "WITH " + _FRAGMENTS + r""", l AS (
+  SELECT pdf_id, page_no, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS margin FROM f
+  WHERE (top_pt <= 842 * 0.06 OR top_pt + height_pt >= 842 * 0.94) AND length(text) <= 160
+), p AS (SELECT pdf_id, count(DISTINCT page_no) AS pages FROM f GROUP BY 1)
+SELECT pdf_id, margin FROM l JOIN p USING (pdf_id) WHERE margin <> '' GROUP BY pdf_id, margin, pages HAVING count(DISTINCT page_no) >= greatest(3, ceil(pages * 0.4))""",
+    "page_titles": r"""
+SELECT page_id, coalesce(nullif(trim(browser_title), ''), nullif(regexp_extract(coalesce(body, ''), '(?m)^#{1,3}[ \t]+(.+?)[ \t]*$', 1), ''),
+  nullif(regexp_extract(regexp_extract(regexp_replace(final_url, '[?#].*$', ''), '^[a-z]+://[^/]*(/.*)?$', 1), '([^/]+)/*$', 1), ''), regexp_extract(final_url, '^[a-z]+://([^/?#]*)', 1)) AS title FROM acquisitions""",
     "ocr_quality": r"""
 WITH w AS (SELECT pdf_id, unnest(regexp_extract_all(text, '[^ ]+')) AS t FROM pdf_fragments WHERE text IS NOT NULL),
 q AS (SELECT pdf_id AS image_id, count(*) AS words, sum((40 + length(t) % 50) * length(t))::DOUBLE / sum(length(t)) AS c, sum(length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g'))) AS letters FROM w GROUP BY 1)
