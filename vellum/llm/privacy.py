@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.lookalikes import skeleton
+from vellum.session import written
 from vellum.sources.tables import table
 
 #: Share of a term's occurrences beside a partner from which it reveals a person.
@@ -77,6 +78,8 @@ _FORMS = (("email", _EMAIL), ("street_address", _ADDRESS), ("phone", _PHONE), ("
 #: A phone number as a handle holds it: digits only, after a word or alone.
 _HANDLE_PHONE = re.compile(r"(?:^|(?<=[A-Za-z][_.-]))(?:\+|00)?0?[1-9]\d{8,13}$")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Without these no address or number is there.
+_MAIL_SIGN, _DIGIT = re.compile(r"[@＠]|at\]|at\)| dot "), re.compile(r"\d")
 
 
 def _digits(text: str) -> int:
@@ -86,14 +89,19 @@ def _digits(text: str) -> int:
 def formed(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of contact data with a form of its own, none overlapping."""
     found = []
-    if any(c.isdigit() for c in text) or "@" in text or "＠" in text or "at" in text:
-        for kind, form in _FORMS:
+    mail, digit = _MAIL_SIGN.search(text), _DIGIT.search(text)
+    for kind, form in _FORMS:
+        if mail if kind == "email" else digit:
             for m in form.finditer(text):
                 if kind != "phone" or 9 <= _digits(m.group()) <= 15:
                     found.append((m.start(), m.end(), kind))
     return _apart(found)
 
 
+def without_mail(text: str) -> str:
+    return _EMAIL.sub(" ", text) if _MAIL_SIGN.search(text) else text
+
+
 def _apart(found: list[tuple]) -> list[tuple]:
     out: list[tuple] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -110,15 +118,15 @@ class Terms:
     """A bitmap of terms by role; ``has`` may be wrong for terms outside, never for those inside."""
 
     def __init__(self, bits: dict[str, np.ndarray]) -> None:
-        self.bits, self.known = bits, {}
+        self.bits, self.known = bits, {role: {} for role in bits}
 
     def has(self, role: str, word: str) -> bool:
-        known = self.known.get((role, word))
+        known = self.known[role].get(word)
         if known is None:
             place = xxhash.xxh64_intdigest(folded(word).encode(), 42) % MAP_BITS  # as xxhash64 of the JVM
-            if len(self.known) > 500_000:
-                self.known.clear()
-            known = self.known[role, word] = bool(self.bits[role][place >> 3] >> (place & 7) & 1)
+            if len(self.known[role]) > 500_000:
+                self.known[role].clear()
+            known = self.known[role][word] = bool(self.bits[role][place >> 3] >> (place & 7) & 1)
         return known
 
 
@@ -127,6 +135,8 @@ def names(text: str, terms: Terms, taken: list[tuple[int, int, str]]) -> list[tu
 
     Forms: Given Family, Given I. Family, I. Family, Family, Given; a family name may be double.
     """
+    if not any(terms.has("family", w) for w in _WORD.findall(text)):
+        return []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     out, free = [], 0
     edges = [(s, e) for s, e, _ in taken]
@@ -190,14 +200,13 @@ def disclosing(rows: DataFrame) -> DataFrame:
         for batch in batches:
             seen, beside = Counter(), Counter()
             for text in batch.column(0).to_pylist():
-                words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(_EMAIL.sub(" ", text))]
-                roles = [(known.has("given", w), known.has("family", w)) for _, _, w in words]
-                for i, (_, _, w) in enumerate(words):
-                    for role, mine in (("given", 0), ("family", 1)):
-                        if roles[i][mine]:
-                            near = [j for j in (i - 1, i + 1) if 0 <= j < len(words)]
+                words = _WORD.findall(without_mail(text))
+                for i, w in enumerate(words):
+                    for role in ("given", "family"):
+                        if known.has(role, w):
+                            near = words[max(0, i - 1) : i] + words[i + 1 : i + 2]
                             seen[role, folded(w)] += 1
-                            beside[role, folded(w)] += any(any(roles[j]) or (len(words[j][2]) == 1 and words[j][2].isupper()) for j in near)
+                            beside[role, folded(w)] += any(known.has("given", x) or known.has("family", x) or (len(x) == 1 and x.isupper()) for x in near)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -252,7 +261,7 @@ def _in_handle(handle: str, author: str | None) -> list[tuple]:
 def personal_values(df: DataFrame, id_col: str, text_col: str, handle_col: str, author_col: str) -> DataFrame:
     """``(row_id, field_name, kind, start_pos, end_pos)`` of every value of personal information."""
     rows = df.select(*[F.col(c).alias(n) for c, n in ((id_col, "row_id"), (text_col, "text"), (handle_col, "handle"), (author_col, "author"))])
-    terms = disclosing(rows)
+    terms = written(disclosing(rows), "name-terms")
     shared = df.sparkSession.sparkContext.broadcast(_bitmap(terms))  # MAP_BITS bits a role
     schema = T.StructType([rows.schema["row_id"], *_CANDIDATES.fields])
 
@@ -277,7 +286,7 @@ def personal_values(df: DataFrame, id_col: str, text_col: str, handle_col: str,
             arrays += [pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    values = rows.mapInArrow(run, schema)
+    values = written(rows.mapInArrow(run, schema), "personal-values")
     plain = values.filter("kind != 'name'")
     # what the bitmap let pass is verified against the terms themselves
     family = terms.filter("role = 'family'").select(F.col("term").alias("family"))
