@@ -23,6 +23,7 @@ from __future__ import annotations
 import itertools
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,7 +179,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     """Distinct lines, folded to one form; what recognition and typography share is not its error."""
 
     @F.pandas_udf(T.StringType())
-    def folded(texts):
+    def folded(texts: pd.Series) -> pd.Series:
         return texts.map(uniform)
 
     # a soft hyphen that ends a line is seen
