@@ -145,3 +145,47 @@ def test_streams(spark, tmp_path):
     jobs.keep_index(jobs.follow_notes(spark, str(notes)), str(index), str(tmp_path / "ck")).awaitTermination(120)
     rows = spark.read.parquet(str(index)).collect()
     assert {r.path.rpartition("/")[2] for r in rows} == {"a.md", "b.md"} and len(rows) == 2
+
+
+def test_pipeline(spark, tmp_path):
+    from vellum.operators import pipeline
+
+    page = "<html><head><title>A page</title><script type='application/ld+json'>{\"a\": [{\"commentCount\": \"7\"}]}</script></head><body><article><h1>A page</h1><p>{}</p><p>token = \"abc\" <a href='/x'>x</a></p></article></body></html>"
+    long = page.replace("{}", "words of it " * 40)
+    rows = [
+        (1, "https://a.org/p?utm_source=x", "text/html", "http", "<p>x</p>", None, False), (2, "https://a.org/p", None, "http", long, None, False), (3, "https://b.org/p", "text/html", "http", long, "T", False),
+        (4, "https://c.org/t", "text/plain", "file", "# Plain\nsome plain words here that make up a text", None, True), (5, None, None, None, None, None, None), (6, "https://d.org/", None, None, "", None, None),
+    ]
+    df = spark.createDataFrame([(*r, ["w", "w"], None) for r in rows], "page_id long, final_url string, content_type string, acquisition_method string, body string, browser_title string, content_truncated boolean, warnings array<string>, fetched_at timestamp")
+    got = {r.page_id: r for r in pipeline.extractions(df).collect()}
+    assert got[2].status == "complete" and got[2].declared_items == 7 and got[4].status == "partial" and got[6].status == "unsupported" and got[1].status == "unsupported"
+    report = {r.page_id: r for r in pipeline.run(df, str(tmp_path / "out")).collect()}
+    assert set(report) == {2, 3, 4, 6} and report[2].slug != report[3].slug and report[2].n_redacted == 1
+    text = (tmp_path / "out" / report[2].slug / "capture.md").read_text()
+    assert "[REDACTED]" in text and "[x](https://a.org/x)" in text and json.loads((tmp_path / "out" / report[2].slug / "manifest.json").read_text())["warnings"] == ["w"]
+
+
+def test_small_rules(spark):
+    from vellum.operators import pipeline
+
+    df = spark.createDataFrame([("a-b", "assets/a.png", 5), ("-a", "../x", 100), ("a b", "a//b", 5000)], "s string, p string, n int")
+    rows = df.select(pipeline.is_slug(F.col("s")).alias("s"), pipeline.is_artifact_path(F.col("p")).alias("p"), pipeline.scroll_budget(F.col("n")).alias("n")).collect()
+    assert [tuple(r) for r in rows] == [(True, True, 3), (False, False, 5), (False, False, 40)]
+    assert spark.range(1).select(pipeline.visible_comments(F.lit("View all 1.2k comments")).alias("c")).first().c == 1200
+    images = spark.createDataFrame([("i", "s"), ("j", "t")], "image_id string, sha256 string")
+    good = spark.createDataFrame([("i", "s", "d")], "image_id string, sha256 string, description string")
+    assert {(r.image_id, r.description) for r in pipeline.annotated(images, good).collect()} == {("i", "d"), ("j", None)}
+    with pytest.raises(Exception, match="another image"):
+        pipeline.annotated(images, good.withColumn("sha256", F.lit("x"))).collect()
+
+
+def test_index_in_parts(spark, root, tmp_path):
+    place = str(tmp_path / "index")
+    assert tuple(api.Vault(spark, str(root)).build_index(place).first()) == (7, 0, 0, 0, 7)
+    (root / "areas/tuned.md").write_text("new words")
+    (root / "inbox/README.md").unlink()
+    assert tuple(api.Vault(spark, str(root)).build_index(place).first()) == (0, 1, 5, 1, 1)
+    from vellum.operators import search
+
+    rows = {r.path: r.chunk for r in search.current(spark.read.parquet(place)).collect()}
+    assert rows["areas/tuned.md"] == "new words" and "inbox/README.md" not in rows and len(rows) == 6

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum import session
 from vellum.functions.urls import PLATFORMS
 from vellum.operators import graph, notes, search, traverse
 from vellum.plans import query as plans
@@ -64,6 +66,26 @@ class Vault:
         at = search.snippet_offset(F.col("content"), text)
         return found.select("path", "title", "score", search.hit_line(F.col("content"), at).alias("line"), search.snippet(F.col("content"), at).alias("snippet")).orderBy(F.desc("score"), "path")
 
+    def build_index(self, path: str, force: bool = False) -> DataFrame:
+        """Brings the chunk index at ``path`` up to date; counts of what was new, changed, removed.
+
+        Changed notes are appended as a new part and listed in it; readers take a note's
+        newest part. ``force`` writes everything anew.
+        """
+        bodies = self.notes.filter(F.col("id") != self.catalog_id).select("path", "content")
+        now = bodies.select("path", F.sha2("content", 256).alias("sha256"))
+        try:
+            old = None if force else search.current(self.spark.read.parquet(path))
+        except AnalysisException:
+            old = None
+        listed = self.spark.createDataFrame([], "path string, sha256 string") if old is None else old.select("path", "sha256").distinct()
+        diff = session.written(search.index_diff(listed, now), "index-diff")
+        part = 0 if old is None else self.spark.read.parquet(path).agg(F.max("part")).first()[0] + 1
+        fresh = search.chunks(bodies.join(diff.filter("state IN ('new', 'updated')"), "path", "left_semi"))
+        gone = diff.filter("state = 'removed'").select("path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema.fields[1:]])
+        fresh.unionByName(gone).withColumn("part", F.lit(part)).write.mode("append" if old is not None else "overwrite").parquet(path)
+        return search.update_counts(diff)
+
     def expected_index(self) -> tuple[vault.Revision, str]:
         seen = vault.read_index(self.root, self.index)
         return seen, graph.replace_catalog(seen.content, graph.render_catalog(self.notes, self.catalog_id))

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from functools import cached_property
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions import markdown, paths
 
@@ -226,9 +228,10 @@ def catalog_line(note_id: str, title: str, summary: str, properties: dict[str, s
 def catalog_rows(notes: DataFrame, catalog_id: str = "index") -> DataFrame:
     """``(section, id, title, line)`` of every content note; a section is the first path part."""
 
-    @F.udf("string")
-    def line(note_id, title, summary, properties):
-        return catalog_line(note_id, title, summary, properties)
+    @F.pandas_udf(T.StringType())
+    def line(ids: pd.Series, titles: pd.Series, summaries: pd.Series, properties: pd.Series) -> pd.Series:
+        rows = zip(ids, titles, summaries, properties, strict=True)
+        return pd.Series([catalog_line(i, t or "", s, dict(p) if p is not None else None) for i, t, s, p in rows], dtype=object)
 
     section = F.when(F.col("id").contains("/"), F.substring_index("id", "/", 1)).otherwise("Notes")
     return notes.filter(F.col("id") != catalog_id).select(section.alias("section"), "id", "title", line("id", "title", "summary", "properties").alias("line"))

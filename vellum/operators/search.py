@@ -124,6 +124,12 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
 
 
+def current(index: DataFrame) -> DataFrame:
+    """Of an index written in parts the newest chunks of each note that is still there."""
+    newest = index.groupBy("path").agg(F.max("part").alias("part"))
+    return index.join(newest, ["path", "part"]).filter("sha256 IS NOT NULL")
+
+
 def update_counts(diff: DataFrame) -> DataFrame:
     def count(*states: str) -> Column:
         return F.count_if(F.col("state").isin(*states))

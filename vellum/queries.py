@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import redaction, urls
-from vellum.operators import assets, captures, graph, pdf, references, search, threads, traverse
+from vellum.operators import assets, captures, graph, pdf, pipeline, references, search, threads, traverse
 from vellum.operators import notes as note_ops
 from vellum.plans import query as plans
 from vellum.sources.tables import table
@@ -253,6 +253,18 @@ def capture_manifests(spark, folder):
     return assets.manifest(table(spark, folder, "capture_outcomes"))
 
 
+def page_extract(spark, folder):
+    """Every acquired page's article, judged."""
+    rows = pipeline.extractions(table(spark, folder, "acquisitions"))
+    return rows.select("page_id", "platform", "title", "author", "status", "word_count", "score")
+
+
+def capture_documents(spark, folder):
+    """The best capture of each address, named, rewritten and redacted."""
+    rows = pipeline.finished(pipeline.chosen(pipeline.extractions(table(spark, folder, "acquisitions"))))
+    return rows.select("page_id", "slug", "status", F.length("markdown").alias("n_chars"), "n_redacted")
+
+
 def redacted_texts(spark, folder):
     """Captured texts in which credentials were found."""
     rows = table(spark, folder, "captured_entries").filter("text IS NOT NULL")
@@ -368,7 +380,7 @@ QUERIES = {
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, bm25_topk,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
-        capture_quality, page_best_candidate, capture_manifests, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, pdf_body_sizes,
+        capture_quality, page_best_candidate, capture_manifests, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
