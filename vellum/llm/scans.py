@@ -54,6 +54,7 @@ _CUT = re.compile(rf"([^\W_]+)([-¬=‐\xad])[\s{_STRAY}·]*$")
 _ROMAN = re.compile(r"(?:x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _NUMBER = re.compile(r"(?<![\w])[\dlIO|]*\d[\dlIO]*(?!\w)")
 _PAGE_WORDS = ("page", "pages", "of", "p", "pp", "seite", "von", "sur", "de", "pag", "página", "s")
+_DOT = re.compile(r"(?<=\w)·|(?<=\w[.,;:?!\])]) ·$|(?<=\w) ·$|\w ·,")
 _MARKS = re.compile(rf"[{_STRAY}]")
 
 
@@ -146,8 +147,10 @@ def cut_word(line: str, following: str | None, known: Vocabulary) -> tuple[str,
 def misread(line: str, known: Vocabulary, skip_first: str | None, skip_last: str | None, furniture: bool) -> bool:
     """Whether recognition left a wrong character, blank or mark in the line."""
     text = re.sub(r"^\d+ \| ", " ", line) if furniture else line
-    if _MARKS.search(text) or re.search(r"(?<=\w)·|(?<=\w[.,;:?!\])]) ·$|(?<=\w) ·$|\w ·,", text):
+    if _MARKS.search(text) or ("·" in text and _DOT.search(text)):
         return True
+    if all(w in known.sound or w.isdigit() for w in _TOKEN.findall(text.casefold())):
+        return False
     text = _CODE.sub(lambda m: " " * len(m.group()), text)
     words = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     if skip_first and words and words[0][0] == skip_first:
