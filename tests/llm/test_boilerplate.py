@@ -61,7 +61,7 @@ def test_tree_and_its_expression(spark):
 
 
 def frame(spark, bodies):
-    return spark.createDataFrame([("t", i, b, None) for i, b in enumerate(bodies)], "tbl string, row_id long, body string, title string")
+    return spark.createDataFrame([(5, "t", i, b, None, "x") for i, b in enumerate(bodies)], "share int, tbl string, row_id long, body string, title string, line_no string")
 
 
 def test_unmarked_pages_learn_from_marked_ones(spark):

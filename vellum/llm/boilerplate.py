@@ -33,6 +33,8 @@ from vellum.sources.tables import table
 
 #: Pages of the labelled table at most; depth and smallest leaf of the tree.
 TRAIN_PAGES, DEPTH, LEAF = 1500, 10, 15
+#: Blocks of a page of that table at most; longer pages are not drawn.
+TRAIN_BLOCKS = 400
 #: Words at a block's head by which it is known again.
 HEAD_WORDS = 4
 #: Equal blocks, as a power of two, from which a block that stands on one side only is taken as known.
@@ -186,7 +188,7 @@ def blocks(pages: DataFrame) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _BLOCK.names)
 
-    rows = pages.mapInArrow(run, _BLOCK)
+    rows = pages.select("tbl", "row_id", "body", "title").mapInArrow(run, _BLOCK)
     return rows.withColumn("key", F.xxhash64("key")).withColumn("kind", F.col("kind").cast("byte"))
 
 
@@ -278,12 +280,13 @@ def expression(tree) -> Column:
 
 def labelled_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the drawn pages: as they are, without links, without tags."""
-    pages = rows.filter("inside IS NOT NULL").select("tbl", "row_id").distinct()
+    marked = rows.filter("inside IS NOT NULL")
+    pages = marked.groupBy("tbl", "row_id").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") <= TRAIN_BLOCKS).select("tbl", "row_id")
     n = pages.count()
     if not n:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     draw = F.pmod(F.xxhash64("tbl", "row_id"), F.lit(1 << 30)) < int(min(1.0, TRAIN_PAGES / n) * (1 << 30))
-    drawn = rows.filter(draw & F.col("inside").isNotNull())
+    drawn = marked.filter(draw).join(pages, ["tbl", "row_id"], "left_semi")
     none = {"density": F.lit(0.0).cast("float")}
     unlinked = drawn.withColumns({"plain": F.lit(1), **none})
     bare = drawn.withColumns({"plain": F.lit(2), "kind": F.lit(0).cast("byte"), **none})
