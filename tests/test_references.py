@@ -9,7 +9,7 @@ from vellum.functions import paths
 from vellum.operators import references as ref
 
 SPANS = "k string, s timestamp_ntz, e timestamp_ntz"
-REFS = "row_id long, ref_key string, moment timestamp_ntz, reason_code string, span string"
+REFS = "row_id long, ref_key string, moment timestamp_ntz, reason string, span string, salt int, at string, n_salts string"
 
 
 def day(n):
@@ -17,7 +17,7 @@ def day(n):
 
 
 def orphans(spark, refs, spans):
-    r = spark.createDataFrame([(i, k, day(t), "x", "y") for i, (k, t) in enumerate(refs)], REFS).withColumnRenamed("span", "note")
+    r = spark.createDataFrame([(i, k, day(t), "x", "y", 1, "z", "w") for i, (k, t) in enumerate(refs)], REFS)
     p = ref.parent_spans(spark.createDataFrame([(k, day(a), day(b)) for k, a, b in spans], SPANS), F.col("k"), F.col("s"), F.col("e"))
     return {row.row_id: row.reason for row in ref.orphan_references(r, p).collect()}
 
@@ -48,7 +48,7 @@ def test_hot_key_is_salted(spark, monkeypatch):
     refs = [("hot", i % 9) for i in range(300)] + [("cold", 1), ("none", 2)]
     spans = [("hot", 2, 4), ("hot", 6, 7), ("cold", 0, None)]
     assert orphans(spark, refs, spans) == brute(refs, spans)
-    r = spark.createDataFrame([(i, k, day(t), "", "") for i, (k, t) in enumerate(refs)], REFS)
+    r = spark.createDataFrame([(i, k, day(t), "", "", 0, "", "") for i, (k, t) in enumerate(refs)], REFS)
     assert ref.hot_salts(r) == [("hot", 30)]
 
 

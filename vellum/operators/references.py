@@ -57,16 +57,19 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     the moment) or ``deleted``. References with a null key refer to nothing and do not
     come out. With a null moment only ``missing`` can be told. Repeated references each
     come out; ties of moments count as present (starts are inclusive, ends exclusive).
+    A column ``reason`` of the references gives way to the result's.
     """
     spark = references.sparkSession
     references = references.filter(F.col("ref_key").isNotNull())
-    payload = [c for c in references.columns if c not in ("ref_key", "moment")]
+    payload = [c for c in references.columns if c not in ("ref_key", "moment", "reason")]
+    references = references.select("ref_key", "moment", *payload)
     hot = hot_salts(references)
     n_salts = F.lit(1)
     if hot:
-        salts = F.broadcast(spark.createDataFrame(hot, "ref_key string, n_salts int"))  # at most MAX_HOT rows
+        # named so that no column of the references is hidden
+        salts = F.broadcast(spark.createDataFrame(hot, "ref_key string, __salts int"))  # at most MAX_HOT rows
         references, parents = (x.join(salts, "ref_key", "left") for x in (references, parents))
-        n_salts = F.coalesce("n_salts", F.lit(1))
+        n_salts = F.coalesce("__salts", F.lit(1))
 
     refs = references.select(
         "ref_key",
@@ -101,11 +104,8 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
         .when(~F.col("known"), "late")
         .when(F.col("reach") <= F.col("at"), "deleted")
     )
-    return (
-        state.filter(F.col("ref").isNotNull())
-        .select("ref.*", "ref_key", reason.alias("reason"))
-        .filter(F.col("reason").isNotNull())
-    )
+    found = state.withColumn("reason", reason).filter(F.col("ref").isNotNull() & F.col("reason").isNotNull())
+    return found.select("ref.*", "ref_key", "reason")
 
 
 def note_name_spans(notes: DataFrame) -> DataFrame:
