@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import boilerplate as bp
 
@@ -73,6 +74,15 @@ def test_unmarked_pages_learn_from_marked_ones(spark):
     assert all(rows[i] == FURNITURE for i in range(60))
 
 
+def test_null_and_repeated_ids(spark):
+    bodies = [page(i) for i in range(30)]
+    df = frame(spark, bodies)
+    twice = df.unionByName(df).unionByName(df.limit(5).withColumn("row_id", F.lit(None).cast("long")))
+    rows = bp.furniture(twice).collect()
+    assert sorted(r.line_no for r in rows if r.row_id == 3) == sorted([*FURNITURE, *FURNITURE])
+    assert sorted(r.line_no for r in rows if r.row_id is None) == sorted([*FURNITURE] * 5)
+
+
 def test_without_marked_pages_a_rule_stands_in(spark):
     rows = bp.furniture(frame(spark, [page(1, marked=False)])).collect()
     assert {9, 10} <= {r.line_no for r in rows} and not {17, 18, 19} & {r.line_no for r in rows}

@@ -55,6 +55,11 @@ def test_hot_form_is_not_compared_with_itself(spark):
     assert lk.pairs(lk.forms(rows(spark, texts))).count() == 3000
 
 
+def test_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "а"), (2, "a")], "id long, said string")
+    assert [tuple(r) for r in lk.pairs(lk.forms(lk.skeletons(df, "id", "said", "t"))).collect()] == [("t", 1, 2)]
+
+
 def test_empty(spark):
     assert lk.pairs(lk.forms(rows(spark, ["a"]).limit(0))).count() == 0
 

@@ -154,11 +154,12 @@ _BLOCK = T.StructType(
         T.StructField("parts", T.IntegerType()),
         T.StructField("title", T.IntegerType()),
         T.StructField("inside", T.IntegerType()),
+        T.StructField("uid", T.LongType()),
     ]
 )
 
 
-def _features(tbl: str, row_id: int, body: str, title: str | None) -> list[tuple]:
+def _features(tbl: str, row_id: int, body: str, title: str | None, uid: int) -> list[tuple]:
     markup = bool(_HTML.search(body[:2000]))
     blocks, titles = html_blocks(body) if markup else markdown_blocks(body)
     if title:
@@ -171,7 +172,7 @@ def _features(tbl: str, row_id: int, body: str, title: str | None) -> list[tuple
     for (no, lines, text, kind, linked, inside), n in zip(blocks, parts, strict=True):
         ends = bool(_ENDS.search(text[-6:]))
         words = text.count(" ") + 1
-        out.append((tbl, row_id, no, lines, block_key(text, ends), words, min(1.0, linked / len(text)), kind, int(ends), n, int(text in titles and kind != 1), inside))
+        out.append((tbl, row_id, no, lines, block_key(text, ends), words, min(1.0, linked / len(text)), kind, int(ends), n, int(text in titles and kind != 1), inside, uid))
     return out
 
 
@@ -179,16 +180,17 @@ def blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages ``(tbl, row_id, body, title)``; keys come out hashed."""
 
     def run(batches):
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float32(), *[pa.int32()] * 5]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float32(), *[pa.int32()] * 5, pa.int64()]
         for batch in batches:
             found = []
-            for values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for values in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if values[2]:
                     found += _features(*values)
             columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _BLOCK.names)
 
-    rows = pages.select("tbl", "row_id", "body", "title").mapInArrow(run, _BLOCK)
+    # a row is a page of its own, also where its id is null or repeated
+    rows = pages.select("tbl", "row_id", "body", "title", F.monotonically_increasing_id().alias("uid")).mapInArrow(run, _BLOCK)
     return rows.withColumn("key", F.xxhash64("key")).withColumn("kind", F.col("kind").cast("byte"))
 
 
@@ -210,7 +212,7 @@ FEATURES = (
 
 def with_neighbours(rows: DataFrame) -> DataFrame:
     """The features of :data:`FEATURES`: of a block, its neighbours (1 before, 2 and 3 after), its list and its run of short blocks."""
-    page = Window.partitionBy("tbl", "row_id", "plain").orderBy("line_no")
+    page = Window.partitionBy("uid", "plain").orderBy("line_no")
     near = {}
     for c, none in (("words", 0), ("density", 0.0), ("share", -1.0), ("ends", 0), ("kind", -1)):
         near[f"{c}_1"] = F.coalesce(F.lag(c).over(page), F.lit(none))
@@ -226,8 +228,8 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("lag_item", F.lag("item").over(page)).withColumn("lag_short", F.lag("short").over(page))
     turn = {f"{n}_run": F.sum((~F.col(f"lag_{n}").eqNullSafe(F.col(n))).cast("int")).over(page) for n in ("item", "short")}
     rows = rows.withColumns(turn)
-    mine = Window.partitionBy("tbl", "row_id", "plain", "item_run")
-    run = Window.partitionBy("tbl", "row_id", "plain", "short_run")
+    mine = Window.partitionBy("uid", "plain", "item_run")
+    run = Window.partitionBy("uid", "plain", "short_run")
     known = F.when(F.col("share") >= 0, F.col("share"))
     first = F.min_by("share_1", "line_no").over(mine)
     return rows.withColumns(
@@ -281,12 +283,12 @@ def expression(tree) -> Column:
 def labelled_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the drawn pages: as they are, without links, without tags."""
     marked = rows.filter("inside IS NOT NULL")
-    pages = marked.groupBy("tbl", "row_id").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") <= TRAIN_BLOCKS).select("tbl", "row_id")
+    pages = marked.groupBy("uid").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") <= TRAIN_BLOCKS).select("uid")
     n = pages.count()
     if not n:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     draw = F.pmod(F.xxhash64("tbl", "row_id"), F.lit(1 << 30)) < int(min(1.0, TRAIN_PAGES / n) * (1 << 30))
-    drawn = marked.filter(draw).join(pages, ["tbl", "row_id"], "left_semi")
+    drawn = marked.filter(draw).join(pages, "uid", "left_semi")
     none = {"density": F.lit(0.0).cast("float")}
     unlinked = drawn.withColumns({"plain": F.lit(1), **none})
     bare = drawn.withColumns({"plain": F.lit(2), "kind": F.lit(0).cast("byte"), **none})

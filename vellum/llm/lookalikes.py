@@ -6,7 +6,8 @@ letters; invisible characters by nothing) and decomposed again. Texts with equal
 skeletons look the same. Different printable ASCII characters keep different skeletons,
 as do texts that differ in case, word or punctuation.
 
-Defined results: a null text has a null skeleton and looks like nothing; an empty text
+Defined results: a null text has a null skeleton and looks like nothing; rows without an
+id are left out, as no pair could name them; an empty text
 looks like a text of invisible characters only; exact copies are one form, whose rows are
 listed but not paired with each other. Ties have no order to break. Extra columns are
 ignored. Texts are read whole.
@@ -73,7 +74,7 @@ def uniform(text: str | None) -> str | None:
 def skeletons(df: DataFrame, id_col: str, text_col: str, source: str = "") -> DataFrame:
     """``(tbl, row_id, text, skeleton)`` of every row with a text. ASCII texts stay in the JVM."""
     rows = df.select(F.lit(source).alias("tbl"), F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    rows = rows.filter("text IS NOT NULL")
+    rows = rows.filter("text IS NOT NULL AND row_id IS NOT NULL")
     plain = F.octet_length("text") == F.length("text")
 
     @F.pandas_udf(T.StringType())
