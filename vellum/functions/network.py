@@ -24,7 +24,7 @@ _PRIVATE6 = [
         "64::/16", "100::/16", "2001::/23", "2001:db8::/32", "2002::/16", "3ffe::/16", "3fff::/20", "5f00::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
     )
 ]
-_PRIVATE_HOSTS = (".localhost", ".local", ".internal", ".lan", ".home", ".home.arpa", ".intranet", ".corp", ".private")
+_PRIVATE_HOSTS = (".localhost", ".local", ".internal", ".home", ".lan")
 
 
 def is_private_address(text: str) -> bool:

@@ -129,7 +129,7 @@ def canonical(url: Column) -> Column:
 
 def scope(platform: Column) -> Column:
     """What a capture of a platform's page covers by itself."""
-    return F.when(platform.isin("x", "bluesky", "threads"), "thread").when(platform.isin("hacker-news", "reddit"), "comments").otherwise("page")
+    return F.when(platform.isin("hacker-news", "reddit", "github", "discourse"), "comments").when(platform.isin("x", "bluesky"), "thread").otherwise("page")
 
 
 def slug(text: str | None) -> str | None:

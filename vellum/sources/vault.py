@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Folders that hold no notes (fixed values), besides hidden ones.
-IGNORED = ("node_modules", "dist", "build", "coverage", "vendor", "target")
+IGNORED = ("coverage", "dist", "node_modules")
 GUIDE = "AGENTS.md"
 
 
