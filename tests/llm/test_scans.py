@@ -15,7 +15,7 @@ def known():
     [
         ("the qu-", "ick fox", ("qu", "ick")), ("the cata¬", "log of", ("cata", "log")), ("the cata=", "log", ("cata", "log")), ("the well-", "known fox", None),
         ("the half-", "finished essay", None), ("of 1990-", "1994", None), ("the cata- |", "log", ("cata", "log")), ("the quick", "fox", None), ("the cata-", None, None),
-        ("[K-", "00apug]", None), ("the cata-", "Log", ("cata", "Log")), ("run-", "ningfox", ("run", "ningfox")),
+        ("[K-", "00apug]", None), ("the cata-", "Log", ("cata", "Log")), ("the cata-", "the dog", ("cata", "")), ("the cata-", "l0g", ("cata", "l0g")), ("the wcll-", "known", None), ("run-", "ningfox", ("run", "ningfox")),
     ],
 )
 def test_cut_words(known, line, after, want):

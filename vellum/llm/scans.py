@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_left
 
 import pandas as pd
 import pyarrow as pa
@@ -84,8 +85,15 @@ class Vocabulary:
 
     def __init__(self, sound: dict[str, int]) -> None:
         self.sound, self.known = sound, {}
+        self.ordered = sorted(sound)
         self.common = sorted(sound.values())[-(len(sound) // 20 + 1)] if sound else 0
 
+    def begins(self, part: str) -> bool:
+        """Whether a sound word begins with ``part``."""
+        part = part.casefold()
+        at = bisect_left(self.ordered, part)
+        return at < len(self.ordered) and self.ordered[at].startswith(part)
+
     def right(self, word: str) -> str | None:
         """The sound word that ``word`` was most likely read from; itself where it is sound, None where unknown."""
         word = word.casefold()
@@ -127,21 +135,24 @@ def _places(word: str, part: str) -> list[int]:
 def cut_word(line: str, following: str | None, known: Vocabulary) -> tuple[str, str] | None:
     """The halves of a word cut at the line's end, or None; a compound at its own hyphen is none."""
     m = _CUT.search(line)
-    n = re.match(rf"[\s{_STRAY}]*([^\W\d_][^\W_]*)(?: ([^\W\d_]+))?", following) if m and following else None
-    if not m or not n or m.group(1).isdigit():
-        return None
-    a, mark, b = m.group(1), m.group(2), n.group(1)
-    whole = (a + b).casefold()
-    if whole in known.sound or (n.group(2) and (whole + n.group(2).casefold()) in known.sound and b.casefold() not in known.sound):
-        return a, b
-    if any(whole[:i] in known.sound and whole[i:] in known.sound for i in range(len(a) + 1, len(whole) - 1)) and b.casefold() not in known.sound:
-        return a, b
-    if mark in "¬=\xad":
-        return a, b
-    if b[0].isupper() or f"{a}-{b}".casefold() in known.sound:
+    n = re.match(rf"[\s{_STRAY}]*([^\W_]+)(?: ([^\W\d_]+))?", following) if m and following else None
+    if not m or m.group(1).isdigit():
         return None
-    both = a.casefold() in known.sound and b.casefold() in known.sound
-    return None if both or known.right(a + b) is None else (a, b)
+    a, mark = m.group(1), m.group(2)
+    if n and not n.group(1).isdigit():
+        b = n.group(1)
+        whole, rest = (a + b).casefold(), b.casefold()
+        if whole in known.sound or (n.group(2) and whole + n.group(2).casefold() in known.sound and rest not in known.sound):
+            return a, b
+        if rest not in known.sound and any(whole[:i] in known.sound and whole[i:] in known.sound for i in range(len(a) + 1, len(whole) - 1)):
+            return a, b
+        if mark in "¬=\xad":
+            return a, b
+        compound = f"{a}-{b}".casefold() in known.sound or (known.right(a) is not None and rest in known.sound)
+        if not compound and not b[0].isupper() and known.right(a + b) is not None:
+            return a, b
+    # its other half is lost, but what stands here only begins a word
+    return (a, "") if n and len(a) > 2 and known.right(a) is None and known.begins(a) else None
 
 
 def misread(line: str, known: Vocabulary, skip_first: str | None, skip_last: str | None, furniture: bool) -> bool:
