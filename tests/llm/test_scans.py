@@ -100,6 +100,23 @@ def test_noise_across_pages(spark):
     assert texts[77] == "the quick brown fox jumps over the lazy dog a report of the index card and the cata-"
 
 
+def test_block_lines_without_fragment(spark):
+    """What stands in a block only is read too, in lines and in running text, and tells how a line before it goes on."""
+    head, foot = ("e", 1, 0, 8.0, None), ("e", 1, 7, 8.0, None)
+    noisy = [
+        head, ("e", 1, 1, 10.0, BODY[0]), ("e", 1, 2, 10.0, None), ("e", 1, 3, 10.0, "a report of the cata-"), ("e", 1, 4, 10.0, None), ("e", 1, 5, 10.0, None),
+        ("e", 1, 6, 10.0, BODY[1]), foot, ("g", 1, 0, 10.0, BODY[0]), ("g", 1, 1, 10.0, None), ("g", 1, 2, 10.0, None), ("g", 1, 3, 10.0, BODY[1]),
+    ]
+    rows, blocks = corpus(noisy)
+    texts = ["Amber Index", f"{BODY[0]}\ntbe running fox", "a report of the cata-\nlog in the card", f"the lazy cata- log {BODY[1]}", "- 1 -"]
+    blocks += [(70 + i, "e", 1, i, t) for i, t in enumerate(texts)]
+    blocks += [(80, "g", 1, 0, f"{BODY[0]} the index in the cata- log of the fox {BODY[1]}"), (90, "b", 1, 0, f"{BODY[0]}\ntbe fox"), (91, "b", 2, 0, f"{BODY[1]}\nthe cata-"), (92, "b", 3, 0, "log of the fox")]
+    got = {}
+    for r in run(spark, rows, blocks).filter("row_id >= 9000 OR tbl = 'pdf_blocks' AND row_id BETWEEN 70 AND 92").collect():
+        got.setdefault(r.row_id, set()).add(r.defect)
+    assert got == {9003: {"hyphen"}, 70: {"header"}, 71: {"misread"}, 72: {"hyphen"}, 73: {"hyphen"}, 74: {"page_number"}, 80: {"hyphen"}, 90: {"misread"}, 91: {"hyphen"}}
+
+
 def test_repeated_rows_and_headings(spark):
     rows, blocks = corpus([("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 1, 10.0, BODY[0]), ("h", 1, 2, 10.0, "tbe fox"), ("h", 1, 2, 10.0, "tbe fox")])
     got = sorted((r.row_id, r.defect) for r in run(spark, rows, blocks).filter("row_id >= 9000").collect())

@@ -10,8 +10,10 @@ confusions, a lost blank or an added blank away from sound words; stray marks co
 
 Pages are read one at a time from partitions sorted by document and page, documents cut
 into runs of pages that bring their neighbours along, so a document is never held whole. Blocks
-get the findings of the lines they hold. The vocabulary reaches the workers only with
-words that make ``SHARE`` of all words at least, which bounds its size.
+get the findings of the lines they hold; what no fragment of the page covers of a block is
+read as lines of its own, in the places of the fragments without text. The vocabulary
+reaches the workers only with words that make ``SHARE`` of all words at least, which bounds
+its size.
 
 Defined results: null and empty texts hold nothing; repeated rows each give theirs; lines
 without document or page are read alone; ties of order go by text. Extra columns are
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -194,7 +196,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(uniform)
+        return texts.map(uniform, na_action="ignore")
 
     # a soft hyphen that ends a line is seen
     rows = rows.withColumn("text", F.regexp_replace("text", r"\xAD(?=\s|$)", "-"))
@@ -243,34 +245,105 @@ class Page:
     """One page's distinct lines and blocks in order, its furniture told from its content."""
 
     def __init__(self, rows: list[tuple]) -> None:
-        """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" hold in ordinal and size how often first and last line return."""
+        """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" (of "block_edges", for lines of blocks alone) hold in ordinal and size how often first and last line return."""
         self.lines: dict[tuple, list[int]] = {}
         self.blocks: dict[tuple, list[int]] = {}
         sizes: dict[tuple, float | None] = {}
-        returns = (0, 0)
+        lost: dict[int, float | None] = {}
+        returns = {"edges": (0, 0), "block_edges": (0, 0)}
         for tbl, row_id, ordinal, text, size in rows:
-            if tbl == "edges":
-                returns = (ordinal, int(size))
+            if tbl in returns:
+                returns[tbl] = (ordinal, int(size))
             elif text:
                 key = (ordinal if ordinal is not None else 1 << 30, text)
                 (self.lines if tbl == "pdf_fragments" else self.blocks).setdefault(key, []).append(row_id)
                 if tbl == "pdf_fragments":
                     sizes[key] = size
-        self.order = sorted(self.lines)
+            elif ordinal is not None:
+                lost[ordinal] = size
+        order = sorted(self.lines)
         weights: dict[float, int] = {}
-        for key in self.order:
+        for key in order:
             if sizes[key] is not None:
                 weights[sizes[key]] = weights.get(sizes[key], 0) + len(key[1])
         body = max(weights, key=lambda s: (weights[s], s)) if weights else None
 
         def furniture(key: tuple, times: int) -> bool:
-            ratio = sizes[key] / body if body and sizes[key] is not None else 1.0
+            ratio = sizes[key] / body if body and sizes.get(key) is not None else 1.0
             return ratio < SMALLER or (times >= RETURNS and ratio <= 1 / SMALLER)  # larger type is a heading
 
-        ends = {self.order[0][0]: returns[0], self.order[-1][0]: returns[1]} if len(self.order) > 1 else {}
-        self.edge = {k for k in self.order if k[0] in ends and furniture(k, ends[k[0]])}
+        for key in self.lines:
+            lost.pop(key[0], None)
+        self.held = sorted(self.blocks)
+        self.block_of = self._placed(order, lost, sizes)
+        self.order = sorted({*order, *self.block_of})
+        ends = {order[0][0]: returns["edges"][0], order[-1][0]: returns["edges"][1]} if len(order) > 1 else {}
+        self.edge = {k for k in order if k[0] in ends and furniture(k, ends[k[0]])}
+        if len(self.order) > 1:
+            outer = {k: n for k, n in zip((self.order[0], self.order[-1]), returns["block_edges"], strict=True) if k not in self.lines}
+            self.edge |= {k for k, n in outer.items() if furniture(k, n)}
         self.content = [k for k in self.order if k not in self.edge]
 
+    def _placed(self, order: list[tuple], lost: dict[int, float | None], sizes: dict[tuple, float | None]) -> dict[tuple, tuple]:
+        """The block of each line; what no fragment covers comes in as lines of its own, placed and sized as fragments without text (``lost``) where these stand there."""
+        starts, breaks, flat = [], [], " "
+        for key in self.held:
+            starts.append(len(flat))
+            for line in key[1].split("\n"):
+                if shown := " ".join(line.split()):
+                    breaks.append(len(flat))
+                    flat += shown + " "
+
+        def block(at: int) -> tuple:
+            return self.held[bisect_right(starts, at) - 1]
+
+        of: dict[tuple, tuple] = {}
+        covered: list[tuple[int, int, tuple]] = []
+        cursor = 0
+        for key in order:
+            shown = " ".join(key[1].split())
+            whole = f" {shown} "
+            at = next((x for x in (flat.find(whole, cursor), flat.find(whole)) if x >= 0), -2) + 1
+            at = at if at >= 0 else next((x for x in (flat.find(shown, cursor), flat.find(shown)) if x >= 0), -1)
+            if not shown or at < 1:
+                continue
+            of[key] = block(at)
+            cursor = at + len(shown)
+            covered.append((at, cursor, key))
+        covered.sort()
+        free = sorted(lost)
+        end, last = 1, None
+        for start, stop, key in [*covered, (len(flat), len(flat), None)]:
+            if start > end and flat[end:start].strip():
+                place = last[0] if last else min([*free[:1], key[0] if key else 0]) - 1
+                for begin, piece in _pieces(flat, end, start, breaks):
+                    o = next((o for o in free if o > place and (key is None or o < key[0])), None)
+                    if o is None:
+                        place += 1e-6
+                    else:
+                        free.remove(o)
+                        place = o
+                        sizes[place, piece] = lost[o]
+                    of[place, piece] = block(begin)
+            if stop > end:
+                end, last = stop, key
+        return of
+
+
+def _pieces(flat: str, start: int, stop: int, breaks: list[int]):
+    """The lines in a stretch: whole words, up to a line's end or a mark that cuts a word."""
+    while start < stop and flat[start - 1] != " ":
+        start += 1
+    while stop > start and stop < len(flat) and flat[stop - 1] != " ":
+        stop -= 1
+    begin = start
+    for m in re.finditer(r"\S+", flat[start:stop]):
+        after = start + m.end() + 1
+        k = bisect_left(breaks, after)
+        if after >= stop or (k < len(breaks) and breaks[k] == after) or _CUT.search(m.group()):
+            yield begin, flat[begin : after - 1]
+            begin = after
+
 
 def page_findings(page: Page, before: str | None, after: str | None, known: Vocabulary, repair: bool) -> list[tuple]:
     """Findings of a page between the last line of text before it and the first after it."""
@@ -295,28 +368,14 @@ def page_findings(page: Page, before: str | None, after: str | None, known: Voca
             found[key] |= ({"page_number"} if number else set()) | ({"header"} if title else set())
         if misread(key[1], known, *halves[key], key in edge):
             found[key].add("misread")
-    out = [("pdf_fragments", i, d, None) for k in order for d in found[k] for i in lines[k]]
-    # blocks hold the lines of the page in order
-    starts, flat = [], ""
-    held = sorted(blocks)
-    for key in held:
-        starts.append(len(flat))
-        flat += " ".join(key[1].split()) + " "
-    of_block: dict[tuple, set[str]] = {k: set() for k in held}
-    cursor = 0
-    for key in order:
-        shown = " ".join(key[1].split())
-        at = flat.find(shown, cursor)
-        at = at if at >= 0 else flat.find(shown)
-        if at < 0:
-            continue
-        k = next(i for i in range(len(starts) - 1, -1, -1) if starts[i] <= at)
-        of_block[held[k]] |= found[key]
-        cursor = at + len(shown)
+    out = [("pdf_fragments", i, d, None) for k in order for d in found[k] for i in lines.get(k, ())]
+    of_block: dict[tuple, set[str]] = {k: set() for k in page.held}
+    for key, block in page.block_of.items():
+        of_block[block] |= found[key]
     if not repair:
-        return out + [("pdf_blocks", i, d, None) for k in held for d in of_block[k] for i in blocks[k]]
+        return out + [("pdf_blocks", i, d, None) for k in page.held for d in of_block[k] for i in blocks[k]]
     furniture = {" ".join(k[1].split()) for k in edge}
-    return [("pdf_blocks", i, "", repaired(k[1], furniture, known)) for k in held for i in blocks[k]]
+    return [("pdf_blocks", i, "", repaired(k[1], furniture, known)) for k in page.held for i in blocks[k]]
 
 
 def repaired(text: str, furniture: set[str], known: Vocabulary) -> str:
@@ -350,34 +409,40 @@ def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> D
     """``(tbl, row_id, defect)`` of both tables, or with ``repair`` every block's text put right."""
     def keyed(df: DataFrame, tbl: str, key: str, size) -> DataFrame:
         alone = F.col("pdf_id").isNull() | F.col("page_no").isNull()
-        return df.filter("text IS NOT NULL").select(
+        return df.select(
             F.lit(tbl).alias("tbl"), F.col(key).alias("row_id"),
             F.when(alone, F.concat(F.lit("\0"), F.col(key).cast("string"))).otherwise(F.col("pdf_id")).alias("pdf_id"),
             F.coalesce("page_no", F.lit(0)).alias("page_no"), F.col("ordinal").cast("int").alias("ordinal"), "text", size.alias("size"),
         )
 
     lines = written(_lines(keyed(fragments, "pdf_fragments", "fragment_id", F.col("font_size").cast("double"))), "scan-lines")
-    texts = _lines(keyed(blocks, "pdf_blocks", "block_id", F.lit(None).cast("double")))
+    placed, lines = lines, lines.filter("text IS NOT NULL")  # a fragment without text still has its place
+    texts = written(_lines(keyed(blocks.filter("text IS NOT NULL"), "pdf_blocks", "block_id", F.lit(None).cast("double"))), "scan-texts")
     words = vocabulary(lines).collect()  # at most 1 / SHARE words
     shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound_words([tuple(r) for r in words])))
 
     # how often a page's first and last line return, fuzzily, at the edges of its document's pages
     place = F.struct("ordinal", "text")
-    ends = lines.groupBy("pdf_id", "page_no").agg(F.min_by("text", place).alias("first"), F.max_by("text", place).alias("last"))
+    first, last = F.min_by("text", place), F.max_by("text", place)
+    ends = lines.groupBy("pdf_id", "page_no").agg(F.lit("edges").alias("tbl"), first.alias("first"), last.alias("last"))
+    outer = texts.groupBy("pdf_id", "page_no").agg(F.lit("block_edges").alias("tbl"), F.substring_index(first, "\n", 1).alias("first"), F.substring_index(last, "\n", -1).alias("last"))
     both = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("text")), F.struct(F.lit(1).alias("side"), F.col("last").alias("text"))))
     fold = F.regexp_replace(F.translate(F.lower("text"), "1l!|0cbfnu", "iiiioehtan"), r"[^\p{L}]+", "")
-    edges = ends.select("pdf_id", "page_no", both).withColumn("edge", fold).filter(F.length("edge") >= 4)
-    returns = edges.groupBy("pdf_id", "edge").agg(F.count_distinct("page_no").alias("n")).filter(F.col("n") >= RETURNS)
-    sides = edges.join(returns, ["pdf_id", "edge"]).groupBy("pdf_id", "page_no").agg(
-        F.lit("edges").alias("tbl"), F.lit(None).cast("bigint").alias("row_id"), F.coalesce(F.max(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).cast("int").alias("ordinal"),
-        F.lit(None).cast("string").alias("text"), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("n"))), F.lit(0)).cast("double").alias("size"),
+    edges = ends.unionByName(outer).select("pdf_id", "page_no", "tbl", both).withColumn("edge", fold).filter(F.length("edge") >= 4)
+    # lines of fragments are compared with such lines only, those that stand in blocks alone with both
+    own_pages = F.count_distinct(F.when(F.col("tbl") == "edges", F.col("page_no")))
+    returns = edges.groupBy("pdf_id", "edge").agg(own_pages.alias("n"), F.count_distinct("page_no").alias("n_all")).filter(F.col("n_all") >= RETURNS)
+    times = F.when(F.col("tbl") == "edges", F.col("n")).otherwise(F.col("n_all"))
+    sides = edges.join(returns, ["pdf_id", "edge"]).groupBy("pdf_id", "page_no", "tbl").agg(
+        F.lit(None).cast("bigint").alias("row_id"), F.coalesce(F.max(F.when(F.col("side") == 0, times)), F.lit(0)).cast("int").alias("ordinal"),
+        F.lit(None).cast("string").alias("text"), F.coalesce(F.max(F.when(F.col("side") == 1, times)), F.lit(0)).cast("double").alias("size"),
     )
 
     # a document is cut into runs of pages; the pages next to a run come with it to be looked at only
     run_no = F.floor(F.col("page_no") / RUN_PAGES)
     near = F.array_distinct(F.array(run_no, F.floor((F.col("page_no") - 1) / RUN_PAGES), F.floor((F.col("page_no") + 1) / RUN_PAGES)))
     columns = ["pdf_id", "page_no", "tbl", "row_id", "ordinal", "text", "size"]
-    rows = lines.select(*columns).unionByName(texts.select(*columns)).unionByName(sides.select(*columns))
+    rows = placed.select(*columns).unionByName(texts.select(*columns)).unionByName(sides.select(*columns))
     rows = rows.withColumn("own", run_no).withColumn("run", F.explode(near))
     rows = rows.select("pdf_id", "run", "page_no", (F.col("own") == F.col("run")).alias("own"), *columns[2:])
     rows = rows.repartition("pdf_id", "run").sortWithinPartitions("pdf_id", "run", "page_no")
