@@ -117,6 +117,22 @@ def test_block_lines_without_fragment(spark):
     assert got == {9003: {"hyphen"}, 70: {"header"}, 71: {"misread"}, 72: {"hyphen"}, 73: {"hyphen"}, 74: {"page_number"}, 80: {"hyphen"}, 90: {"misread"}, 91: {"hyphen"}}
 
 
+def test_paragraphs_over_page_ends(spark):
+    """A paragraph stands whole at its first block, also over pages and runs of pages; pages without blocks come from fragments."""
+    pages = {1: "the quick brown fox and the cata-", 2: "log in the running", 3: "fox jumps.", 63: "a report of the", 64: "index card and the cata-", 65: "log of the lazy dog.", 66: "the fox."}
+    rows, blocks = corpus([("q", p, 0, 10.0, t) for p, t in pages.items()])
+    rows += [(9500, "w", 1, 0, 10.0, "the quick cata-", "x", "y"), (9501, "w", 1, 1, 10.0, "log in tbe fox", "x", "y"), (9502, "w", 2, 0, 10.0, "jumps over the dog.", "x", "y")]
+    blocks += [(500 + p, "q", p, 0, t) for p, t in pages.items()]
+    got = {(r.tbl, r.row_id): r.text for r in sc.paragraphs(spark.createDataFrame(rows, FRAGMENTS), spark.createDataFrame(blocks, BLOCKS)).filter("pdf_id IN ('q', 'w')").collect()}
+    want = {501: "the quick brown fox and the catalog in the running fox jumps.", 563: "a report of the index card and the catalog of the lazy dog.", 566: "the fox.", 502: "", 503: "", 564: "", 565: ""}
+    assert got == {**{("pdf_blocks", i): t for i, t in want.items()}, ("pdf_fragments", 9500): "the quick catalog in the fox jumps over the dog."}
+
+
+@pytest.mark.parametrize("text,want", [("the well- known fox", "the well-known fox"), ("in [K- 00apug] the", "in [K-00apug] the"), ("the half- and", "the half- and"), ("the cata- the dog", "the cata- the dog"), ("the cata- l0g", "the catalog")])
+def test_repaired_breaks(known, text, want):
+    assert sc.repaired(text, set(), known) == want
+
+
 def test_repeated_rows_and_headings(spark):
     rows, blocks = corpus([("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 1, 10.0, BODY[0]), ("h", 1, 2, 10.0, "tbe fox"), ("h", 1, 2, 10.0, "tbe fox")])
     got = sorted((r.row_id, r.defect) for r in run(spark, rows, blocks).filter("row_id >= 9000").collect())

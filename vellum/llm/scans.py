@@ -15,6 +15,9 @@ read as lines of its own, in the places of the fragments without text. The vocab
 reaches the workers only with words that make ``SHARE`` of all words at least, which bounds
 its size.
 
+A repaired document is its paragraphs: what a block leaves open goes on in the next one, also
+over a page's end; pages without blocks are read from their fragments.
+
 Defined results: null and empty texts hold nothing; repeated rows each give theirs; lines
 without document or page are read alone; ties of order go by text. Extra columns are
 ignored.
@@ -28,7 +31,7 @@ from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +45,8 @@ SHARE, LEAST = 1e-6, 4
 SMALLER, RETURNS = 0.95, 2
 #: Pages of a document that one group of rows holds.
 RUN_PAGES = 64
+#: Kinds of blocks as numbers; text of kinds from ``RUNNING`` on goes on with what is open before it, or is left open.
+KINDS, RUNNING = {"heading": 0, "image": 0, "list-item": 1, "paragraph": 2}, 1
 
 #: What recognition takes for what (fixed values): wrong characters, then the right ones.
 CONFUSIONS = (
@@ -59,6 +64,11 @@ _NUMBER = re.compile(r"(?<![\w])[\dlIO|]*\d[\dlIO]*(?!\w)")
 _PAGE_WORDS = ("page", "pages", "of", "p", "pp", "seite", "von", "sur", "de", "pag", "página", "s")
 _DOT = re.compile(r"(?<=\w)·|(?<=\w[.,;:?!\])]) ·$|(?<=\w) ·$|\w ·,")
 _MARKS = re.compile(rf"[{_STRAY}]")
+_ENDED = re.compile(r"[.!?:;。！？…][\"'”’»)\]]*$")
+_ITEM = re.compile(r"(?:[•▪◦*–-]|\d{1,3}[.)]|[a-z][.)])\s")
+_BETWEEN = ("and", "or", "und", "oder", "bzw", "et", "ou", "y", "e", "o", "u")
+_LEADING = re.compile(rf"^[\s{_STRAY}]+")
+_TAIL = re.compile(rf"[\s{_STRAY}·]+$")
 
 
 def _near(a: str, b: str) -> bool:
@@ -239,6 +249,12 @@ def sound_words(rows) -> dict[str, int]:
 
 
 _OUT = T.StructType([T.StructField("tbl", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("defect", T.StringType()), T.StructField("text", T.StringType())])
+_PARTS = T.StructType(
+    [
+        T.StructField("tbl", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("pdf_id", T.StringType()), T.StructField("page_no", T.LongType()),
+        T.StructField("ordinal", T.LongType()), T.StructField("text", T.StringType()), T.StructField("flag", T.StringType()), T.StructField("run", T.LongType()),
+    ]
+)
 
 
 class Page:
@@ -248,7 +264,9 @@ class Page:
         """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" (of "block_edges", for lines of blocks alone) hold in ordinal and size how often first and last line return."""
         self.lines: dict[tuple, list[int]] = {}
         self.blocks: dict[tuple, list[int]] = {}
+        self.kinds: dict[tuple, float] = {}
         sizes: dict[tuple, float | None] = {}
+        self.sizes = sizes
         lost: dict[int, float | None] = {}
         returns = {"edges": (0, 0), "block_edges": (0, 0)}
         for tbl, row_id, ordinal, text, size in rows:
@@ -259,6 +277,8 @@ class Page:
                 (self.lines if tbl == "pdf_fragments" else self.blocks).setdefault(key, []).append(row_id)
                 if tbl == "pdf_fragments":
                     sizes[key] = size
+                elif size is not None:
+                    self.kinds[key] = size
             elif ordinal is not None:
                 lost[ordinal] = size
         order = sorted(self.lines)
@@ -266,7 +286,7 @@ class Page:
         for key in order:
             if sizes[key] is not None:
                 weights[sizes[key]] = weights.get(sizes[key], 0) + len(key[1])
-        body = max(weights, key=lambda s: (weights[s], s)) if weights else None
+        body = self.body = max(weights, key=lambda s: (weights[s], s)) if weights else None
 
         def furniture(key: tuple, times: int) -> bool:
             ratio = sizes[key] / body if body and sizes.get(key) is not None else 1.0
@@ -284,6 +304,10 @@ class Page:
             self.edge |= {k for k, n in outer.items() if furniture(k, n)}
         self.content = [k for k in self.order if k not in self.edge]
 
+    def large(self, key: tuple) -> bool:
+        """Whether a line is set larger than the page's text, as headings are."""
+        return bool(self.body) and self.sizes.get(key) is not None and self.sizes[key] * SMALLER > self.body
+
     def _placed(self, order: list[tuple], lost: dict[int, float | None], sizes: dict[tuple, float | None]) -> dict[tuple, tuple]:
         """The block of each line; what no fragment covers comes in as lines of its own, placed and sized as fragments without text (``lost``) where these stand there."""
         starts, breaks, flat = [], [], " "
@@ -387,9 +411,14 @@ def repaired(text: str, furniture: set[str], known: Vocabulary) -> str:
 
     def join(m: re.Match) -> str:
         cut = cut_word(m.group(1) + m.group(2), m.group(3), known)
-        return m.group(1) + m.group(3) if cut else m.group()
-
-    flat = re.sub(r"([^\W\d_]+)([-¬=‐\xad]) ([^\W\d_]+)", join, flat)
+        if cut and cut[1]:
+            return m.group(1) + m.group(3)
+        a, b = m.group(1).casefold(), m.group(3).casefold()
+        # a compound, or a code, that breaks at its own hyphen
+        own = m.group(2) == "-" and b not in _BETWEEN and (a == "k" or (known.right(a) is not None and known.right(b) is not None))
+        return f"{m.group(1)}-{m.group(3)}" if own else m.group()
+
+    flat = re.sub(r"([^\W_]+)([-¬=‐\xad]) ([^\W_]+)", join, flat)
     flat = " ".join(_MARKS.sub(" ", flat).split())
 
     def put_right(m: re.Match) -> str:
@@ -405,8 +434,165 @@ def repaired(text: str, furniture: set[str], known: Vocabulary) -> str:
     return re.sub(r"(?<![\w-])[^\W_]+(?![\w-])", put_right, flat)
 
 
+class Part:
+    """A block's text, or some lines of a page without blocks; later parts that go on with it are added."""
+
+    def __init__(self, tbl: str, ids: list[int], ordinal: int, text: str, runs: bool) -> None:
+        self.tbl, self.ids, self.ordinal, self.text, self.runs = tbl, ids, ordinal, text, runs
+        self.end = text
+
+    def takes(self, other: Part, turned: bool, known: Vocabulary) -> bool:
+        """Whether ``other``, the next part, goes on with this one; ``turned`` at a page's end."""
+        end = _TAIL.sub("", self.end)
+        if not (self.runs and other.runs and end) or _ITEM.match(other.text) or (_ENDED.search(end) and not _CUT.search(end)):
+            return False
+        begin = _LEADING.sub("", other.text)
+        return turned or begin[:1].islower() or cut_word(end, begin, known) is not None
+
+    def add(self, text: str) -> None:
+        self.text, self.end = joined(self.text, text), text
+
+
+def joined(text: str, more: str) -> str:
+    return _TAIL.sub("", text) + " " + _LEADING.sub("", more)
+
+
+def parts(page: Page) -> list[Part]:
+    """The parts of a page's content in order, those of furniture with no text."""
+    out = []
+    for key in page.held:
+        flat = " ".join(key[1].split())
+        for line in sorted((" ".join(k[1].split()) for k in page.edge if page.block_of.get(k) == key), key=len, reverse=True):
+            if f"{flat} ".startswith(f"{line} "):
+                flat = flat[len(line) :].lstrip()
+            elif f" {flat}".endswith(f" {line}"):
+                flat = flat[: -len(line)].rstrip()
+        out.append(Part("pdf_blocks", page.blocks[key], key[0], flat, page.kinds.get(key, RUNNING) >= RUNNING))
+    if out:
+        return out
+    longest = max((len(k[1]) for k in page.content), default=0)
+    last = None
+    for key in page.content:
+        line, large = " ".join(key[1].split()), page.large(key)
+        begins = last is None or page.sizes.get(last) != page.sizes.get(key) or _ITEM.match(line) or (_ENDED.search(last[1].rstrip()) and len(last[1]) < 0.8 * longest)
+        if begins:
+            out.append(Part("pdf_fragments", page.lines[key][:1], key[0], line, not large))
+        else:
+            out[-1].add(line)
+        last = key
+    return out
+
+
 def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> DataFrame:
-    """``(tbl, row_id, defect)`` of both tables, or with ``repair`` every block's text put right."""
+    """``(tbl, row_id, defect)`` of both tables, or with ``repair`` every block's text put right by itself."""
+    rows, shared = _runs(fragments, blocks)
+
+    def run(batches):
+        known = shared.value
+        stream = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found: list[tuple] = []
+        for _, group in itertools.groupby(stream, key=lambda r: r[:2]):
+            for page, before, after in _neighbours(group):
+                found += page_findings(page, before, after, known, repair)
+                if len(found) > 20_000:
+                    yield _emitted(found)
+                    found = []
+        yield _emitted(found)
+
+    return rows.mapInArrow(run, _OUT)
+
+
+def paragraphs(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(tbl, row_id, pdf_id, page_no, ordinal, text)``: a row a block, and of pages without blocks a row a paragraph.
+
+    A paragraph stands whole at the block in which it begins; blocks that go on with it, and
+    those of furniture, have the empty text.
+    """
+    rows, shared = _runs(fragments, blocks)
+
+    def run(batches):
+        known = shared.value
+        stream = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found: list[tuple] = []
+        for (pdf, number), group in itertools.groupby(stream, key=lambda r: r[:2]):
+            # the part that is still open, its page, and whether it began in this run, before its first page, or in an earlier one
+            held, at, began = None, 0, "here"
+            turn = None
+
+            def closed(more: bool):
+                """The rows of the held paragraph; pieces of one that other runs share are put together later."""
+                if held is None or began == "before":
+                    return []
+                shared_ = began == "earlier" or more
+                text = held.text if shared_ else repaired(held.text, set(), known)
+                flag = ("goes on" if began == "earlier" else "begins") if shared_ else ""
+                return [(held.tbl, i, pdf, at, held.ordinal, text, flag, number) for i in held.ids]
+
+            for no, g in itertools.groupby(group, key=lambda r: r[2]):
+                page_rows = list(g)
+                own, page = page_rows[0][3], Page([r[4:] for r in page_rows])
+                near = turn is not None and no == turn + 1
+                if held is not None and not near:
+                    found += closed(False)
+                    held = None
+                first = True
+                for part in parts(page):
+                    if not part.text:
+                        if own:
+                            found += [(part.tbl, i, pdf, no, part.ordinal, "", "", number) for i in part.ids]
+                        continue
+                    goes_on = held is not None and held.takes(part, first and near, known)
+                    first = False
+                    if not own and held is not None and began != "before":
+                        # the page after the run: only whether its first part goes on with the last one
+                        found += closed(goes_on)
+                        held = None
+                        break
+                    if goes_on and own and began != "before":
+                        held.add(part.text)
+                        found += [(part.tbl, i, pdf, no, part.ordinal, "", "", number) for i in part.ids if part.tbl == "pdf_blocks"]
+                        continue
+                    found += closed(False)
+                    held, at, began = part, no, ("earlier" if goes_on and own else "here") if own else "before"
+                turn = no
+                if first and held is not None:
+                    found += closed(False)  # a page without content ends what was open
+                    held = None
+                if len(found) > 20_000:
+                    yield _emitted(found, _PARTS)
+                    found = []
+            found += closed(False)
+        yield _emitted(found, _PARTS)
+
+    pieces = written(rows.mapInArrow(run, _PARTS), "scan-parts")
+    # of a run at most its first and its last paragraph are shared with others
+    document = Window.partitionBy("pdf_id").orderBy("run", "page_no", "ordinal")
+    shared_parts = pieces.filter("flag != ''").groupBy("pdf_id", "run", "page_no", "ordinal", "flag", "tbl").agg(F.collect_list("row_id").alias("ids"), F.first("text").alias("text"))
+    chains = shared_parts.withColumn("chain", F.sum((F.col("flag") == "begins").cast("int")).over(document)).groupBy("pdf_id", "chain").agg(
+        F.sort_array(F.collect_list(F.struct("run", "page_no", "ordinal", "tbl", "ids", "text"))).alias("parts")
+    )
+
+    def put_together(batches):
+        for batch in batches:
+            found = []
+            for pdf, pieces_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = pieces_[0]["text"]
+                for piece in pieces_[1:]:
+                    text = joined(text, piece["text"])
+                for k, x in enumerate(pieces_):
+                    shown = "" if k else repaired(text, set(), shared.value)
+                    found += [(x["tbl"], i, pdf, x["page_no"], x["ordinal"], shown, "", x["run"]) for i in x["ids"] if not k or x["tbl"] == "pdf_blocks"]
+            yield _emitted(found, _PARTS)
+
+    whole = chains.select("pdf_id", "parts").mapInArrow(put_together, _PARTS)
+    alone = F.col("pdf_id").startswith("\0")
+    return pieces.filter("flag = ''").unionByName(whole).select(
+        "tbl", "row_id", F.when(~alone, F.col("pdf_id")).alias("pdf_id"), "page_no", F.when(F.col("ordinal") < 1 << 30, F.col("ordinal")).alias("ordinal"), "text"
+    )
+
+
+def _runs(fragments: DataFrame, blocks: DataFrame):
+    """The rows of both tables in runs of pages, and the sound words, which all workers share."""
     def keyed(df: DataFrame, tbl: str, key: str, size) -> DataFrame:
         alone = F.col("pdf_id").isNull() | F.col("page_no").isNull()
         return df.select(
@@ -416,8 +602,9 @@ def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> D
         )
 
     lines = written(_lines(keyed(fragments, "pdf_fragments", "fragment_id", F.col("font_size").cast("double"))), "scan-lines")
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")].cast("double") if "kind" in blocks.columns else F.lit(None).cast("double")
     placed, lines = lines, lines.filter("text IS NOT NULL")  # a fragment without text still has its place
-    texts = written(_lines(keyed(blocks.filter("text IS NOT NULL"), "pdf_blocks", "block_id", F.lit(None).cast("double"))), "scan-texts")
+    texts = written(_lines(keyed(blocks.filter("text IS NOT NULL"), "pdf_blocks", "block_id", kind)), "scan-texts")
     words = vocabulary(lines).collect()  # at most 1 / SHARE words
     shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound_words([tuple(r) for r in words])))
 
@@ -447,19 +634,7 @@ def findings(fragments: DataFrame, blocks: DataFrame, repair: bool = False) -> D
     rows = rows.select("pdf_id", "run", "page_no", (F.col("own") == F.col("run")).alias("own"), *columns[2:])
     rows = rows.repartition("pdf_id", "run").sortWithinPartitions("pdf_id", "run", "page_no")
 
-    def run(batches):
-        known = shared.value
-        stream = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        found: list[tuple] = []
-        for _, group in itertools.groupby(stream, key=lambda r: r[:2]):
-            for page, before, after in _neighbours(group):
-                found += page_findings(page, before, after, known, repair)
-                if len(found) > 20_000:
-                    yield _emitted(found)
-                    found = []
-        yield _emitted(found)
-
-    return rows.mapInArrow(run, _OUT)
+    return rows, shared
 
 
 def _neighbours(group):
@@ -481,9 +656,9 @@ def _neighbours(group):
         del held[:-2]
 
 
-def _emitted(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], _OUT.names)
+def _emitted(found: list[tuple], schema: T.StructType = _OUT) -> pa.RecordBatch:
+    kinds = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in schema]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], schema.names)
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -495,7 +670,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every block's text put right, in the order of its document."""
-    texts = findings(*_tables(spark, folder), repair=True).select(F.col("row_id").alias("block_id"), "text")
-    places = table(spark, folder, "pdf_blocks").select("block_id", "pdf_id", "page_no", "ordinal", "kind")
-    return places.join(texts, "block_id")
+    """Every PDF as paragraphs put right, in order of page and ordinal: a row a block, whose text is empty where it only goes on with an earlier one; without ``block_id`` where there are no blocks."""
+    fragments, blocks = _tables(spark, folder)
+    found = paragraphs(fragments, blocks)
+    texts = found.filter("tbl = 'pdf_blocks'").select(F.col("row_id").alias("block_id"), "text")
+    places = blocks.select("block_id", "pdf_id", "page_no", "ordinal", "kind")
+    lone = found.filter("tbl = 'pdf_fragments'").select(
+        F.lit(None).cast("bigint").alias("block_id"), "pdf_id", F.col("page_no").cast("int").alias("page_no"), F.col("ordinal").cast("int").alias("ordinal"), F.lit("paragraph").alias("kind"), "text"
+    )
+    return places.join(texts, "block_id").unionByName(lone)
