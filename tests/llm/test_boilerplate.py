@@ -74,6 +74,14 @@ def test_unmarked_pages_learn_from_marked_ones(spark):
     assert all(rows[i] == FURNITURE for i in range(60))
 
 
+@pytest.mark.parametrize("score", [0.0, 1.0])
+def test_the_tree_judges_every_block(spark, monkeypatch, score):
+    """Also those that the corpus knows well from one side."""
+    monkeypatch.setattr(bp, "grown", lambda x, y: score)
+    rows = {(r.row_id, r.line_no) for r in bp.furniture(frame(spark, [page(i) for i in range(40)])).collect()}
+    assert rows == ({(i, n) for i in range(40) for n in FURNITURE | {15, 16, 17, 18, 19}} if score else set())
+
+
 def test_null_and_repeated_ids(spark):
     bodies = [page(i) for i in range(30)]
     df = frame(spark, bodies)

@@ -6,10 +6,10 @@ of equal blocks of the corpus that stand outside a page's main element, counted
 pages that mark one. The tree is fitted on a table of at most ``TRAIN_PAGES`` such pages,
 drawn by a hash, whose blocks are labelled by the element they stand in; blocks inside the
 main element that the corpus mostly knows from outside are left out of it. The fitted tree
-becomes one expression, so pages are classified in the JVM; blocks that the corpus knows
-well from one side only go by that. Pages of every kind (HTML,
-Markdown, plain text) go through the same tree; the table holds its pages also without
-their links and without links and tags, as Markdown and plain text show them.
+becomes one expression, so pages are classified in the JVM; every block goes by the tree.
+Pages of every kind (HTML, Markdown, plain text) go through the same tree; the table holds
+its pages also without their links and without links and tags, as Markdown and plain text
+show them.
 
 Defined results: null, empty and textless bodies give no rows; repeated rows each give
 theirs; where no page marks a main element, a fixed rule on link density and words
@@ -37,8 +37,6 @@ TRAIN_PAGES, DEPTH, LEAF = 1500, 10, 15
 TRAIN_BLOCKS = 400
 #: Words at a block's head by which it is known again.
 HEAD_WORDS = 4
-#: Equal blocks, as a power of two, from which a block that stands on one side only is taken as known.
-KNOWN_WELL = 4
 KINDS = ("other", "item", "heading", "cell", "control", "quote")
 
 _HTML = re.compile(r"<(?:!doctype|html|head|body)\b", re.I)
@@ -306,10 +304,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     rows = with_shares(written(blocks(pages), "page-blocks")).withColumn("plain", F.lit(0))
     x, y = labelled_table(rows)
     score = expression(grown(x, y)) if len(y) else F.when((F.col("density") > 0.5) | (F.col("words") < 4), 1.0).otherwise(0.0)
-    # what the corpus knows well, and on one side only, needs no tree
-    well = F.col("often") >= KNOWN_WELL
-    verdict = F.when(well & F.col("share").between(0, 0.02), False).when(well & (F.col("share") >= 0.98) & (F.col("title") == 0), True).otherwise(score >= 0.5)
-    found = with_neighbours(rows).filter(verdict)
+    found = with_neighbours(rows).filter(score >= 0.5)
     lines = F.explode(F.sequence(F.col("line_no"), F.col("line_no") + F.col("n_lines") - 1))
     return found.select("tbl", "row_id", lines.alias("line_no"))
 
