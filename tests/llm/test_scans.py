@@ -133,6 +133,15 @@ def test_repaired_breaks(known, text, want):
     assert sc.repaired(text, set(), known) == want
 
 
+@pytest.mark.parametrize("share,pdfs", [(1e-6, "zzzzzz"), (0.05, "uvwxyz")])
+def test_rare_words_and_words_of_one_document(spark, monkeypatch, share, pdfs):
+    """A word that clean pages attest is sound in a corpus of any size, and where one document alone has it."""
+    monkeypatch.setattr(sc, "SHARE", share)
+    rows, blocks = corpus([(d, p, 1, 10.0, "the zither fox") for p, d in enumerate(pdfs, 1)] + [("z", 9, 1, 10.0, "the zi-"), ("z", 9, 2, 10.0, "ther fox"), ("z", 9, 3, 10.0, "the zitber fox")])
+    got = {(r.row_id, r.defect) for r in run(spark, rows, blocks).filter("row_id >= 9000 AND defect IN ('hyphen', 'misread')").collect()}
+    assert got == {(9006, "hyphen"), (9008, "misread")}
+
+
 def test_repeated_rows_and_headings(spark):
     rows, blocks = corpus([("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 0, 16.0, "The quick catalog"), ("h", 1, 1, 10.0, BODY[0]), ("h", 1, 2, 10.0, "tbe fox"), ("h", 1, 2, 10.0, "tbe fox")])
     got = sorted((r.row_id, r.defect) for r in run(spark, rows, blocks).filter("row_id >= 9000").collect())

@@ -12,8 +12,9 @@ Pages are read one at a time from partitions sorted by document and page, docume
 into runs of pages that bring their neighbours along, so a document is never held whole. Blocks
 get the findings of the lines they hold; what no fragment of the page covers of a block is
 read as lines of its own, in the places of the fragments without text. The vocabulary
-reaches the workers only with words that make ``SHARE`` of all words at least, which bounds
-its size.
+reaches the workers whole: every word that clean documents attest, however rare. Its size
+grows with the number of such words. Words that they do not attest must make ``SHARE`` of
+all words.
 
 A repaired document is its paragraphs: what a block leaves open goes on in the next one, also
 over a page's end; pages without blocks are read from their fragments.
@@ -39,7 +40,7 @@ from vellum.llm.lookalikes import uniform
 from vellum.session import written
 from vellum.sources.tables import table
 
-#: Least share of all words that a vocabulary word makes: at most 1 / SHARE words are held.
+#: Least share of all words that a word makes which clean documents do not attest; least occurrences of any word.
 SHARE, LEAST = 1e-6, 4
 #: How a set-smaller line compares with the page's text; pages of a document on which furniture returns.
 SMALLER, RETURNS = 0.95, 2
@@ -214,7 +215,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
-    """``(word, n, fair)`` of words that may be sound; ``lines`` has ``pdf_id`` and ``text``."""
+    """``(word, n, fair)`` of words that may be sound; ``lines`` has ``pdf_id``, ``page_no`` and ``text``."""
     marked = F.col("text").rlike(rf"[{_STRAY}¬]|=$")
     noisy = lines.groupBy("pdf_id").agg((F.sum(marked.cast("int")) > 0).alias("noisy"))
     tokens = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"\[?\bK-[0-9a-z]*\]?", " ")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}]+)+|[\p{L}\p{N}]+"), F.lit(0))
@@ -223,19 +224,20 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     whole = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1 - cut, F.lit(0)))
     # the parts of compounds are words too
     parts = F.flatten(F.transform(F.filter(whole, lambda w: w.contains("-")), lambda w: F.split(w, "-")))
-    words = lines.select("pdf_id", "text").join(noisy, "pdf_id").select("pdf_id", "noisy", F.explode(F.concat(whole, parts)).alias("word"))
+    page = F.xxhash64("pdf_id", "page_no").alias("page")
+    words = lines.select("pdf_id", "page_no", "text").join(noisy, "pdf_id").select(page, "noisy", F.explode(F.concat(whole, parts)).alias("word"))
     # counts are combined before the shuffle, so no word and no document is hot
     counts = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("noisy")).alias("clean"), (F.min("pdf_id") != F.max("pdf_id")).alias("spread")
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("noisy")).alias("clean"), (F.min("page") != F.max("page")).alias("spread")
     )
     counts = written(counts, "scan-words")
     total = counts.agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")).first()
     n, clean = total["n"] or 1, total["clean"] or 0
-    often = F.col("n") >= max(LEAST, int(n * SHARE))
     # where no document is clean every frequent word counts as sound
     fair = (F.col("clean") >= 3) & (F.col("clean") / F.lit(float(max(clean, 1))) >= 0.2 * F.col("n") / F.lit(float(n)))
     fair = fair if clean >= 0.02 * n else F.lit(False)
-    return counts.filter(often & F.col("spread")).select("word", "n", fair.alias("fair")).filter("fair OR n >= 20")
+    often = (F.col("n") >= LEAST) & (F.col("fair") | (F.col("n") >= max(20, int(n * SHARE))))
+    return counts.filter("spread").select("word", "n", fair.alias("fair")).filter(often)
 
 
 def sound_words(rows) -> dict[str, int]:
@@ -605,7 +607,7 @@ def _runs(fragments: DataFrame, blocks: DataFrame):
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")].cast("double") if "kind" in blocks.columns else F.lit(None).cast("double")
     placed, lines = lines, lines.filter("text IS NOT NULL")  # a fragment without text still has its place
     texts = written(_lines(keyed(blocks.filter("text IS NOT NULL"), "pdf_blocks", "block_id", kind)), "scan-texts")
-    words = vocabulary(lines).collect()  # at most 1 / SHARE words
+    words = vocabulary(lines).collect()
     shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound_words([tuple(r) for r in words])))
 
     # how often a page's first and last line return, fuzzily, at the edges of its document's pages
