@@ -34,6 +34,15 @@ def test_deep_chain(spark):
     assert max(r.depth for r in threads.linked(entries(spark, rows)).collect()) == 29
 
 
+def test_chain_beyond_the_deepest_indent(spark):
+    """Entries below level 64 keep their place; only the indent stops there."""
+    rows = [("d", f"e{i}", f"e{i - 1}" if i else None, i, "content") for i in range(70)]
+    placed = threads.linked(entries(spark, rows)).localCheckpoint()
+    assert {r.entry_id: (r.depth, len(r.path)) for r in placed.collect()} == {f"e{i}": (i, i + 1) for i in range(70)}
+    lines = threads.rendered(placed).first().markdown.split("\n")
+    assert lines[69].startswith("  " * 64 + "- ") and "text e69" in lines[69]
+
+
 HN = {"root": 1, "items": {"1": {"by": "ann", "title": "T", "kids": [3, 2, 9], "time": 0, "descendants": 3}, "2": {"by": "bob", "text": "a<p>b <i>c</i> &amp; <a href=\"u\">l</a>"}, "3": {"deleted": True}}}
 REDDIT = [
     {"data": {"children": [{"kind": "t3", "data": {"id": "p", "title": "T", "selftext": "body", "author": "ann", "created_utc": 1.5, "permalink": "/r/x"}}]}},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -44,12 +45,12 @@ def distinct_entries(entries: DataFrame) -> DataFrame:
     return entries.groupBy("thread_id", "entry_id").agg(first.alias("e")).select("thread_id", "entry_id", "e.*")
 
 
-def linked(entries: DataFrame, max_depth: int = MAX_DEPTH, cut_every: int = 8) -> DataFrame:
+def linked(entries: DataFrame, cut_every: int = 8) -> DataFrame:
     """Entries with their ``depth`` from the root and ``path`` of ordinals, parents before children.
 
     A level joins the last one with its children on thread and parent; every few levels
     are written to the shared folder. Entries whose parent is unknown, and those in
-    cycles, become roots of depth 0. Levels beyond ``max_depth`` keep its depth.
+    cycles, become roots of depth 0. Levels go on until one is empty; entries are distinct (:func:`distinct_entries`).
     """
     keys = entries.select("thread_id", "entry_id", "parent_id", "ordinal")
     ids = keys.select("thread_id", F.col("entry_id").alias("parent_id")).distinct().withColumn("there", F.lit(True))
@@ -58,7 +59,7 @@ def linked(entries: DataFrame, max_depth: int = MAX_DEPTH, cut_every: int = 8) -
     level = keys.filter("there IS NULL").select("thread_id", "entry_id", F.lit(0).alias("depth"), F.array(step).alias("path"))
     children = keys.filter("there").select("thread_id", "parent_id", "entry_id", step.alias("step"))
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         up = levels[-1].select("thread_id", F.col("entry_id").alias("parent_id"), F.col("path").alias("up"))
         level = children.join(up, ["thread_id", "parent_id"]).select("thread_id", "entry_id", F.lit(depth).alias("depth"), F.concat("up", F.array("step")).alias("path"))
         if depth % cut_every == 0:
