@@ -139,6 +139,11 @@ def test_layout_xml_and_facts():
             pdftools.parse_annotations(json.dumps(bad))
 
 
+def test_article_of_a_very_long_page():
+    a = pages.extract_article("<title>T</title><!--" + "x" * (26 << 20) + "--><article><p>The end of it.</p></article>")
+    assert a.content == "The end of it."
+
+
 def test_pages():
     a = pages.extract_article("<title>T</title><meta name=author content=Me><nav>no</nav><div><p>short</p></div><div><p>The long part of it.</p><p>And more &lt;text&gt;.</p><pre>x\n y</pre></div>")
     assert a.title == "T" and a.author == "Me" and a.content == "The long part of it.\n\nAnd more <text>.\n\n```\nx\n y\n```"

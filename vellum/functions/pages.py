@@ -153,9 +153,9 @@ def _markdown(node: _Node, depth: int = 0) -> list[str]:
     return [x for x in out if x.strip()]
 
 
-def extract_article(source: str, limit: int = 25 << 20) -> Article:
+def extract_article(source: str) -> Article:
     """The main part of a page: its article or main element, else the element with most paragraph text."""
-    root = parsed(source[:limit])
+    root = parsed(source)
     title = _meta(root, "og:title", "twitter:title") or (_text(t).strip() if (t := _first(root, "title")) else None)
     main = _first(root, "article") or _first(root, "main")
     if main is None:
