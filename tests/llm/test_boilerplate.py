@@ -38,6 +38,11 @@ def test_hidden_parts_keep_the_line_numbers():
     assert [(b[0], b[2]) for b in blocks] == [(8, "shown")]
 
 
+@pytest.mark.parametrize("body,want", [("<!--" + "x" * 3000 + "-->\n<html>\n<body>\n<p>a</p>", True), ("<div>\n<main>\n<p>a</p>\n</main>\n</div>", True), ("text " * 600 + "\n```\n<html>\n```\nand `<body>`", False), ("# T", False)])
+def test_html_is_told_by_the_whole_body(body, want):
+    assert bp.is_html(body) == want
+
+
 def test_markdown_blocks():
     blocks, titles = bp.markdown_blocks("---\na: b\n---\n# T\n\n* [Home](/x)\n| a | b |\n> q\n**Related**\ntext [l](u) more\n---")
     assert [(b[0], b[3]) for b in blocks] == [(4, 2), (6, 1), (7, 3), (8, 5), (9, 2), (10, 0)] and titles == {"T"}

@@ -40,6 +40,7 @@ HEAD_WORDS = 4
 KINDS = ("other", "item", "heading", "cell", "control", "quote")
 
 _HTML = re.compile(r"<(?:!doctype|html|head|body)\b", re.I)
+_FENCED = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1|\Z)|`[^`\n]*`", re.M | re.S)
 _TAG = re.compile(r"<[^>]*>")
 _FIRST = re.compile(r"<(\w+)")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I)
@@ -157,8 +158,18 @@ _BLOCK = T.StructType(
 )
 
 
+def is_html(body: str) -> bool:
+    """Whether a body names an element of a page's frame, or its main part, anywhere but in Markdown code."""
+    if "<" not in body:
+        return False
+    if _HTML.search(body[:2000]):
+        return True
+    shown = _FENCED.sub("", body) if "`" in body or "~~~" in body else body
+    return bool(_HTML.search(shown) or _MAIN.search(shown))
+
+
 def _features(tbl: str, row_id: int, body: str, title: str | None, uid: int) -> list[tuple]:
-    markup = bool(_HTML.search(body[:2000]))
+    markup = is_html(body)
     blocks, titles = html_blocks(body) if markup else markdown_blocks(body)
     if title:
         titles.add(title.strip())
