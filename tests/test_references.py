@@ -49,7 +49,17 @@ def test_hot_key_is_salted(spark, monkeypatch):
     spans = [("hot", 2, 4), ("hot", 6, 7), ("cold", 0, None)]
     assert orphans(spark, refs, spans) == brute(refs, spans)
     r = spark.createDataFrame([(i, k, day(t), "", "", 0, "", "") for i, (k, t) in enumerate(refs)], REFS)
-    assert ref.hot_salts(r) == [("hot", 30)]
+    assert [tuple(x) for x in ref.hot_salts(r).collect()] == [("hot", 30)]
+
+
+@pytest.mark.parametrize("broadcast", [0, 20_000])
+def test_many_hot_keys(spark, monkeypatch, broadcast):
+    """No key is too many: six hundred hot ones are all salted, whether their salts are broadcast or joined."""
+    monkeypatch.setattr(ref, "SALT_ROWS", 2)
+    monkeypatch.setattr(ref, "BROADCAST_KEYS", broadcast)
+    refs = [(f"k{i % 600}", i % 9) for i in range(3000)]
+    spans = [(f"k{i}", 2, 5) for i in range(0, 600, 2)]
+    assert orphans(spark, refs, spans) == brute(refs, spans)
 
 
 def test_empty_tables(spark):

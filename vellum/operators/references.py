@@ -3,8 +3,8 @@
 References and parent spans are brought into one stream, partitioned and sorted by
 key and moment, and merged in one linear pass: a running maximum of the span ends
 seen so far tells whether any parent is present at a reference's moment. Nothing is
-collected per key, so a key of any size is read as a stream. Keys that hold much of
-the references are salted and their (few) parent rows repeated per salt.
+collected per key, so a key of any size is read as a stream. Every key with more than
+``SALT_ROWS`` references is salted and its (few) parent rows repeated per salt.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import paths
+from vellum.session import written
 from vellum.sources.tables import table
 
-#: Keys that are salted at most; every other key then holds less than 1 / MAX_HOT of the references.
-MAX_HOT = 500
-#: References of a hot key that share one salt.
+#: References of a hot key that share one salt; keys with more are hot.
 SALT_ROWS = 50_000
-MAX_SALTS = 1024
+#: Hot keys up to which their salts are broadcast; more of them are joined by shuffle.
+BROADCAST_KEYS = 20_000
 
 _EVER, _FOREVER = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
@@ -41,11 +41,10 @@ def parent_spans(df: DataFrame, key: Column, start: Column, end: Column) -> Data
     )
 
 
-def hot_salts(references: DataFrame) -> list[tuple[str, int]]:
-    """Hot keys with their number of salts; at most ``MAX_HOT`` entries whatever the input."""
-    counts = references.groupBy("ref_key").count()
-    rows = counts.filter(F.col("count") > SALT_ROWS).orderBy(F.desc("count"), "ref_key").limit(MAX_HOT).collect()
-    return [(r["ref_key"], min(MAX_SALTS, -(-r["count"] // SALT_ROWS))) for r in rows]
+def hot_salts(references: DataFrame) -> DataFrame:
+    """``(ref_key, __salts)`` of every hot key, however many there are; counts are combined before the shuffle."""
+    counts = references.groupBy("ref_key").count().filter(F.col("count") > SALT_ROWS)
+    return counts.select("ref_key", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("__salts"))
 
 
 def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -59,15 +58,13 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     come out; ties of moments count as present (starts are inclusive, ends exclusive).
     A column ``reason`` of the references gives way to the result's.
     """
-    spark = references.sparkSession
     references = references.filter(F.col("ref_key").isNotNull())
     payload = [c for c in references.columns if c not in ("ref_key", "moment", "reason")]
     references = references.select("ref_key", "moment", *payload)
-    hot = hot_salts(references)
-    n_salts = F.lit(1)
-    if hot:
-        # named so that no column of the references is hidden
-        salts = F.broadcast(spark.createDataFrame(hot, "ref_key string, __salts int"))  # at most MAX_HOT rows
+    salts = written(hot_salts(references), "hot-keys")
+    n_hot, n_salts = salts.count(), F.lit(1)
+    if n_hot:
+        salts = F.broadcast(salts) if n_hot <= BROADCAST_KEYS else salts
         references, parents = (x.join(salts, "ref_key", "left") for x in (references, parents))
         n_salts = F.coalesce("__salts", F.lit(1))
 
@@ -115,13 +112,14 @@ def note_name_spans(notes: DataFrame) -> DataFrame:
     note with that last path part.
     """
     name = paths.basename(F.col("note_id"))
-    rooted = F.max(F.col("note_id") == F.col("name")).over(Window.partitionBy("name"))
+    # names that a note bears as its whole id; distinct, so the join repeats nothing, and no name is gathered
+    roots = notes.filter(~F.col("note_id").contains("/")).select(F.col("note_id").alias("name")).distinct().withColumn("rooted", F.lit(True))
     ids = parent_spans(notes, F.concat(F.lit("id:"), F.col("note_id")), F.col("added_at"), F.col("removed_at"))
     slim = (
         notes.filter(F.col("note_id").isNotNull())
         .select("note_id", name.alias("name"), "added_at", "removed_at")
-        .withColumn("rooted", rooted)
-        .filter(~F.col("rooted") | (F.col("note_id") == F.col("name")))
+        .join(roots, "name", "left")
+        .filter(F.col("rooted").isNull() | (F.col("note_id") == F.col("name")))
     )
     names = parent_spans(slim, F.concat(F.lit("name:"), F.col("name")), F.col("added_at"), F.col("removed_at"))
     files = parent_spans(notes, F.concat(F.lit("path:"), F.col("path")), F.col("added_at"), F.col("removed_at"))

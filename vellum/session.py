@@ -33,12 +33,15 @@ def session(app: str = "vellum", master: str | None = None, **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the cluster; where none is configured a local one, for a local master only."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or os.path.join(tempfile.gettempdir(), "vellum-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "vellum-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -46,9 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there.
 
-    The table is new at every call; the folder's owner clears it with the checkpoints.
+    The table is new at every call and removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
