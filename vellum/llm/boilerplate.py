@@ -35,8 +35,6 @@ from vellum.sources.tables import table
 TRAIN_PAGES, DEPTH, LEAF = 1500, 10, 15
 #: Blocks of a page of that table at most; longer pages are not drawn.
 TRAIN_BLOCKS = 400
-#: Words at a block's head by which it is known again.
-HEAD_WORDS = 4
 KINDS = ("other", "item", "heading", "cell", "control", "quote")
 
 _HTML = re.compile(r"<(?:!doctype|html|head|body)\b", re.I)
@@ -131,12 +129,10 @@ def markdown_blocks(text: str) -> tuple[list, set[str]]:
 
 
 def block_key(text: str, ends: bool) -> str:
-    """Equal for blocks whose first words differ in numbers, names and punctuation only; short blocks count whole."""
-    words = text.split(" ", HEAD_WORDS)
-    head = [w.strip(".,;:") for w in words[:HEAD_WORDS]]
-    head[1:] = ["X" if w[:1].isupper() else w for w in head[1:]]
-    shown = _DIGITS.sub("9", " ".join(head))
-    return shown + (" ..." if len(words) > HEAD_WORDS else "") + (" !" if ends else "")
+    """Equal for blocks whose words differ, after the first, in numbers, names and punctuation only; every word counts."""
+    words = [w.strip(".,;:") for w in text.split(" ")]
+    words[1:] = ["X" if w[:1].isupper() else w for w in words[1:]]
+    return _DIGITS.sub("9", " ".join(words)) + (" !" if ends else "")
 
 
 _BLOCK = T.StructType(
@@ -162,8 +158,6 @@ def is_html(body: str) -> bool:
     """Whether a body names an element of a page's frame, or its main part, anywhere but in Markdown code."""
     if "<" not in body:
         return False
-    if _HTML.search(body[:2000]):
-        return True
     shown = _FENCED.sub("", body) if "`" in body or "~~~" in body else body
     return bool(_HTML.search(shown) or _MAIN.search(shown))
 
@@ -185,6 +179,11 @@ def _features(tbl: str, row_id: int, body: str, title: str | None, uid: int) ->
     return out
 
 
+def numbered(pages: DataFrame) -> DataFrame:
+    """Pages with ``uid``: a row is a page of its own, also where its id is null or repeated. Pages that have one keep it."""
+    return pages if "uid" in pages.columns else pages.withColumn("uid", F.monotonically_increasing_id())
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages ``(tbl, row_id, body, title)``; keys come out hashed."""
 
@@ -198,8 +197,7 @@ def blocks(pages: DataFrame) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _BLOCK.names)
 
-    # a row is a page of its own, also where its id is null or repeated
-    rows = pages.select("tbl", "row_id", "body", "title", F.monotonically_increasing_id().alias("uid")).mapInArrow(run, _BLOCK)
+    rows = numbered(pages).select("tbl", "row_id", "body", "title", "uid").mapInArrow(run, _BLOCK)
     return rows.withColumn("key", F.xxhash64("key")).withColumn("kind", F.col("kind").cast("byte"))
 
 
@@ -292,12 +290,12 @@ def expression(tree) -> Column:
 def labelled_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the drawn pages: as they are, without links, without tags."""
     marked = rows.filter("inside IS NOT NULL")
-    pages = marked.groupBy("uid").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") <= TRAIN_BLOCKS).select("uid")
-    n = pages.count()
-    if not n:
+    pages = marked.groupBy("uid").agg(F.count(F.lit(1)).alias("blocks"), F.min(F.xxhash64("tbl", "row_id")).alias("draw"))
+    uids = [r["uid"] for r in pages.filter(F.col("blocks") <= TRAIN_BLOCKS).orderBy("draw", "uid").limit(TRAIN_PAGES).collect()]
+    if not uids:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
-    draw = F.pmod(F.xxhash64("tbl", "row_id"), F.lit(1 << 30)) < int(min(1.0, TRAIN_PAGES / n) * (1 << 30))
-    drawn = marked.filter(draw).join(pages, "uid", "left_semi")
+    pages = rows.sparkSession.createDataFrame([(u,) for u in uids], "uid long")  # at most TRAIN_PAGES
+    drawn = marked.join(F.broadcast(pages), "uid", "left_semi")
     none = {"density": F.lit(0.0).cast("float")}
     unlinked = drawn.withColumns({"plain": F.lit(1), **none})
     bare = drawn.withColumns({"plain": F.lit(2), "kind": F.lit(0).cast("byte"), **none})
@@ -311,13 +309,13 @@ def labelled_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def furniture(pages: DataFrame) -> DataFrame:
-    """``(tbl, row_id, line_no)`` of lines of pages ``(tbl, row_id, body, title)`` that are no part of the article."""
+    """``(tbl, row_id, line_no, n_lines, uid)`` of blocks of pages ``(tbl, row_id, body, title, uid)`` that are no part of the article."""
     rows = with_shares(written(blocks(pages), "page-blocks")).withColumn("plain", F.lit(0))
     x, y = labelled_table(rows)
     score = expression(grown(x, y)) if len(y) else F.when((F.col("density") > 0.5) | (F.col("words") < 4), 1.0).otherwise(0.0)
     found = with_neighbours(rows).filter(score >= 0.5)
     lines = F.explode(F.sequence(F.col("line_no"), F.col("line_no") + F.col("n_lines") - 1))
-    return found.select("tbl", "row_id", lines.alias("line_no"))
+    return found.select("tbl", "row_id", "uid", lines.alias("line_no"))
 
 
 _SOURCES = (("acquisitions", "page_id", "body", "browser_title"), ("capture_outcomes", "capture_id", "markdown", None))
@@ -332,13 +330,22 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return furniture(_pages(spark, folder))
+    return furniture(_pages(spark, folder)).select("tbl", "row_id", "line_no")
 
 
-def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page with a body without the lines of its furniture."""
-    pages = _pages(spark, folder).filter("body IS NOT NULL")
-    dropped = furniture(_pages(spark, folder)).groupBy("tbl", "row_id").agg(F.collect_set("line_no").alias("dropped"))
+def articles(pages: DataFrame) -> DataFrame:
+    """``(tbl, row_id, article)`` of every page with a body, without the lines of its furniture.
+
+    The pages are written once with their numbers, so a row finds its own lines again
+    whatever its id.
+    """
+    pages = written(numbered(pages.filter("body IS NOT NULL")), "pages")
+    dropped = furniture(pages).groupBy("uid").agg(F.collect_set("line_no").alias("dropped"))
     lines = F.split("body", "\n")
     kept = F.filter(lines, lambda line, i: F.coalesce(~F.array_contains("dropped", i + 1), F.lit(True)))
-    return pages.join(dropped, ["tbl", "row_id"], "left").select("tbl", "row_id", F.array_join(kept, "\n").alias("article"))
+    return pages.join(dropped, "uid", "left").select("tbl", "row_id", F.array_join(kept, "\n").alias("article"))
+
+
+def p5_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with a body without the lines of its furniture."""
+    return articles(_pages(spark, folder))
