@@ -9,6 +9,7 @@ from vellum.llm import lookalikes as lk
 SAME = [
     ("paper", "рареr"), ("café", "café"), ("ﬁrst oﬀer", "first offer"), ("ＡＢＣ １２", "ABC 12"), ("a​b﻿", "ab"), ("a b", "a b"), ("K", "K"),
     ("a‐b", "a-b"), ("ο", "o"), ("ё", "ë"),
+    ("Օ", "O"), ("ᎪᏴ", "AB"), ("ꓮ", "A"), ("𝐀𝒃", "Ab"), ("Ⅳ", "IV"), ("ⅳ", "iv"), ("Ԁ", "D"), ("ℂ", "C"),
 ]
 APART = [("l", "1"), ("O", "0"), ("I", "l"), ("a", "A"), ("a b", "ab"), ("a.", "a"), ("–", "-"), ("é", "e"), ("а б", "a 6")]
 
