@@ -49,6 +49,7 @@ ROWS = [
     (8, "", "me@mail.test", "Vein Dromont"),
     (9, "north field, north wind, north side, a loom pattern, a loom beam, the loom cloth", "tel_07700900085", ""),
     (9, "mail anar.keluner@mail.test", "user15550106", "Anar"),
+    (10, "the water stood low and the mill was still while we read the old book again " * 200, None, None),
 ]
 
 
@@ -71,6 +72,47 @@ def test_names_and_handles(spark):
     ]
 
 
+def test_names_of_people_who_wrote_nothing(spark):
+    """A stranger is found by the author terms beside their other name; titles and sentence starts are no names."""
+    filler = "the water stood low and the mill was still while we read the old book again " * 40
+    authors = [(i, f"Thanks to {g} {f} for this. {filler}", None, f"{g} {f}") for i, (g, f) in enumerate([("Anar", "Keluner"), ("Vein", "Dromont"), ("Mera", "Fenusk"), ("Oran", "Tarusk")] * 5)]
+    strangers = [(100 + i, f"{filler}, says {g} {f} today.", None, None) for i, (g, f) in enumerate([("Anar", "Quibbel"), ("Mera", "Zanther"), ("Iljo", "Fenusk"), ("Sabe", "Tarusk"), ("J.", "Orwenn")] * 4)]
+    others = [(200 + i, t, None, None) for i, t in enumerate(["Frau Keluner came. Frau Anar Keluner too. Frau Dromont left.", "We met Oran The end was near. The end. The mill.", "Anar Monday came. On Monday we read. A Monday."] * 3)]
+    places, _ = found(spark, authors + strangers + others)
+    start = {i: t.find("says ") + 5 for i, t, *_ in strangers}
+    got = {(i, at) for i, field, kind, at in places}
+    hits = sum((i, at) in got for i, at in start.items())
+    assert hits >= 0.95 * len(start)
+    assert sum(200 <= i for i, _ in got) == 3 and all((i, at) in {(200, 24), (203, 24), (206, 24)} for i, at in got if i >= 200)
+
+
+def test_threshold_with_a_million_terms(spark):
+    """The map of terms may be full: what it lets pass is verified, so ordinary words stay ordinary."""
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    names = spark.range(n).select(F.concat(F.lit("G"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" F"), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")).alias("author"))
+    rows = names.select(F.xxhash64("author").alias("row_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("handle"), "author")
+    texts = [(i, f"{'the red wall and a mill by the blue water and a field ' * 30} Red Mill, Blue Field by {g} {f} again", "Red Mill" if i % 2 else "Blue Field") for i, (g, f) in enumerate([("Gab", "Fkl"), ("Gcd", "Fmn"), ("Gef", "Fop")] * 4)]
+    rows = rows.unionByName(spark.createDataFrame([(i, t, None, a) for i, t, a in texts], rows.schema))
+    terms = pv.disclosing(rows).filter("term IN ('gab', 'gcd', 'gef', 'fkl', 'fmn', 'fop', 'red', 'blue', 'mill', 'field')")
+    assert {r.term for r in terms.collect()} == {"gab", "gcd", "gef", "fkl", "fmn", "fop"}
+
+
+def test_what_everyone_posts_is_nobodys(spark):
+    authors = [f"Ana{chr(97 + i)} Bor{chr(97 + i)}" for i in range(20)]
+    rows = [(i, "call (555) 014-3632", None, a) for i, a in enumerate(authors)] + [(50, "call (555) 014-9999", None, authors[0]), (51, "call (555) 014-7777", None, authors[1])]
+    assert [x for x in found(spark, rows)[0] if x[2] == "phone"] == [(50, "text", "phone", 5), (51, "text", "phone", 5)]
+
+
+def test_overlapping_candidates(spark):
+    """Of one begin the longer holds, and a double name needs both parts."""
+    filler = "the water stood low and the mill was still while we read the old book again " * 60
+    rows = [(1, f"Anar Keluner-Dromont and Vein Dromont. {filler}", None, "Anar Keluner"), (2, f"A. Keluner-Mill, Vein Dromont. {filler}", None, "Vein Dromont")]
+    out = found(spark, rows)[1]
+    assert sorted((r.row_id, r.start_pos, r.end_pos) for r in out) == [(1, 0, 20), (1, 25, 37), (2, 0, 10), (2, 17, 29)]
+
+
 def test_ordinary_words_reveal_nobody(spark):
     schema = "row_id long, text string, handle string, author string"
     df = spark.createDataFrame(ROWS, schema)

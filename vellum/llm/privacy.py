@@ -1,19 +1,30 @@
 """Personal information in free text: found, typed and replaced by placeholders.
 
-Contact data with a form of its own (email, phone, identity number, street address) is
-read by its form. A name has none: whether a term reveals a person is estimated from
-the corpus. The terms of author names are the protected entities; for each the texts
-give how often it occurs and how often it stands beside a term of the other role
-(given name or initial beside family name). A term whose occurrences go with a partner
-to a share of ``DISCLOSURE`` at least reveals a person; one that is mostly an ordinary
-word does not. A name is a given name or an initial joined to a family name, each
-above the threshold. Terms reach the workers as a bitmap of fixed size, and what passes
-it is verified by a join with the terms, so no table that grows with the data is held.
+What reveals a person is estimated from the corpus, as information. The protected
+entities are the authors. Names: the terms of author names are counted in all texts, and
+how often each stands in a name's form beside a verified term of the other role (given
+name or initial, family name). With ``p`` the share of all words that stand so, a term's
+disclosure is its pointwise mutual information with that context over the context's own
+information, ``1 - log(share) / log(p)``: 0 for a term that stands in names as often as
+any word, 1 for one that always does. Author terms from ``DISCLOSURE`` on reveal a
+person; ordinary words in nicknames do not. Terms of people who wrote nothing are found
+by what they stand beside: a term beside accepted given names (or before accepted family
+names, and not, as titles do, before given names), with the same measure. A term that no
+text holds is known from its bearer alone and counts half an occurrence. Counts are
+exact: pairs are counted as they stand and joined with the terms. The map of terms that
+workers hold only spares work; it has bits by the number of terms, ``MAP_BITS`` at most,
+and what passes it is verified by joins, also when it is full.
+
+Contact data (email, phone, identity number, street address) has forms, which give
+candidates. A value's disclosure is the share of the uncertainty about the author that
+it takes away, ``1 - H(author | value) / H(author)``; values below ``SPREAD``, which all
+authors use alike, tell nothing of anyone and stay.
 
 Defined results: null and empty fields hold nothing; a value that occurs several times in
 a field comes out once for each place; of overlapping values the one that begins first,
 then the longer, holds. Positions are code points. Repeated rows each come out; extra
 columns are ignored. A handle holds a name where it has both names of the row's author.
+People of whose names neither term is an author's are not found.
 """
 
 from __future__ import annotations
@@ -33,10 +44,10 @@ from vellum.llm.lookalikes import skeleton
 from vellum.session import written
 from vellum.sources.tables import table
 
-#: Share of a term's occurrences beside a partner from which it reveals a person.
-DISCLOSURE = 0.25
-#: Bits of the map of terms that the workers hold.
-MAP_BITS = 1 << 22
+#: Disclosure from which a term reveals a person, and from which a value is private.
+DISCLOSURE, SPREAD = 0.85, 0.1
+#: Bits of the map of terms a term, and at most.
+TERM_BITS, MAP_BITS = 64, 1 << 25
 
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
 _EMAIL = re.compile(
@@ -114,56 +125,92 @@ def folded(word: str) -> str:
     return (word if word.isascii() else skeleton(word)).casefold()
 
 
+GIVEN, FAMILY, CAPITAL, INITIAL = 1, 2, 4, 8
+
+
 class Terms:
-    """A bitmap of terms by role; ``has`` may be wrong for terms outside, never for those inside."""
+    """A bitmap of terms by role; ``flags`` may show a role of a term that has none, never miss one."""
 
     def __init__(self, bits: dict[str, np.ndarray]) -> None:
-        self.bits, self.known = bits, {role: {} for role in bits}
+        self.bits, self.known = bits, {}
 
-    def has(self, role: str, word: str) -> bool:
-        known = self.known[role].get(word)
+    def _has(self, role: str, word: str) -> bool:
+        place = xxhash.xxh64_intdigest(word.encode(), 42) % (len(self.bits[role]) * 8)  # as xxhash64 of the JVM
+        return bool(self.bits[role][place >> 3] >> (place & 7) & 1)
+
+    def flags(self, word: str) -> int:
+        """The roles a word may have, whether it begins with a capital, whether it is an initial."""
+        known = self.known.get(word)
         if known is None:
-            place = xxhash.xxh64_intdigest(folded(word).encode(), 42) % MAP_BITS  # as xxhash64 of the JVM
-            if len(self.known[role]) > 500_000:
-                self.known[role].clear()
-            known = self.known[role][word] = bool(self.bits[role][place >> 3] >> (place & 7) & 1)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            low, capital = folded(word), word[:1].isupper()
+            known = (INITIAL if capital else 0) if len(word) == 1 else GIVEN * self._has("given", low) | FAMILY * self._has("family", low) | CAPITAL * capital
+            self.known[word] = known
         return known
 
 
-def names(text: str, terms: Terms, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str]]:
-    """``(start, end, given, family)`` of candidate names outside ``taken``; given is None for an initial.
+def pairs_of(text: str, terms: Terms) -> list[tuple[str, str]]:
+    """``(given, family)`` of neighbours in a name's form of which one may be a known term; given is empty for an initial.
 
-    Forms: Given Family, Given I. Family, I. Family, Family, Given; a family name may be double.
+    A word before a given name comes out as ``(word, None)``.
     """
-    if not any(terms.has("family", w) for w in _WORD.findall(text)):
+    flags = terms.flags
+    if not any(flags(w) & (GIVEN | FAMILY | INITIAL) for w in set(_WORD.findall(text))):
         return []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-    out, free = [], 0
+    out = []
+    for at, ((_, end, left), (start, _, right)) in enumerate(zip(words, words[1:], strict=False)):
+        gap, a, b = text[end:start], flags(left), flags(right)
+        if gap == "-" and at > 0 and out and b & (FAMILY | CAPITAL) and text[words[at - 1][1] : words[at][0]] in (" ", ". ") and out[-1][1] == left:
+            out.append((out[-1][0], right))  # the second part of a double name
+        elif gap == " ":
+            if (a & GIVEN and b & (FAMILY | CAPITAL)) or (a & CAPITAL and b & FAMILY):
+                out.append((left, right))
+        elif gap == ". " and a & INITIAL and b & (FAMILY | CAPITAL):
+            out.append(("", right))
+            if at and text[words[at - 1][1] : words[at][0]] == " " and flags(words[at - 1][2]) & (GIVEN | CAPITAL):
+                out.append((words[at - 1][2], right))
+        elif gap == ", " and a & FAMILY and b & GIVEN:
+            out.append((right, left))
+        if gap in (" ", ". ") and a & CAPITAL and b & GIVEN:
+            out.append((left, None))
+    return out
+
+
+def names(text: str, terms: Terms, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, str | None]]:
+    """``(start, end, given, family, second)`` of candidate names outside ``taken``; given is None for an initial.
+
+    Forms: Given Family, Given I. Family, I. Family, Family, Given; a family name may be double
+    (``second``). Candidates may overlap: which of them hold is told when their terms are verified.
+    """
+    flags = terms.flags
+    if not any(flags(w) & FAMILY for w in set(_WORD.findall(text))):
+        return []
+    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    out: list[tuple[int, int, str | None, str, str | None]] = []
     edges = [(s, e) for s, e, _ in taken]
 
     def gap(i: int) -> str:
         return text[words[i][1] : words[i + 1][0]] if 0 <= i < len(words) - 1 else "\0"
 
     for i, (start, end, word) in enumerate(words):
-        if start < free or not terms.has("family", word) or any(s < end and start < e for s, e in edges):
+        if not flags(word) & FAMILY or any(s < end and start < e for s, e in edges):
             continue
-        first, given = None, None
-        if gap(i - 1) == " " and terms.has("given", words[i - 1][2]):
-            first, given = words[i - 1][0], words[i - 1][2]
-        elif gap(i - 1) == ". " and len(words[i - 1][2]) == 1 and words[i - 1][2].isupper():
-            first = words[i - 1][0]
-            if gap(i - 2) == " " and terms.has("given", words[i - 2][2]):
-                first, given = words[i - 2][0], words[i - 2][2]
-        if first is not None and first >= free:
-            if gap(i) == "-" and terms.has("family", words[i + 1][2]):
-                end = words[i + 1][1]
-            out.append((first, end, given, word))
-        elif first is None and gap(i) == ", " and terms.has("given", words[i + 1][2]):
-            end, given = words[i + 1][1], words[i + 1][2]
-            out.append((start, end, given, word))
-        else:
-            continue
-        free = end
+        found = []
+        if gap(i - 1) == " " and flags(words[i - 1][2]) & GIVEN:
+            found.append((words[i - 1][0], words[i - 1][2]))
+        elif gap(i - 1) == ". " and flags(words[i - 1][2]) & INITIAL:
+            found.append((words[i - 1][0], None))
+            if gap(i - 2) == " " and flags(words[i - 2][2]) & GIVEN:
+                found.append((words[i - 2][0], words[i - 2][2]))
+        second = words[i + 1] if gap(i) == "-" and flags(words[i + 1][2]) & FAMILY else None
+        for first, given in found:
+            out.append((first, end, given, word, None))
+            if second:
+                out.append((first, second[1], given, word, second[2]))
+        if gap(i) == ", " and flags(words[i + 1][2]) & GIVEN:
+            out.append((start, words[i + 1][1], words[i + 1][2], word, None))
     return out
 
 
@@ -181,47 +228,84 @@ def _roles(rows: DataFrame) -> DataFrame:
 
 
 def _bitmap(terms: DataFrame) -> Terms:
-    """The map of terms; at most ``MAP_BITS`` places a role come to the driver."""
-    place = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS)).cast("int")
-    bits = {r: np.zeros(MAP_BITS // 8, np.uint8) for r in ("given", "family")}
-    for row in terms.select("role", place.alias("place")).groupBy("role").agg(F.collect_set("place").alias("places")).collect():
-        places = np.array(row["places"], np.int64)
-        np.bitwise_or.at(bits[row["role"]], places >> 3, (1 << (places & 7)).astype(np.uint8))
+    """The map of terms: ``TERM_BITS`` bits a term, at most ``MAP_BITS`` a role."""
+    n = terms.count()
+    size = min(MAP_BITS, 1 << max(16, (n * TERM_BITS - 1).bit_length()))
+    bits = {r: np.zeros(size // 8, np.uint8) for r in ("given", "family")}
+    # a row an octet: at most size / 8 rows a role
+    places = terms.select("role", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("place"))
+    octets = places.groupBy("role", F.shiftright("place", 3).alias("octet")).agg(F.expr("bit_or(shiftleft(1, place & 7))").alias("bits")).toPandas()
+    for role, own in octets.groupby("role"):
+        bits[role][own["octet"].to_numpy()] = own["bits"].to_numpy().astype(np.uint8)
     return Terms(bits)
 
 
-def disclosing(rows: DataFrame) -> DataFrame:
-    """``(role, term)`` of author terms that reveal a person, by their co-occurrence in all texts."""
-    terms = _roles(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(terms))
+def _counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(kind, a, b, n)``: how often a word occurs (``seen``), a pair stands as a name (``pair``), a word before a given name (``before``)."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
     def count(batches):
         known = shared.value
         for batch in batches:
             seen, beside = Counter(), Counter()
             for text in batch.column(0).to_pylist():
-                words = _WORD.findall(without_mail(text))
-                for i, w in enumerate(words):
-                    for role in ("given", "family"):
-                        if known.has(role, w):
-                            near = words[max(0, i - 1) : i] + words[i + 1 : i + 2]
-                            seen[role, folded(w)] += 1
-                            beside[role, folded(w)] += any(known.has("given", x) or known.has("family", x) or (len(x) == 1 and x.isupper()) for x in near)
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([seen[k] for k in keys], pa.int64()),
-                    pa.array([beside[k] for k in keys], pa.int64()),
-                ],
-                ["role", "term", "seen", "beside"],
-            )
-
-    counts = rows.select("text").filter("text IS NOT NULL").mapInArrow(count, "role string, term string, seen long, beside long")
-    counts = counts.groupBy("role", "term").agg(F.sum("seen").alias("seen"), F.sum("beside").alias("beside"))
-    share = (F.coalesce("beside", F.lit(0)) + 0.5) / (F.coalesce("seen", F.lit(0)) + 1)  # a term that no text has stays
-    return terms.join(counts, ["role", "term"], "left").filter(share >= DISCLOSURE).select("role", "term")
+                text = without_mail(text)
+                seen.update(_WORD.findall(text))
+                beside.update(pairs_of(text, known))
+            rows: Counter = Counter()
+            for word, n in seen.items():
+                rows["seen", folded(word), ""] += n
+            for (a, b), n in beside.items():
+                rows[("before", folded(a), "") if b is None else ("pair", folded(a), folded(b))] += n
+            keys = list(rows)
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k] for k in keys], pa.int64())], ["kind", "a", "b", "n"])
+
+    counts = texts.filter("text IS NOT NULL").mapInArrow(count, "kind string, a string, b string, n long")
+    return written(counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "name-counts")
+
+
+def disclosing(rows: DataFrame) -> DataFrame:
+    """``(role, term)`` of terms that reveal a person, by their co-occurrence with author terms in all texts."""
+    terms = written(_roles(rows), "author-terms")
+    counts = _counts(rows.select("text"), terms)
+    seen = counts.filter("kind = 'seen'").select(F.col("a").alias("term"), F.col("n").alias("seen"))
+    pairs = counts.filter("kind = 'pair'").select(F.col("a").alias("given"), F.col("b").alias("family"), "n")
+
+    def of(known: DataFrame, role: str) -> DataFrame:
+        return known.filter(F.col("role") == role).select(F.col("term").alias(role))
+
+    def partnered(known: DataFrame, role: str) -> DataFrame:
+        """``(term, beside)`` for terms that stand in ``role`` beside verified terms of the other."""
+        other = "family" if role == "given" else "given"
+        firm = of(known, other)
+        if other == "given":
+            firm = firm.unionByName(firm.sparkSession.createDataFrame([("",)], "given string"))
+        named = pairs.filter("given != ''") if role == "given" else pairs
+        return named.join(firm, other, "left_semi").groupBy(F.col(role).alias("term")).agg(F.sum("n").alias("beside"))
+
+    words = seen.agg(F.sum("seen")).first()[0] or 0
+    beside = {role: partnered(terms, role).join(of(terms, role).withColumnRenamed(role, "term"), "term", "left_semi") for role in ("given", "family")}
+    standing = beside["family"].agg(F.sum("beside")).first()[0] or 0
+    # how many of all words stand in names: the context's own information
+    usual = min(max(2 * standing, 1) / max(words, 1), 0.5)
+
+    def disclosure(of_terms: DataFrame, add: float) -> DataFrame:
+        share = F.least((F.coalesce("beside", F.lit(0)) + add) / (F.coalesce("seen", F.lit(0)) + 1), F.lit(1.0))
+        return of_terms.join(seen, "term", "left").select("term", (1 - F.ln(share) / float(np.log(usual))).alias("disclosure"))
+
+    own = [
+        disclosure(of(terms, r).withColumnRenamed(r, "term").join(beside[r], "term", "left"), 0.5).filter(F.col("disclosure") >= DISCLOSURE).select(F.lit(r).alias("role"), "term")
+        for r in ("given", "family")
+    ]
+    accepted = written(own[0].unionByName(own[1]), "name-terms")
+    titles = counts.filter("kind = 'before'").select(F.col("a").alias("term"))
+    strange = []
+    for role in ("given", "family"):
+        rest = partnered(accepted, role).filter("term != ''").join(of(terms, role).withColumnRenamed(role, "term"), "term", "left_anti")
+        rest = rest.join(titles, "term", "left_anti") if role == "given" else rest
+        strange.append(disclosure(rest, 0.0).filter(F.col("disclosure") >= DISCLOSURE).select(F.lit(role).alias("role"), "term"))
+    return accepted.unionByName(strange[0]).unionByName(strange[1])
 
 
 _CANDIDATES = T.StructType(
@@ -232,6 +316,10 @@ _CANDIDATES = T.StructType(
         T.StructField("end_pos", T.IntegerType()),
         T.StructField("given", T.StringType()),
         T.StructField("family", T.StringType()),
+        T.StructField("second", T.StringType()),
+        T.StructField("value", T.LongType()),
+        T.StructField("uid", T.LongType()),
+        T.StructField("who", T.LongType()),
     ]
 )
 
@@ -258,42 +346,75 @@ def _in_handle(handle: str, author: str | None) -> list[tuple]:
     return []
 
 
+def _hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def _separate(named: DataFrame) -> DataFrame:
+    """Of the verified names of each field those that overlap no earlier one; of one begin the longest."""
+    found = F.array_sort(F.collect_list(F.struct("start_pos", (-F.col("end_pos")).alias("until"), "row_id")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<struct<start_pos:int,end_pos:int,row_id:{named.schema['row_id'].dataType.simpleString()}>>").alias("kept"))
+
+    def step(s, x):
+        own = F.struct(x["start_pos"].alias("start_pos"), (-x["until"]).alias("end_pos"), x["row_id"].alias("row_id"))
+        return F.when(x["start_pos"] >= s["end"], F.struct((-x["until"]).alias("end"), F.concat(s["kept"], F.array(own)).alias("kept"))).otherwise(s)
+
+    # a field's own candidates, as many as it has names
+    kept = named.groupBy("uid", "field_name").agg(F.aggregate(found, start, step)["kept"].alias("kept"))
+    return kept.select("field_name", F.lit("name").alias("kind"), F.inline("kept")).select("row_id", "field_name", "kind", "start_pos", "end_pos")
+
+
+def _spread(values: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(kind, value)`` that take away less than ``SPREAD`` of the uncertainty about the author."""
+
+    def entropy(counts: DataFrame, *keys: str) -> DataFrame:
+        return counts.groupBy(*keys).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
+
+    who = F.coalesce("author", "handle")
+    prior = entropy(rows.filter(who.isNotNull()).groupBy(F.xxhash64(who).alias("who")).agg(F.count(F.lit(1)).alias("n"))).first()["h"] or 0.0
+    counts = values.filter("who IS NOT NULL").groupBy("kind", "value", "who").agg(F.count(F.lit(1)).alias("n"))
+    return entropy(counts, "kind", "value").filter((F.col("h") > 0) & (F.col("h") > (1 - SPREAD) * prior)).select("kind", "value")
+
+
 def personal_values(df: DataFrame, id_col: str, text_col: str, handle_col: str, author_col: str) -> DataFrame:
     """``(row_id, field_name, kind, start_pos, end_pos)`` of every value of personal information."""
     rows = df.select(*[F.col(c).alias(n) for c, n in ((id_col, "row_id"), (text_col, "text"), (handle_col, "handle"), (author_col, "author"))])
     terms = written(disclosing(rows), "name-terms")
-    shared = df.sparkSession.sparkContext.broadcast(_bitmap(terms))  # MAP_BITS bits a role
+    shared = df.sparkSession.sparkContext.broadcast(_bitmap(terms))  # MAP_BITS bits a role at most
     schema = T.StructType([rows.schema["row_id"], *_CANDIDATES.fields])
 
     def run(batches):
         known = shared.value
         for batch in batches:
             owners, found = [], []
-            columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            for k, (text, handle, author) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(i).to_pylist() for i in range(1, 6)]
+            for k, (text, handle, author, uid, who) in enumerate(zip(*columns, strict=True)):
                 own = []
                 if text:
                     fixed = formed(text)
-                    own += [("text", kind, s, e, None, None) for s, e, kind in fixed]
-                    for s, e, g, f in names(text, known, fixed):
-                        own.append(("text", "name", s, e, folded(g) if g else None, folded(f)))
+                    own += [("text", kind, s, e, None, None, None, _hashed("".join(folded(text[s:e]).split()))) for s, e, kind in fixed]
+                    for s, e, g, f, second in names(text, known, fixed):
+                        own.append(("text", "name", s, e, folded(g) if g else None, folded(f), folded(second) if second else None, None))
                 if handle:
-                    own += _in_handle(handle, author)
-                found += own
+                    own += [(*x, None, _hashed(folded(handle))) for x in _in_handle(handle, author)]
+                found += [(*x, uid, who) for x in own]
                 owners += [k] * len(own)
             arrays = [batch.column(0).take(pa.array(owners, pa.int64()))]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 3]
             arrays += [pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    values = written(rows.mapInArrow(run, schema), "personal-values")
+    numbered = rows.withColumns({"uid": F.monotonically_increasing_id(), "who": F.xxhash64(F.coalesce("author", "handle"))})
+    numbered = numbered.withColumn("who", F.when(F.coalesce("author", "handle").isNotNull(), F.col("who")))
+    values = written(numbered.mapInArrow(run, schema), "personal-values")
     plain = values.filter("kind != 'name'")
+    plain = plain.join(_spread(plain, rows), ["kind", "value"], "left_anti")
     # what the bitmap let pass is verified against the terms themselves
-    family = terms.filter("role = 'family'").select(F.col("term").alias("family"))
-    given = terms.filter("role = 'given'").select(F.col("term").alias("given"))
-    named = values.filter("kind = 'name'").join(family, "family", "left_semi")
-    named = named.filter("given IS NULL").unionByName(named.filter("given IS NOT NULL").join(given, "given", "left_semi"))
-    return plain.unionByName(named).select("row_id", "field_name", "kind", "start_pos", "end_pos")
+    named = values.filter("kind = 'name'")
+    for column, role in (("family", "family"), ("given", "given"), ("second", "family")):
+        firm = terms.filter(F.col("role") == role).select(F.col("term").alias(column))
+        named = named.filter(F.col(column).isNull()).unionByName(named.filter(F.col(column).isNotNull()).join(firm, column, "left_semi").select(named.columns))
+    return plain.select("row_id", "field_name", "kind", "start_pos", "end_pos").unionByName(_separate(named))
 
 
 def _values(spark: SparkSession, folder: str) -> DataFrame:
