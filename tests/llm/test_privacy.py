@@ -93,10 +93,10 @@ def test_threshold_with_a_million_terms(spark):
     n = 1_000_000
     names = spark.range(n).select(F.concat(F.lit("G"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" F"), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")).alias("author"))
     rows = names.select(F.xxhash64("author").alias("row_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("handle"), "author")
-    texts = [(i, f"{'the red wall and a mill by the blue water and a field ' * 30} Red Mill, Blue Field by {g} {f} again", "Red Mill" if i % 2 else "Blue Field") for i, (g, f) in enumerate([("Gab", "Fkl"), ("Gcd", "Fmn"), ("Gef", "Fop")] * 4)]
+    texts = [(i, f"{'the red wall and a mill by the blue water and a field ' * 30} Red Mill, Blue Field by {g} {f} again", "Red Mill" if i % 2 else "Blue Field") for i, (g, f) in enumerate([("Gba", "Flk"), ("Gcd", "Fmn"), ("Gef", "Fop")] * 4)]
     rows = rows.unionByName(spark.createDataFrame([(i, t, None, a) for i, t, a in texts], rows.schema))
-    terms = pv.disclosing(rows).filter("term IN ('gab', 'gcd', 'gef', 'fkl', 'fmn', 'fop', 'red', 'blue', 'mill', 'field')")
-    assert {r.term for r in terms.collect()} == {"gab", "gcd", "gef", "fkl", "fmn", "fop"}
+    terms = pv.disclosing(rows).filter("term IN ('gba', 'gcd', 'gef', 'flk', 'fmn', 'fop', 'red', 'blue', 'mill', 'field')")
+    assert {r.term for r in terms.collect()} == {"gba", "gcd", "gef", "flk", "fmn", "fop"}
 
 
 def test_what_everyone_posts_is_nobodys(spark):

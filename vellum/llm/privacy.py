@@ -89,8 +89,10 @@ _FORMS = (("email", _EMAIL), ("street_address", _ADDRESS), ("phone", _PHONE), ("
 #: A phone number as a handle holds it: digits only, after a word or alone.
 _HANDLE_PHONE = re.compile(r"(?:^|(?<=[A-Za-z][_.-]))(?:\+|00)?0?[1-9]\d{8,13}$")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Without these no address or number is there.
-_MAIL_SIGN, _DIGIT = re.compile(r"[@＠]|at\]|at\)| dot "), re.compile(r"\d")
+#: An initial before a word.
+_INITIALED = re.compile(r"(?<![^\W\d_])[^\W\d_]\. (?=[^\W\d_])")
+#: Without these no address or number is there; phone and identity numbers have six digits at least, close together.
+_MAIL_SIGN, _DIGIT, _LONG = re.compile(r"[@＠]|at\]|at\)| dot "), re.compile(r"\d"), re.compile(r"\d(?:[ .()/-]{0,3}\d){5}")
 
 
 def _digits(text: str) -> int:
@@ -100,9 +102,11 @@ def _digits(text: str) -> int:
 def formed(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of contact data with a form of its own, none overlapping."""
     found = []
-    mail, digit = _MAIL_SIGN.search(text), _DIGIT.search(text)
+    digit = _DIGIT.search(text)
+    there = {"email": _MAIL_SIGN.search(text), "street_address": digit, "phone": digit and _LONG.search(text, digit.start())}
+    there["id_number"] = there["phone"]
     for kind, form in _FORMS:
-        if mail if kind == "email" else digit:
+        if there[kind]:
             for m in form.finditer(text):
                 if kind != "phone" or 9 <= _digits(m.group()) <= 15:
                     found.append((m.start(), m.end(), kind))
@@ -133,6 +137,7 @@ class Terms:
 
     def __init__(self, bits: dict[str, np.ndarray]) -> None:
         self.bits, self.known = bits, {}
+        self.plain: set[str] = set()
 
     def _has(self, role: str, word: str) -> bool:
         place = xxhash.xxh64_intdigest(word.encode(), 42) % (len(self.bits[role]) * 8)  # as xxhash64 of the JVM
@@ -144,19 +149,26 @@ class Terms:
         if known is None:
             if len(self.known) > 500_000:
                 self.known.clear()
+                self.plain.clear()
             low, capital = folded(word), word[:1].isupper()
             known = (INITIAL if capital else 0) if len(word) == 1 else GIVEN * self._has("given", low) | FAMILY * self._has("family", low) | CAPITAL * capital
             self.known[word] = known
+            if not known & (GIVEN | FAMILY):
+                self.plain.add(word)
         return known
 
+    def any(self, words: list[str], roles: int) -> bool:
+        """Whether one of the words may have one of the roles; words without any are known at once."""
+        return any(self.flags(w) & roles for w in set(words).difference(self.plain))
 
-def pairs_of(text: str, terms: Terms) -> list[tuple[str, str]]:
+
+def pairs_of(text: str, found: list[str], terms: Terms) -> list[tuple[str, str]]:
     """``(given, family)`` of neighbours in a name's form of which one may be a known term; given is empty for an initial.
 
-    A word before a given name comes out as ``(word, None)``.
+    ``found`` are the words of the text. A word before a given name comes out as ``(word, None)``.
     """
     flags = terms.flags
-    if not any(flags(w) & (GIVEN | FAMILY | INITIAL) for w in set(_WORD.findall(text))):
+    if not terms.any(found, GIVEN | FAMILY) and not _INITIALED.search(text):
         return []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     out = []
@@ -185,7 +197,7 @@ def names(text: str, terms: Terms, taken: list[tuple[int, int, str]]) -> list[tu
     (``second``). Candidates may overlap: which of them hold is told when their terms are verified.
     """
     flags = terms.flags
-    if not any(flags(w) & FAMILY for w in set(_WORD.findall(text))):
+    if not terms.any(_WORD.findall(text), FAMILY):
         return []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     out: list[tuple[int, int, str | None, str, str | None]] = []
@@ -250,8 +262,9 @@ def _counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
             seen, beside = Counter(), Counter()
             for text in batch.column(0).to_pylist():
                 text = without_mail(text)
-                seen.update(_WORD.findall(text))
-                beside.update(pairs_of(text, known))
+                words = _WORD.findall(text)
+                seen.update(words)
+                beside.update(pairs_of(text, words, known))
             rows: Counter = Counter()
             for word, n in seen.items():
                 rows["seen", folded(word), ""] += n
