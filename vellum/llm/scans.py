@@ -1,20 +1,27 @@
 """Noise in text from scanned pages: page furniture, page numbers, cut and misread words.
 
 The corpus vocabulary says which words are sound: those that documents without any trace
-of recognition errors use about as often as all documents do. A line at a page's edge is
-furniture where it is set smaller than the page's text or returns, fuzzily, at the edges of
-other pages of the document; what number form it holds is the page number, what else it
-holds the header. A hyphen at a line's end cuts a word where the two halves make a sound
-word and not a compound. A word is misread where it is not sound but one or two usual
-confusions, a lost blank or an added blank away from sound words; stray marks count too.
+of recognition errors use about as often as all documents do. What recognition takes for
+what is learnt from the corpus: unknown words are compared with the sound ones that differ
+in one place, and the pairs that explain ``RATE`` of them at least are its confusions.
+
+Furniture is told by repetition: the lines at a page's edges (``EDGE_LINES`` a side) are
+compared, letters only and folded over confusions, with those of other pages. A line is
+furniture where it returns at the edges of ``RETURNS`` pages of its document, or of
+``DOCUMENTS`` documents and is seldom seen elsewhere, or is almost such a line of its
+document; and a number is a page number where its difference to the page is that of
+a page next to it or after that, or none (number sequences, also Roman). Lines set larger
+than the text are headings, not furniture; a line inside is furniture only where all lines
+outside of it are. A hyphen at a line's end cuts a word where the two halves make a sound
+word and not a compound. A word is misread where it is not sound but one or two confusions,
+a lost blank or an added blank away from sound words; stray marks count too.
 
 Pages are read one at a time from partitions sorted by document and page, documents cut
 into runs of pages that bring their neighbours along, so a document is never held whole. Blocks
 get the findings of the lines they hold; what no fragment of the page covers of a block is
 read as lines of its own, in the places of the fragments without text. The vocabulary
 reaches the workers whole: every word that clean documents attest, however rare. Its size
-grows with the number of such words. Words that they do not attest must make ``SHARE`` of
-all words.
+grows with the number of such words.
 
 A repaired document is its paragraphs: what a block leaves open goes on in the next one, also
 over a page's end; pages without blocks are read from their fragments.
@@ -29,6 +36,7 @@ from __future__ import annotations
 import itertools
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -40,28 +48,29 @@ from vellum.llm.lookalikes import uniform
 from vellum.session import written
 from vellum.sources.tables import table
 
-#: Least share of all words that a word makes which clean documents do not attest; least occurrences of any word.
-SHARE, LEAST = 1e-6, 4
-#: How a set-smaller line compares with the page's text; pages of a document on which furniture returns.
-SMALLER, RETURNS = 0.95, 2
+#: Least occurrences of a word, and in clean documents; share of its usual rate that a sound word has there.
+LEAST, CLEAN, FAIR = 4, 3, 0.2
+#: Share of explained misreadings that makes a pair a confusion, and words that show it.
+RATE, SHOWN = 0.002, 3
+#: Lines of a page's edge that are looked at; pages of a document, or documents, at whose edges furniture returns.
+EDGE_LINES, RETURNS, DOCUMENTS = 2, 2, 3
+#: What a line's type is times the page's text in headings.
+LARGER = 1.05
 #: Pages of a document that one group of rows holds.
 RUN_PAGES = 64
 #: Kinds of blocks as numbers; text of kinds from ``RUNNING`` on goes on with what is open before it, or is left open.
 KINDS, RUNNING = {"heading": 0, "image": 0, "list-item": 1, "paragraph": 2}, 1
 
-#: What recognition takes for what (fixed values): wrong characters, then the right ones.
-CONFUSIONS = (
-    ("c", "e"), ("b", "h"), ("f", "t"), ("n", "a"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("1", "l"), ("1", "i"),
-    ("l", "i"), ("i", "l"), ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("u", "n"), ("n", "u"), ("e", "c"), ("h", "b"), ("t", "f"),
-    ("a", "n"), ("li", "h"), ("in", "m"), ("m", "rn"), ("d", "cl"), ("j", "i"), ("|", "l"), ("!", "l"), ("2", "z"), ("4", "a"), ("3", "e"), ("7", "t"),
-    ("h", "li"), ("ii", "ü"), ("fi", "h"),
-)
+#: What stands in for confusions where a corpus shows none (fixed values): wrong characters, then the right ones.
+CONFUSIONS = (("rn", "m"), ("cl", "d"), ("c", "e"), ("b", "h"), ("f", "t"), ("1", "l"), ("l", "i"), ("0", "o"), ("n", "u"), ("vv", "w"))
 _STRAY = r"|¦^~\\`"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-_CODE = re.compile(r"\[?\bK-[0-9a-z]*\]?|\S*\d[:/.-]\S*")
+_CODE = re.compile(r"\S*\d[:/.-]\S*")
 _CUT = re.compile(rf"([^\W_]+)([-¬=‐\xad])[\s{_STRAY}·]*$")
 _ROMAN = re.compile(r"(?:x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _NUMBER = re.compile(r"(?<![\w])[\dlIO|]*\d[\dlIO]*(?!\w)")
+_DIGIT_OF = str.maketrans("lI|OoSZBGgq", "11100528699")
+_SET_OFF = re.compile(r"^(\W*\d+) [|¦·/–—-] (?=\w)|(?<=\w) [|¦·/–—-] (\d+\W*)$")
 _PAGE_WORDS = ("page", "pages", "of", "p", "pp", "seite", "von", "sur", "de", "pag", "página", "s")
 _DOT = re.compile(r"(?<=\w)·|(?<=\w[.,;:?!\])]) ·$|(?<=\w) ·$|\w ·,")
 _MARKS = re.compile(rf"[{_STRAY}]")
@@ -81,23 +90,67 @@ def _near(a: str, b: str) -> bool:
     return sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b)) <= 2
 
 
-def edge_parts(text: str) -> tuple[bool, bool]:
-    """Whether a line of page furniture holds a page number, and whether it holds a title."""
+#: Characters that recognition confuses, as one; those of a line are compared.
+_FOLD = str.maketrans("1l!|0cbfnu59", "iiiioehtaasg")
+_JOINED = (("ra", "m"), ("ei", "d"), ("vv", "w"), ("ii", "a"), ("ri", "a"))  # rn, cl, vv, ii and ri, so folded
+
+
+def _folded(text: str) -> str:
+    text = text.casefold().translate(_FOLD)
+    for bad, good in _JOINED:
+        text = text.replace(bad, good)
+    return text
+
+
+def edge_key(text: str) -> str:
+    """Equal for lines whose letters differ in usual confusions only; numbers and marks are left out."""
+    words = [w for w in _MARKS.sub(" ", text).split() if not _NUMBER.fullmatch(w.strip("[]().,–—-"))]
+    return _folded("".join(c for c in "".join(words) if c.isalnum()))
+
+
+def has_title(text: str) -> bool:
+    """Whether a line of page furniture holds more than a page number in any form."""
     bare = " ".join(_MARKS.sub(" ", text).split())
     core = bare.strip(" []()-–—.·")
     if core and _ROMAN.fullmatch(core):
-        return True, False
+        return False
     number = bool(_NUMBER.search(bare))
-    words = [w for w in re.findall(r"[^\W\d_]+", _NUMBER.sub(" ", bare))]
-    title = [w for w in words if not (number and len(w) <= 7 and any(_near(w.casefold(), p) for p in _PAGE_WORDS))]
-    return number, sum(map(len, title)) >= 2
+    words = re.findall(r"[^\W_]*[^\W\d_][^\W_]*", _NUMBER.sub(" ", bare))
+    title = [w for w in words if not (number and len(w) <= 7 and any(_near(_folded(w), _folded(p)) for p in _PAGE_WORDS))]
+    return sum(map(len, title)) >= 2
+
+
+_ROMANS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def _roman(word: str) -> int:
+    values = [_ROMANS[c] for c in word]
+    return sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0], strict=True))
+
+
+def page_numbers(text: str) -> list[int]:
+    """The numbers that a line may hold, also Roman or with letters read for digits."""
+    # a mark alone may be a one
+    words = re.findall(r"[^\W_]+", _MARKS.sub(" ", text)) or ["1"] * (text.strip() in ("|", "¦"))
+    out = set()
+    for word in words:
+        if len(word) > 6:
+            continue
+        digits = word.translate(_DIGIT_OF)
+        if digits.isascii() and digits.isdigit() and (any(c.isdigit() for c in word) or len(words) <= 3):
+            out.add(int(digits))
+        low = word.casefold().translate(str.maketrans("l1!", "iii"))
+        if low and len(words) <= 3 and _ROMAN.fullmatch(low):
+            out.add(_roman(low))
+    return sorted(out)
 
 
 class Vocabulary:
-    """Sound words with their counts."""
+    """Sound words with their counts, and what recognition takes for what, the usual first."""
 
-    def __init__(self, sound: dict[str, int]) -> None:
+    def __init__(self, sound: dict[str, int], confusions: list[tuple[str, str]] | None = None) -> None:
         self.sound, self.known = sound, {}
+        self.confusions = confusions or list(CONFUSIONS)
         self.ordered = sorted(sound)
         self.common = sorted(sound.values())[-(len(sound) // 20 + 1)] if sound else 0
 
@@ -121,10 +174,10 @@ class Vocabulary:
     def _right(self, word: str) -> str | None:
         if len(word) < 2 or word.isdigit():
             return None
-        once = {word[:i] + good + word[i + len(bad) :] for bad, good in CONFUSIONS for i in _places(word, bad)}
+        once = {word[:i] + good + word[i + len(bad) :] for bad, good in self.confusions for i in _places(word, bad)}
         best = max((w for w in once if w in self.sound), key=self.sound.get, default=None)
         if best is None and len(word) >= 3:
-            twice = {w[:i] + good + w[i + len(bad) :] for w in once for bad, good in CONFUSIONS[:20] for i in _places(w, bad)}
+            twice = {w[:i] + good + w[i + len(bad) :] for w in once for bad, good in self.confusions[:20] for i in _places(w, bad)}
             least = 0 if len(word) > 3 else self.common  # of short words only the commonest are that near
             best = max((w for w in twice if w in self.sound and len(w) > 2 and self.sound[w] >= least), key=self.sound.get, default=None)
         if best is None and len(word) >= 5:
@@ -170,7 +223,7 @@ def cut_word(line: str, following: str | None, known: Vocabulary) -> tuple[str,
 
 def misread(line: str, known: Vocabulary, skip_first: str | None, skip_last: str | None, furniture: bool) -> bool:
     """Whether recognition left a wrong character, blank or mark in the line."""
-    text = re.sub(r"^\d+ \| ", " ", line) if furniture else line
+    text = _SET_OFF.sub(" ", line) if furniture else line  # a mark may set a page number off
     if _MARKS.search(text) or ("·" in text and _DOT.search(text)):
         return True
     if all(w in known.sound or w.isdigit() for w in _TOKEN.findall(text.casefold())):
@@ -197,7 +250,7 @@ def misread(line: str, known: Vocabulary, skip_first: str | None, skip_last: str
             return True
         if known.right(word) is not None or (len(word) > 3 and known.split(word)):
             return True
-        if furniture and any(_near(low, p) and low != p for p in ("page", "seite")):
+        if furniture and (any(_near(_folded(low), _folded(p)) and low != p for p in ("page", "seite")) or (low.translate(_DIGIT_OF).isdigit() and any(c.isdigit() for c in low))):
             return True
     return False
 
@@ -214,39 +267,102 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(folded("text")))
 
 
+#: The letters of a word at a line's end before a mark that cuts it.
+_LINE_CUT = re.compile(r"[-¬=‐\xad]\W*$")
+_WORDS = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
+
+
 def vocabulary(lines: DataFrame) -> DataFrame:
-    """``(word, n, fair)`` of words that may be sound; ``lines`` has ``pdf_id``, ``page_no`` and ``text``."""
+    """``(word, n, sound, fair)`` of all words: which may be sound, and which clean documents use as often as others; ``lines`` has ``pdf_id``, ``page_no`` and ``text``."""
     marked = F.col("text").rlike(rf"[{_STRAY}¬]|=$")
     noisy = lines.groupBy("pdf_id").agg((F.sum(marked.cast("int")) > 0).alias("noisy"))
-    tokens = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"\[?\bK-[0-9a-z]*\]?", " ")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}]+)+|[\p{L}\p{N}]+"), F.lit(0))
-    # a word that a line's end may have cut tells nothing: the first of a line is left out, and the last before a hyphen
-    cut = F.col("text").rlike(r"[-¬=‐\x{AD}]\W*$").cast("int")
-    whole = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1 - cut, F.lit(0)))
-    # the parts of compounds are words too
-    parts = F.flatten(F.transform(F.filter(whole, lambda w: w.contains("-")), lambda w: F.split(w, "-")))
-    page = F.xxhash64("pdf_id", "page_no").alias("page")
-    words = lines.select("pdf_id", "page_no", "text").join(noisy, "pdf_id").select(page, "noisy", F.explode(F.concat(whole, parts)).alias("word"))
+
+    def count(batches):
+        for batch in batches:
+            clean: Counter = Counter()
+            all_words: Counter = Counter()
+            ends: dict[str, list[int]] = {}
+            for text, dirty, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _WORDS.findall(text.lower())
+                # a word that a line's end may have cut tells nothing: the first of a line is left out, and the last before a hyphen
+                words = words[1 : -1 if _LINE_CUT.search(text) else None]
+                if "-" in text:
+                    words += [p for w in words if "-" in w for p in w.split("-")]  # the parts of compounds are words too
+                all_words.update(words)
+                if not dirty:
+                    clean.update(words)
+                for w in words:
+                    end = ends.get(w)
+                    if end is None:
+                        ends[w] = [page, page]
+                    elif page < end[0]:
+                        end[0] = page
+                    elif page > end[1]:
+                        end[1] = page
+            keys = list(all_words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in ([all_words[k] for k in keys], [clean[k] for k in keys], [ends[k][0] for k in keys], [ends[k][1] for k in keys])]],
+                ["word", "n", "clean", "first", "last"],
+            )
+
+    rows = lines.join(noisy, "pdf_id").select("text", "noisy", F.xxhash64("pdf_id", "page_no"))
     # counts are combined before the shuffle, so no word and no document is hot
-    counts = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("noisy")).alias("clean"), (F.min("page") != F.max("page")).alias("spread")
+    counts = rows.mapInArrow(count, "word string, n long, clean long, first long, last long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("clean").alias("clean"), (F.min("first") != F.max("last")).alias("spread")
     )
     counts = written(counts, "scan-words")
     total = counts.agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")).first()
     n, clean = total["n"] or 1, total["clean"] or 0
-    # where no document is clean every frequent word counts as sound
-    fair = (F.col("clean") >= 3) & (F.col("clean") / F.lit(float(max(clean, 1))) >= 0.2 * F.col("n") / F.lit(float(n)))
-    fair = fair if clean >= 0.02 * n else F.lit(False)
-    often = (F.col("n") >= LEAST) & (F.col("fair") | (F.col("n") >= max(20, int(n * SHARE))))
-    return counts.filter("spread").select("word", "n", fair.alias("fair")).filter(often)
+    if clean >= 0.02 * n:
+        sound = F.col("clean") >= CLEAN
+        fair = sound & (F.col("clean") / F.lit(float(clean)) >= FAIR * F.col("n") / F.lit(float(n)))
+    else:
+        sound, fair = F.lit(True), F.lit(False)  # where no document is clean every repeated word may be sound
+    firm = F.col("spread") & (F.col("n") >= LEAST)
+    return counts.select("word", "n", (firm & sound).alias("sound"), (firm & fair).alias("fair"))
 
 
-def sound_words(rows) -> dict[str, int]:
-    """Of ``(word, n, fair)`` the sound words: the fair ones, and frequent ones that are no misreading of a far more frequent one."""
+def learnt_confusions(words: DataFrame) -> list[tuple[str, str]]:
+    """``(wrong, right)`` that explain unknown words of :func:`vocabulary`, the most frequent first; at most ``1 / RATE``.
+
+    Unknown and sound words meet where they are equal but for one place of one or two
+    characters on either side. A word counts once, shared among what explains it.
+    """
+    whole = F.col("word")
+
+    def cuts(k: int):
+        def at(i):
+            frame = F.concat(F.substr(whole, F.lit(1), i), F.lit("\1"), F.substr(whole, i + k + 1, F.length(whole)))
+            return F.struct(frame.alias("frame"), F.substr(whole, i + 1, F.lit(k)).alias("part"))
+
+        return F.transform(F.sequence(F.lit(0), F.length(whole) - k), at)
+
+    cut = F.concat(cuts(1), cuts(2))
+    letters = words.filter((F.length("word") >= 4) & F.col("word").rlike(r"^[\p{L}\p{N}]+$"))
+    frames = letters.select("word", "sound", F.inline(cut)).filter(F.length("frame") >= 4)
+    bad = frames.filter("NOT sound").select(F.col("word").alias("unknown"), "frame", F.col("part").alias("bad"))
+    good = frames.filter("sound").select("frame", F.col("part").alias("good"))
+    # what differs in one character is no pair of two
+    shared = (F.length("bad") == 2) & (F.length("good") == 2) & ((F.substring("bad", 1, 1) == F.substring("good", 1, 1)) | (F.substring("bad", 2, 1) == F.substring("good", 2, 1)))
+    extra = (F.length("bad") != F.length("good")) & (F.col("bad").contains(F.col("good")) | F.col("good").contains(F.col("bad")))
+    met = written(bad.join(good, "frame").filter((F.col("bad") != F.col("good")) & ~shared & ~extra).select("unknown", "bad", "good").distinct(), "scan-pairs")
+    ways = met.groupBy("unknown").agg((1 / F.count(F.lit(1))).alias("weight"))
+    found = met.join(ways, "unknown").groupBy("bad", "good").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("shown"))
+    total = found.agg(F.sum("weight")).first()[0] or 1.0
+    rows = found.filter((F.col("weight") >= RATE * total) & (F.col("shown") >= SHOWN)).orderBy(F.desc("weight"), "bad", "good").collect()
+    return [(r["bad"], r["good"]) for r in rows]
+
+
+def sound_words(rows: list[tuple[str, int, bool]], confusions: list[tuple[str, str]]) -> dict[str, int]:
+    """Of ``(word, n, fair)`` that may be sound the fair ones, and those that are no misreading of a far more frequent one."""
+    every = {w: n for w, n, _ in rows}
     sound = {w: n for w, n, fair in rows if fair}
-    known = Vocabulary(dict(sound) or {w: n for w, n, _ in rows})
+    known = Vocabulary(dict(sound) or every, confusions)
     for word, n, fair in rows:
-        if not fair and ((near := known.right(word)) in (None, word) or known.sound[near] < 5 * n):
-            sound[word] = n
+        if not fair:
+            near = known._right(word)
+            if near is None or near == word or every[near] < 5 * n:
+                sound[word] = n
     return sound
 
 
@@ -263,17 +379,17 @@ class Page:
     """One page's distinct lines and blocks in order, its furniture told from its content."""
 
     def __init__(self, rows: list[tuple]) -> None:
-        """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" (of "block_edges", for lines of blocks alone) hold in ordinal and size how often first and last line return."""
+        """``rows``: (tbl, row_id, ordinal, text, size); those of ``tbl`` "edges" say that a line (text) returns (ordinal 1), holds a number of a sequence (2), or both."""
         self.lines: dict[tuple, list[int]] = {}
         self.blocks: dict[tuple, list[int]] = {}
         self.kinds: dict[tuple, float] = {}
         sizes: dict[tuple, float | None] = {}
         self.sizes = sizes
         lost: dict[int, float | None] = {}
-        returns = {"edges": (0, 0), "block_edges": (0, 0)}
+        self.returns: dict[str, int] = {}
         for tbl, row_id, ordinal, text, size in rows:
-            if tbl in returns:
-                returns[tbl] = (ordinal, int(size))
+            if tbl == "edges":
+                self.returns[" ".join(text.split())] = ordinal
             elif text:
                 key = (ordinal if ordinal is not None else 1 << 30, text)
                 (self.lines if tbl == "pdf_fragments" else self.blocks).setdefault(key, []).append(row_id)
@@ -288,27 +404,35 @@ class Page:
         for key in order:
             if sizes[key] is not None:
                 weights[sizes[key]] = weights.get(sizes[key], 0) + len(key[1])
-        body = self.body = max(weights, key=lambda s: (weights[s], s)) if weights else None
-
-        def furniture(key: tuple, times: int) -> bool:
-            ratio = sizes[key] / body if body and sizes.get(key) is not None else 1.0
-            return ratio < SMALLER or (times >= RETURNS and ratio <= 1 / SMALLER)  # larger type is a heading
+        self.body = max(weights, key=lambda s: (weights[s], s)) if weights else None
 
         for key in self.lines:
             lost.pop(key[0], None)
         self.held = sorted(self.blocks)
         self.block_of = self._placed(order, lost, sizes)
         self.order = sorted({*order, *self.block_of})
-        ends = {order[0][0]: returns["edges"][0], order[-1][0]: returns["edges"][1]} if len(order) > 1 else {}
-        self.edge = {k for k in order if k[0] in ends and furniture(k, ends[k[0]])}
-        if len(self.order) > 1:
-            outer = {k: n for k, n in zip((self.order[0], self.order[-1]), returns["block_edges"], strict=True) if k not in self.lines}
-            self.edge |= {k for k, n in outer.items() if furniture(k, n)}
+        self.edge: set[tuple] = set()
+        for side in (self.order, self.order[::-1]) if len(self.order) > 1 else ():
+            outside, places = 0, set()
+            for key in side:
+                places.add(key[0])
+                if len(places) > EDGE_LINES or not self.furniture(key):
+                    break
+                outside += 1
+            self.edge.update(side[:outside])
         self.content = [k for k in self.order if k not in self.edge]
 
+    def returned(self, key: tuple) -> int:
+        return self.returns.get(" ".join(key[1].split()), 0)
+
+    def furniture(self, key: tuple) -> bool:
+        """Whether a line at the edge returns on other pages, or holds nothing but a number of their sequence."""
+        mark = self.returned(key)
+        return not self.large(key) and bool(mark & 1 or (mark & 2 and not has_title(key[1])))
+
     def large(self, key: tuple) -> bool:
         """Whether a line is set larger than the page's text, as headings are."""
-        return bool(self.body) and self.sizes.get(key) is not None and self.sizes[key] * SMALLER > self.body
+        return bool(self.body) and self.sizes.get(key) is not None and self.sizes[key] > self.body * LARGER
 
     def _placed(self, order: list[tuple], lost: dict[int, float | None], sizes: dict[tuple, float | None]) -> dict[tuple, tuple]:
         """The block of each line; what no fragment covers comes in as lines of its own, placed and sized as fragments without text (``lost``) where these stand there."""
@@ -390,8 +514,7 @@ def page_findings(page: Page, before: str | None, after: str | None, known: Voca
         halves[content[0]][0] = cut[1]
     for key in order:
         if key in edge:
-            number, title = edge_parts(key[1])
-            found[key] |= ({"page_number"} if number else set()) | ({"header"} if title else set())
+            found[key] |= ({"page_number"} if page.returned(key) & 2 else set()) | ({"header"} if has_title(key[1]) else set())
         if misread(key[1], known, *halves[key], key in edge):
             found[key].add("misread")
     out = [("pdf_fragments", i, d, None) for k in order for d in found[k] for i in lines.get(k, ())]
@@ -607,25 +730,13 @@ def _runs(fragments: DataFrame, blocks: DataFrame):
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")].cast("double") if "kind" in blocks.columns else F.lit(None).cast("double")
     placed, lines = lines, lines.filter("text IS NOT NULL")  # a fragment without text still has its place
     texts = written(_lines(keyed(blocks.filter("text IS NOT NULL"), "pdf_blocks", "block_id", kind)), "scan-texts")
-    words = vocabulary(lines).collect()
-    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound_words([tuple(r) for r in words])))
-
-    # how often a page's first and last line return, fuzzily, at the edges of its document's pages
-    place = F.struct("ordinal", "text")
-    first, last = F.min_by("text", place), F.max_by("text", place)
-    ends = lines.groupBy("pdf_id", "page_no").agg(F.lit("edges").alias("tbl"), first.alias("first"), last.alias("last"))
-    outer = texts.groupBy("pdf_id", "page_no").agg(F.lit("block_edges").alias("tbl"), F.substring_index(first, "\n", 1).alias("first"), F.substring_index(last, "\n", -1).alias("last"))
-    both = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("text")), F.struct(F.lit(1).alias("side"), F.col("last").alias("text"))))
-    fold = F.regexp_replace(F.translate(F.lower("text"), "1l!|0cbfnu", "iiiioehtan"), r"[^\p{L}]+", "")
-    edges = ends.unionByName(outer).select("pdf_id", "page_no", "tbl", both).withColumn("edge", fold).filter(F.length("edge") >= 4)
-    # lines of fragments are compared with such lines only, those that stand in blocks alone with both
-    own_pages = F.count_distinct(F.when(F.col("tbl") == "edges", F.col("page_no")))
-    returns = edges.groupBy("pdf_id", "edge").agg(own_pages.alias("n"), F.count_distinct("page_no").alias("n_all")).filter(F.col("n_all") >= RETURNS)
-    times = F.when(F.col("tbl") == "edges", F.col("n")).otherwise(F.col("n_all"))
-    sides = edges.join(returns, ["pdf_id", "edge"]).groupBy("pdf_id", "page_no", "tbl").agg(
-        F.lit(None).cast("bigint").alias("row_id"), F.coalesce(F.max(F.when(F.col("side") == 0, times)), F.lit(0)).cast("int").alias("ordinal"),
-        F.lit(None).cast("string").alias("text"), F.coalesce(F.max(F.when(F.col("side") == 1, times)), F.lit(0)).cast("double").alias("size"),
-    )
+    words = vocabulary(lines)
+    confusions = learnt_confusions(words)
+    sound = sound_words([tuple(r) for r in words.filter("sound").select("word", "n", "fair").collect()], confusions)
+    shared = fragments.sparkSession.sparkContext.broadcast(Vocabulary(sound, confusions))
+    sides = returning(lines, texts).select(
+        "pdf_id", "page_no", F.lit("edges").alias("tbl"), F.lit(None).cast("bigint").alias("row_id"), F.col("mark").alias("ordinal"), "text", F.lit(None).cast("double").alias("size")
+    )
 
     # a document is cut into runs of pages; the pages next to a run come with it to be looked at only
     run_no = F.floor(F.col("page_no") / RUN_PAGES)
@@ -639,6 +750,56 @@ def _runs(fragments: DataFrame, blocks: DataFrame):
     return rows, shared
 
 
+def returning(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(pdf_id, page_no, text, mark)`` of lines at page edges that return (1) or hold a number of a sequence (2), or both (3)."""
+    page = Window.partitionBy("pdf_id", "page_no")
+    ends = [
+        lines.withColumn("rank", F.dense_rank().over(page.orderBy(*(order(c) for c in ("ordinal", "text"))))).filter(F.col("rank") <= EDGE_LINES).select("pdf_id", "page_no", "text")
+        for order in (F.asc, F.desc)
+    ]
+    place = F.struct("ordinal", "text")
+    outer = texts.groupBy("pdf_id", "page_no").agg(F.substring_index(F.min_by("text", place), "\n", 1).alias("first"), F.substring_index(F.max_by("text", place), "\n", -1).alias("last"))
+    outer = outer.select("pdf_id", "page_no", F.explode(F.array("first", "last")).alias("text"))
+    schema = "pdf_id string, page_no long, text string, key string, numbers array<long>"
+
+    def keyed(batches):
+        for batch in batches:
+            texts_ = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1).cast(pa.int64()), batch.column(2), pa.array([edge_key(t) for t in texts_], pa.string()), pa.array([page_numbers(t) for t in texts_], pa.list_(pa.int64()))],
+                ["pdf_id", "page_no", "text", "key", "numbers"],
+            )
+
+    edges = written(ends[0].unionByName(ends[1]).unionByName(outer).distinct().mapInArrow(keyed, schema), "scan-edges")
+    titled = edges.filter(F.length("key") >= 4)
+    own = titled.groupBy("pdf_id", "key").agg(F.count_distinct("page_no").alias("pages"), F.count(F.lit(1)).alias("at_edges"))
+    many = titled.groupBy("key").agg(F.count_distinct("pdf_id").alias("documents")).filter(F.col("documents") >= DOCUMENTS).select("key", F.lit(True).alias("common"))
+    repeated = own.join(many, "key", "left").filter(F.col("common") | (F.col("pages") >= RETURNS))
+    # what stands inside of pages more often is text, not furniture, wherever it does
+    judged = written(repeated.select("pdf_id", "key", "pages", "common", "at_edges"), "scan-returns")
+    keys = judged.select("key").distinct()
+    shown = titled.join(keys, "key", "left_semi").select("text", "key").distinct()
+    anywhere = lines.select("pdf_id", "page_no", "ordinal", "text").join(shown, "text").groupBy("key").agg(F.count_distinct("pdf_id", "page_no", F.coalesce("ordinal", F.lit(-1)), "text").alias("all_lines"))
+    at_edges = own.join(keys, "key", "left_semi").groupBy("key").agg(F.sum("at_edges").alias("at_edges"))
+    outside = at_edges.join(anywhere, "key", "left").filter(F.col("at_edges") >= 0.5 * F.coalesce("all_lines", F.lit(0))).select("key")
+    returned = judged.join(outside, "key", "left_semi").select("pdf_id", "key").withColumn("same", F.lit(1))
+    # almost a returning line of its document: equal at one end, and few letters apart
+    rest = titled.join(returned, ["pdf_id", "key"], "left_anti").select("pdf_id", "key").distinct()
+    both = [F.substring("key", 1, 6), F.substring("key", -6, 6)]
+    ended = [x.select("pdf_id", F.col("key").alias(n), F.explode(F.array(*[F.concat(F.lit(str(i)), e) for i, e in enumerate(both)])).alias("end")) for x, n in ((rest, "key"), (returned, "other"))]
+    near = ended[0].join(ended[1], ["pdf_id", "end"]).filter(F.levenshtein("key", "other") <= F.greatest(F.lit(1), (F.length("other") / 5).cast("int")))
+    returned = returned.unionByName(near.select("pdf_id", "key").distinct().withColumn("same", F.lit(1)))
+    # a number's difference to its page: that of other pages, or none
+    numbers = edges.select("pdf_id", "page_no", "text", F.explode(F.transform("numbers", lambda n: n - F.col("page_no"))).alias("ahead"))
+    sequence = Window.partitionBy("pdf_id", "ahead").orderBy("page_no")
+    near_page = [F.abs(F.col("page_no") - step("page_no").over(sequence)).between(1, 2) for step in (F.lag, F.lead)]
+    pages = numbers.select("pdf_id", "ahead", "page_no").distinct().withColumn("goes_on", F.coalesce(near_page[0], F.lit(False)) | F.coalesce(near_page[1], F.lit(False)) | (F.col("ahead") == 0))
+    counted = numbers.join(pages.filter("goes_on"), ["pdf_id", "ahead", "page_no"], "left_semi").select("pdf_id", "page_no", "text").distinct().withColumn("number", F.lit(2))
+    found = edges.join(returned, ["pdf_id", "key"], "left").join(counted, ["pdf_id", "page_no", "text"], "left")
+    mark = F.coalesce("same", F.lit(0)) + F.coalesce("number", F.lit(0))
+    return found.select("pdf_id", "page_no", "text", mark.alias("mark")).filter("mark > 0").groupBy("pdf_id", "page_no", "text").agg(F.max("mark").alias("mark"))
+
+
 def _neighbours(group):
     """Each own page of a run with the text lines that end the page before it and begin the page after."""
     held: list[tuple[int, bool, Page]] = []
