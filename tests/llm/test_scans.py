@@ -168,6 +168,14 @@ def test_furniture_returns_misread(spark):
     assert [sorted(got[i]).count("header") for i in (0, 1)] == [3, 3] and got[4].count("page_number") == 3 and "header" not in got[4] and {2, 3}.isdisjoint(got)
 
 
+@pytest.mark.parametrize("word", ["catlog", "catalogg", "xatalog", "catalig", "rrunning", "fnished", "inex", "quick", "catxlxg"])
+def test_edits_both_ways(word):
+    """Halves and trying all letters find the same."""
+    few, many = sc.Vocabulary(SOUND), sc.Vocabulary({**SOUND, **{word[: len(word) // 2] + f"{i:04}q": 1 for i in range(600)}})
+    extra = set(many.sound) - set(few.sound)
+    assert sorted(set(few._edited(word)) - {word}) == sorted(set(many._edited(word)) - extra - {word})
+
+
 def test_confusions_are_learnt(spark):
     sound = [w for w in "grape angle bridge signal garden magnet dragon finger".split()]
     rows = [(w, 50, True, True) for w in sound] + [(w.replace("g", "q", 1), 1, False, False) for w in sound] + [("xyzzy", 1, False, False)]

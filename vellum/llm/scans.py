@@ -151,7 +151,11 @@ class Vocabulary:
     def __init__(self, sound: dict[str, int], confusions: list[tuple[str, str]] | None = None) -> None:
         self.sound, self.known = sound, {}
         self.confusions = confusions or list(CONFUSIONS)
-        self.ordered = sorted(sound)
+        self.rights: dict[str, list[str]] = {}
+        for bad, good in self.confusions:
+            self.rights.setdefault(bad, []).append(good)
+        self.usual = {bad: [g for g in goods if (bad, g) in self.confusions[:20]] for bad, goods in self.rights.items()}
+        self.ordered, self.reversed = sorted(sound), sorted(w[::-1] for w in sound)
         self.common = sorted(sound.values())[-(len(sound) // 20 + 1)] if sound else 0
 
     def begins(self, part: str) -> bool:
@@ -174,18 +178,30 @@ class Vocabulary:
     def _right(self, word: str) -> str | None:
         if len(word) < 2 or word.isdigit():
             return None
-        once = {word[:i] + good + word[i + len(bad) :] for bad, good in self.confusions for i in _places(word, bad)}
+        once = _corrected(word, self.rights)
         best = max((w for w in once if w in self.sound), key=self.sound.get, default=None)
         if best is None and len(word) >= 3:
-            twice = {w[:i] + good + w[i + len(bad) :] for w in once for bad, good in self.confusions[:20] for i in _places(w, bad)}
+            twice = {x for w in once for x in _corrected(w, self.usual)}
             least = 0 if len(word) > 3 else self.common  # of short words only the commonest are that near
             best = max((w for w in twice if w in self.sound and len(w) > 2 and self.sound[w] >= least), key=self.sound.get, default=None)
         if best is None and len(word) >= 5:
-            edits = {word[:i] + word[i + 1 :] for i in range(len(word))}
-            edits |= {word[:i] + c + word[j:] for i in range(len(word) + 1) for j in (i, i + 1) for c in "abcdefghijklmnopqrstuvwxyzéèäüö"}
-            best = max((w for w in edits if w in self.sound and len(w) > 4), key=self.sound.get, default=None)
+            best = max((w for w in self._edited(word) if len(w) > 4), key=self.sound.get, default=None)
         return best
 
+    def _edited(self, word: str) -> list[str]:
+        """Sound words one character away: among those that share its first or its last half, or where these are many, by trying all."""
+        half = len(word) // 2
+        ranges = []
+        for words, part in ((self.ordered, word[:half]), (self.reversed, word[: half - 1 : -1])):
+            lo = bisect_left(words, part)
+            ranges.append((words, lo, bisect_right(words, part + "\U0010ffff", lo)))
+        if sum(hi - lo for _, lo, hi in ranges) > 500:
+            edits = {word[:i] + word[i + 1 :] for i in range(len(word))}
+            edits |= {word[:i] + c + word[j:] for i in range(len(word) + 1) for j in (i, i + 1) for c in _LETTERS}
+            return [w for w in edits if w in self.sound]
+        (first, a, b), (last, c, d) = ranges
+        return [w for w in {*first[a:b], *(w[::-1] for w in last[c:d])} if _one_off(word, w)]
+
     def split(self, word: str) -> tuple[str, str] | None:
         """Two sound words that ``word`` runs together."""
         word = word.casefold()
@@ -194,8 +210,28 @@ class Vocabulary:
         return max(cuts, key=lambda c: min(self.sound[c[0]], self.sound[c[1]]), default=None)
 
 
-def _places(word: str, part: str) -> list[int]:
-    return [i for i in range(len(word)) if word.startswith(part, i)]
+_LETTERS = "abcdefghijklmnopqrstuvwxyzéèäüö"
+
+
+def _one_off(word: str, other: str) -> bool:
+    """Whether one character less, more or other of the usual letters makes ``word`` the other."""
+    longer = len(other) - len(word)
+    if not -1 <= longer <= 1 or word == other:
+        return False
+    at = next((i for i, (a, b) in enumerate(zip(word, other, strict=False)) if a != b), min(len(word), len(other)))
+    if longer < 0:
+        return other[at:] == word[at + 1 :]
+    return other[at] in _LETTERS and other[at + 1 :] == word[at + (longer == 0) :]
+
+
+def _corrected(word: str, rights: dict[str, list[str]]) -> set[str]:
+    """The words that one confusion away may have been read as ``word``."""
+    out = set()
+    for i in range(len(word)):
+        for j in (i + 1, i + 2):
+            for good in rights.get(word[i:j], ()) if j <= len(word) else ():
+                out.add(word[:i] + good + word[j:])
+    return out
 
 
 def cut_word(line: str, following: str | None, known: Vocabulary) -> tuple[str, str] | None:
