@@ -25,6 +25,30 @@ def test_redaction(source, want, count):
     assert redaction.redact(source) == (want, count)
 
 
+@pytest.mark.parametrize(
+    "kept",
+    ["author: x", "authority=a", "compass=n", "passage=i", "secretary=A", "tokenizer=u", "sessionize=t", "cookie-policy=s", "private-key-history=4", "oauth-client-id=p", "_author=A", "a bearer of token news",
+     "https://s.test/docs/key/concepts", "https://s.test/verify/email", "https://s.test/x?zip=1&state=ny", "AT&amp;T stays", "see https://s.test/oauth/code"],
+)
+def test_what_is_kept(kept):
+    assert redaction.redact(kept) == (kept, 0)
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("https://s.test/magic-link/opaque987", "https://s.test/magic-link/"), ("https://s.test/reset/token/opaque987", "https://s.test/reset/token/"), ("https://s.test/login/otp/123456", "https://s.test/login/otp/"),
+        ("https://s.test/c?keep=1&X-Amz-Signature=a&X-Amz-Credential=b", "https://s.test/c?keep=1"), ("https://s.test/c?keep=1&SAMLResponse=a&state=b", "https://s.test/c?keep=1"), ("https://s.test/c?keep=1&%2563ode=b", "https://s.test/c?keep=1"),
+        ("https://s.test/#%2563ode%3Db", "https://s.test/"), ("https://s.test/r&#101;set/opaque987", "https://s.test/reset/"), ("//r.test/:_authToken=abc", "//r.test/:_authToken=[REDACTED]"), ("//r.test/:_auth=abc", "//r.test/:_auth=[REDACTED]"),
+        ('{"Authorization":"Bearer abc"}', '{"Authorization":"[REDACTED]"}'), ("SET_COOKIE=id=a; Path=/", "SET_COOKIE=[REDACTED]"), ("PRIVATE_KEY=-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "PRIVATE_KEY=[REDACTED_PEM_CREDENTIAL]"),
+        ("Cookie&colon; session=a; b", "Cookie&colon; [REDACTED]"), ("AWS&lowbar;SECRET&lowbar;ACCESS&lowbar;KEY&equals;abc", "AWS&lowbar;SECRET&lowbar;ACCESS&lowbar;KEY&equals;[REDACTED]"), ("password&#x3dxyz", "password&#x3d[REDACTED]"),
+        ("token=a and password=b", "token=[REDACTED] and password=[REDACTED]"),
+    ],
+)
+def test_what_is_redacted(source, want):
+    assert redaction.redact(source)[0] == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="token=:\"'&;#61 \n", max_size=60))
 def test_redaction_is_stable(source):

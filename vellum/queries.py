@@ -227,9 +227,30 @@ def capture_markers(spark, folder):
     return table(spark, folder, "capture_outcomes").filter("markdown IS NOT NULL").select("capture_id", *[v.alias(k) for k, v in marks.items()])
 
 
+#: Pages of gates as sites show them, and pages about them: number, name, text.
+GATES = (
+    (1, "Just a moment...", "Checking your browser before you proceed to the site you asked for."),
+    (2, "Notes", "# Access denied"),
+    (3, "Shop", "Please verify that you are a human to see this shop and all of its offers."),
+    (4, "Paper", "You must be logged in. " + "Words of the teaser follow here. " * 10),
+    (5, "Paper", "You must be logged in. " + "Words of the teaser follow here. " * 60),
+    (6, "App", "Please enable JavaScript to run this application, it does need it."),
+    (7, "Guide", "How to troubleshoot a captcha: this guide tells what to do when access denied shows and you have been blocked."),
+    (8, "Blog", "Your request has been blocked by the owner of this site, Cloudflare Ray ID 5a."),
+    (9, "Short", "too short"),
+    (10, "Emoji", "😀" * 30),
+    (11, "Members", "Members only beyond this line, dear reader, so come in and join us in the club."),
+    (12, "Story", "We took the second road and kept to it until the village came in sight at last."),
+    (13, "403 Forbidden", "You don't have permission to see this page on this server, we are sorry."),
+    (14, "Lab", "Unusual traffic from your computer network was seen today. " + "More of the same text stands here again. " * 40),
+)
+
+
 def _judged(spark, folder):
-    rows = table(spark, folder, "capture_outcomes")
-    verdict = captures.status(F.col("markdown"), F.lit(None).cast("string"), F.col("capture_scope"), F.lit(False))
+    rows = table(spark, folder, "capture_outcomes").withColumn("shown", F.regexp_extract("markdown", r"(?m)^# (.+)$", 1))
+    gates = spark.createDataFrame([(-n, t, name, "page") for n, name, t in GATES], "capture_id long, markdown string, shown string, capture_scope string")
+    rows = rows.unionByName(gates, allowMissingColumns=True)
+    verdict = captures.status(F.col("markdown"), F.col("shown"), F.col("capture_scope"), F.lit(False))
     return rows.withColumn("verdict", verdict)
 
 
@@ -480,17 +501,34 @@ def _q(pattern: str) -> str:
 
 _WORDS = r"'[^\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+'"
 _TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+#: The phrases of gates, written out for DuckDB; they share nothing with the operator's tables.
+_GATES = {
+    "hint": r"verify (that )?you are (a )?human|captcha|access denied|request (has been )?blocked|unusual traffic|cloudflare ray id",
+    "demand": r"\b((verify|confirm) (that )?you are (a )?human|(complete|solve) (the )?captcha|you (do not|don't) have permission|you have been blocked|(your|this) (request|access|ip( address)?) (has been|was|is) blocked|unusual traffic from your (computer )?network|automated (queries|requests)|(before proceeding|to continue),? (please )?(verify|complete|enable)|cloudflare ray id)\b",
+    "line": r"(^|\n)[ \t]*(#{1,6}[ \t]+)?(403( forbidden)?|access denied|request blocked|unusual traffic|verify (that )?you are (a )?human|captcha|security (check|verification))[.!]?[ \t]*\r?(\n|$)",
+    "title": r"^(403( forbidden)?|access denied|request blocked|unusual traffic|verify (that )?you are (a )?human|human verification|captcha|security (check|verification)|attention required|just a moment(\.\.\.)?)$",
+    "about": r"\b(how to|troubleshoot|troubleshooting|(this|the) (article|guide|tutorial)|learn (how|why))\b",
+    "login": r"\b((sign|log) in to (continue|read|view|see|access|comment|reply)|login required|members? only|subscriber-only|subscribe to (continue|read)|this content is private|you must be logged in)\b",
+    "shell": r"enable javascript|javascript is disabled|something went wrong|try reloading",
+}
+
+
+def _gate(column: str, name: str) -> str:
+    return f"regexp_matches({column}, {_q(_GATES[name])}, 'i')"
+
+
 _STATUS = rf"""
 SELECT *, CASE WHEN markdown IS NULL THEN 'unsupported'
-  WHEN units <= 4096 AND words <= 160 AND NOT regexp_matches(seen, {_q(captures.DISCUSSION)})
-    AND ((words <= 24 AND regexp_matches(markdown, {_q(captures.BLOCKED_LINE)}))
-      OR (regexp_matches(markdown, {_q(captures.BLOCKED)}) AND regexp_matches(markdown, {_q(captures.BLOCKED_CONTEXT)}))) THEN 'blocked'
-  WHEN regexp_matches(seen, {_q(captures.SIGN_IN)}) AND units < 1500 THEN 'auth-required'
-  WHEN regexp_matches(seen, {_q(captures.SHELL)}) AND units < 500 THEN 'unsupported'
-  WHEN length(trim(markdown, chr(9) || chr(10) || chr(13) || ' ')) < 40 THEN 'unsupported'
-  WHEN regexp_matches(seen, {_q(captures.SIGN_IN)}) OR capture_scope IN ('thread', 'comments') THEN 'partial' ELSE 'complete' END AS verdict
-FROM (SELECT *, chr(10) || markdown AS seen, length(markdown) AS units, len(regexp_extract_all(markdown, {_WORDS})) AS words FROM capture_outcomes)"""
+  WHEN units <= 4096 AND words <= 160 AND NOT {_gate("seen", "about")}
+    AND ((words <= 24 AND {_gate("markdown", "line")}) OR (({_gate("shown", "title")} OR {_gate("markdown", "hint")}) AND ({_gate("shown", "title")} OR {_gate("markdown", "demand")}))) THEN 'blocked'
+  WHEN {_gate("seen", "login")} AND units < 1500 THEN 'auth-required'
+  WHEN {_gate("seen", "shell")} AND units < 500 THEN 'unsupported'
+  WHEN length(trim(markdown, chr(9) || chr(10) || chr(13) || ' ')) + units - length(markdown) < 40 THEN 'unsupported'
+  WHEN {_gate("seen", "login")} OR capture_scope IN ('thread', 'comments') THEN 'partial' ELSE 'complete' END AS verdict
+FROM (SELECT *, shown || chr(10) || markdown AS seen, length(markdown) + len(regexp_extract_all(markdown, '[\x{{10000}}-\x{{10FFFF}}]')) AS units, len(regexp_extract_all(markdown, {_WORDS})) AS words
+  FROM (SELECT *, regexp_extract(markdown, '(?m)^# (.+)$', 1) AS shown FROM capture_outcomes UNION ALL BY NAME SELECT -n AS capture_id, text AS markdown, name AS shown, 'page' AS capture_scope FROM gates)) q"""
 _MARKS = r"least(len(regexp_extract_all(coalesce(markdown, ''), '!\[[^\]\n]*\]\([^)\n]*\)')), 100) AS images, least(len(regexp_extract_all(coalesce(markdown, ''), '\[[^\]\n]*\]\([^)\n]*\)')) - len(regexp_extract_all(coalesce(markdown, ''), '!\[[^\]\n]*\]\([^)\n]*\)')), 500) AS links"
+_GATES_TABLE = "WITH gates AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {_q(name)}, {_q(t)})" for n, name, t in GATES) + ") v(n, name, text))"
 _ENTRIES = "first_entries AS (SELECT * FROM captured_entries QUALIFY row_number() OVER (PARTITION BY thread_id, entry_id ORDER BY captured_at, entry_row_id) = 1)"
 _FRAGMENTS = "f AS (SELECT * FROM pdf_fragments WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_id, page_no, ordinal ORDER BY fragment_id) = 1)"
 _BODY = _FRAGMENTS + ", weights AS (SELECT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size, sum(length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g')))) AS chars FROM f GROUP BY ALL), bodies AS (SELECT pdf_id, size AS body_size FROM weights QUALIFY row_number() OVER (PARTITION BY pdf_id ORDER BY chars DESC, size) = 1)"
@@ -542,8 +580,8 @@ FROM o FULL JOIN n ON o.path = n.path GROUP BY 1""",
 SELECT capture_id, CASE WHEN source_url IS NULL THEN NULL ELSE 'generic' END AS platform, regexp_replace(regexp_replace(regexp_replace(source_url, '#.*$', ''), '([?&])utm_[^&]*', '\1', 'g'), '[?&]+$', '') AS canonical FROM capture_outcomes""",
     "page_words": f"SELECT page_id, coalesce(len(regexp_extract_all(body, {_WORDS})), 0)::INT AS n_words FROM acquisitions",
     "capture_markers": f"SELECT capture_id, {_MARKS} FROM capture_outcomes WHERE markdown IS NOT NULL",
-    "capture_status": f"SELECT capture_id, verdict FROM ({_STATUS})",
-    "capture_quality": f"""
+    "capture_status": f"{_GATES_TABLE} SELECT capture_id, verdict FROM ({_STATUS})",
+    "capture_quality": f"""{_GATES_TABLE}
 SELECT capture_id, (CASE verdict WHEN 'complete' THEN 5000 WHEN 'partial' THEN 2000 WHEN 'auth-required' THEN -2000 WHEN 'blocked' THEN -4000 ELSE -5000 END
   + least(coalesce(units, 0), 50000) + least(coalesce(words, 0), 10000) * 5 + least(coalesce(captured_items, 0), 1000) * 50 + coalesce(images, 0) * 100 + coalesce(links, 0) * 5)::BIGINT AS score
 FROM (SELECT *, {_MARKS} FROM ({_STATUS}))""",
