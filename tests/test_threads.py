@@ -37,19 +37,19 @@ def test_deep_chain(spark):
 def test_chain_beyond_the_deepest_indent(spark):
     """Entries below level 64 keep their place; only the indent stops there."""
     rows = [("d", f"e{i}", f"e{i - 1}" if i else None, i, "content") for i in range(70)]
-    placed = threads.linked(entries(spark, rows)).localCheckpoint()
+    placed = threads.linked(entries(spark, rows)).cache()
     assert {r.entry_id: (r.depth, len(r.path)) for r in placed.collect()} == {f"e{i}": (i, i + 1) for i in range(70)}
     lines = threads.rendered(placed).first().markdown.split("\n")
     assert lines[69].startswith("  " * 64 + "- ") and "text e69" in lines[69]
 
 
-HN = {"root": 1, "items": {"1": {"by": "ann", "title": "T", "kids": [3, 2, 9], "time": 0, "descendants": 3}, "2": {"by": "bob", "text": "a<p>b <i>c</i> &amp; <a href=\"u\">l</a>"}, "3": {"deleted": True}}}
+HN = {"root": 1, "items": {"1": {"by": "ann", "title": "T", "kids": [3, 2, 9], "time": 0, "descendants": 3}, "2": {"by": "bob", "text": "a<p>b <i>c</i> &amp; <a href=\"https://u.test/\">l</a> <a href=\"javascript:x\">k</a>"}, "3": {"deleted": True}}}
 REDDIT = [
     {"data": {"children": [{"kind": "t3", "data": {"id": "p", "title": "T", "selftext": "body", "author": "ann", "created_utc": 1.5, "permalink": "/r/x"}}]}},
     {"data": {"children": [{"kind": "t1", "data": {"id": "c", "body": "[removed]", "replies": {"data": {"children": [{"kind": "more", "data": {"id": "m"}}]}}}}]}},
 ]
 SKY = {"thread": {"post": {"uri": "at://d/p/2", "author": {"handle": "h", "displayName": "H"}, "record": {"text": "two"}}, "parent": {"post": {"uri": "at://d/p/1", "record": {"text": "one"}}}, "replies": [{"notFound": True, "uri": "at://d/p/3"}]}}
-X = [{"id": "1", "text": "a", "author": {"username": "u", "name": "U"}}, {"id": "2", "text": "b", "inReplyToStatusId": "1"}, {"id": "2", "text": "again"}, {"id": "4", "inReplyToStatusId": "5"}, {"id": "5", "inReplyToStatusId": "4"}]
+X = [{"id": "1", "text": "a", "author": {"username": "u", "name": "U"}}, {"id": "2", "text": "b", "inReplyToStatusId": "1"}, {"id": "2", "text": "again"}, {"id": "4", "text": "c", "inReplyToStatusId": "5"}, {"id": "5", "text": "d", "inReplyToStatusId": "4"}]
 
 
 def test_parsers(spark):
@@ -60,15 +60,32 @@ def test_parsers(spark):
         out.setdefault(r.thread_id, []).append(r)
     out = {k: sorted(v, key=lambda r: r.ordinal) for k, v in out.items()}
     assert [(r.entry_id, r.parent_id, r.kind, r.reason) for r in out["h"]] == [("1", None, "content", None), ("3", "1", "unavailable", "deleted"), ("2", "1", "content", None), ("9", "1", "unavailable", "not-found")]
-    assert out["h"][2].text == "a\n\nb *c* & [l](u)" and out["h"][0].created_at == "1970-01-01T00:00:00.000Z"
-    assert [(r.entry_id, r.tree_depth, r.kind) for r in out["r"]] == [("p", 0, "content"), ("c", 1, "unavailable"), ("m", 2, "more")] and out["r"][0].text == "T\n\nbody"
+    assert out["h"][2].text == "a\n\nb *c* & [l](<https://u.test/>) k" and out["h"][0].created_at == "1970-01-01T00:00:00.000Z"
+    assert [(r.entry_id, r.tree_depth, r.kind) for r in out["r"]] == [("p", 0, "content"), ("c", 1, "unavailable"), ("m", 2, "more")] and (out["r"][0].title, out["r"][0].text) == ("T", "body")
     assert [(r.entry_id, r.parent_id, r.kind) for r in out["b"]] == [("1", None, "content"), ("2", "1", "content"), ("3", "2", "unavailable")]
-    assert [(r.entry_id, r.parent_id) for r in out["x"]] == [("1", None), ("2", "1"), ("4", None), ("5", "4")]
+    assert [(r.entry_id, r.parent_id, r.kind) for r in out["x"]][:5] == [("1", None, "content"), ("2", "1", "content"), ("4", None, "content"), ("5", "4", "content"), ("4", "5", "boundary")]
+    assert [r.reason for r in out["x"] if r.kind == "warning"] == ["a cycle at entry 4 was cut", "repeated post 2 was skipped"]
     assert out["?"][0].kind == out["!"][0].kind == out["0"][0].kind == "boundary"
 
 
 def test_limits():
-    assert len(list(threads.hacker_news(json.dumps(HN), threads.Limits(items=2)))) == 2
+    assert [e["kind"] for e in threads.hacker_news(json.dumps(HN), threads.Limits(items=2))] == ["content", "unavailable", "boundary", "warning"]
+    assert [e["reason"] for e in threads.x_posts(json.dumps([{"id": str(i), "text": "t"} for i in range(20)]), threads.Limits(items=3)) if e["kind"] == "warning"] == ["posts were truncated to 3"]
+    photo = {"type": "photo", "url": "https://p.test/1"}
+    assert len(next(threads.x_posts(json.dumps({"id": 1, "text": "t", "media": [photo] * 9}), threads.Limits(media=2)))["media"]) == 2
     assert next(threads.reddit(json.dumps(REDDIT), threads.Limits(text=3)))["text"].endswith("[…]")
     with pytest.raises(ValueError):
         threads.Limits(depth=0)
+
+
+def test_entries_without_id_stay_apart(spark):
+    once = threads.distinct_entries(entries(spark, [("t", None, None, 0, "content"), ("t", None, None, 1, "content"), ("t", "a", None, 2, "content")]))
+    assert once.count() == 3 and threads.linked(once).count() == 3
+
+
+def test_unmatched_brackets_end_soon():
+    import time
+
+    begun = time.monotonic()
+    assert threads.comment_markdown("<" * 200_000) == "<" * 200_000 and time.monotonic() - begun < 5
+    assert threads.comment_markdown("One<p>Two<br><b>b</b> <em>s</em><pre><code>x &amp; y</code></pre>") == "One\n\nTwo\n**b** *s*\n\n```\nx & y\n```"

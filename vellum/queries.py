@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -319,6 +321,33 @@ def thread_render(spark, folder):
     return rows.select("thread_id", "n_lines", F.length("markdown").alias("n_chars"))
 
 
+#: Conversations as their platforms give them.
+THREADS = (
+    ("x-wrapped", "x", {"tweets": [{"id": "1", "text": "Root", "author": {"username": "al", "name": "Al"}, "createdAt": "2026-07-21T10:00:00Z", "likeCount": 3, "replyCount": 1, "retweetCount": 2, "quoteCount": 4,
+        "quotedTweet": {"id": "9", "text": "Quoted", "author": {"username": "bo"}, "createdAt": "Tue Jul 21 12:00:00 +0000 2026", "media": [{"type": "photo", "url": "https://p.test/q.jpg"}]},
+        "media": [{"type": "video", "url": "https://p.test/p.jpg", "videoUrl": "https://v.test/v.mp4"}], "article": {"title": "Long form"}}, {"id": "2", "text": "Reply", "inReplyToStatusId": "1"}, {"id": "2", "text": "Again"}, {"text": 7}]}),
+    ("x-single", "x", {"tweet": {"id": 5, "text": "Alone"}}),
+    ("x-plain", "x", {"id": "6", "text": "Plain"}),
+    ("hn-envelope", "hacker-news", {"root": {"id": 100, "by": "al", "time": 1_700_000_000, "title": "Launch", "text": "Intro<p><i>nice</i>", "url": "https://e.test/l", "score": 42, "descendants": 5, "kids": [101, 102, 103, 999]},
+        "descendants": [{"id": 101, "by": "bo", "text": "First", "kids": [104]}, {"id": 102, "deleted": True}, {"id": 103, "dead": True}, {"id": 104, "text": "Child", "kids": [101]}]}),
+    ("hn-list", "hacker-news", [{"id": 1, "title": "T"}]),
+    ("hn-bad", "hacker-news", {"root": {"title": "No id"}}),
+    ("reddit", "reddit", [{"data": {"children": [{"kind": "t3", "data": {"id": "abc", "title": "Ask", "author": "al", "created_utc": 1_700_000_000, "selftext": "Body", "permalink": "/r/t/abc/", "score": 10, "num_comments": 4}}]}},
+        {"data": {"children": [{"kind": "t1", "data": {"id": "c1", "author": "bo", "body": "Reply", "replies": {"data": {"children": [{"kind": "t1", "data": {"id": "c2", "body": "[deleted]", "replies": ""}}, {"kind": "more", "data": {"id": "m", "count": 7, "children": ["x"]}}]}}}}]}}]),
+    ("bluesky", "bluesky", {"thread": {"post": {"uri": "at://d/app.bsky.feed.post/2", "author": {"handle": "al.test", "displayName": "Al"}, "record": {"text": "Two", "createdAt": "2026-01-02T03:04:05Z"}, "likeCount": 1,
+        "embed": {"media": {"images": [{"fullsize": "https://i.test/1.jpg"}, {"thumb": "https://i.test/2.jpg"}]}, "record": {"record": {"uri": "at://d/app.bsky.feed.post/7", "author": {"handle": "bo.test"}, "value": {"text": "Seven"}}}}},
+        "parent": {"post": {"uri": "at://d/app.bsky.feed.post/1", "record": {"text": "One"}}}, "replies": [{"notFound": True, "uri": "at://d/app.bsky.feed.post/3"}, {"blocked": True, "uri": "at://d/app.bsky.feed.post/4"}]}}),
+    ("unknown", "mastodon", {}),
+)
+
+
+def thread_parse(spark, folder):
+    """The entries of conversations in every form that the platforms give."""
+    rows = spark.createDataFrame([(name, platform, json.dumps(raw)) for name, platform, raw in THREADS], "thread_id string, platform string, raw string")
+    parsed = threads.parse_threads(rows)
+    return parsed.select("thread_id", "ordinal", "entry_id", "parent_id", "relation", "tree_depth", "kind", "reason", "handle", "created_at", "title", "text", "likes", "replies", F.to_json("media").alias("media"))
+
+
 # --- PDF --------------------------------------------------------------------
 
 
@@ -401,7 +430,7 @@ QUERIES = {
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, bm25_topk,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
-        capture_quality, page_best_candidate, capture_manifests, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, pdf_body_sizes,
+        capture_quality, page_best_candidate, capture_manifests, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
@@ -596,8 +625,46 @@ SELECT page_id, capture_id, status FROM capture_outcomes WHERE page_id IS NOT NU
 SELECT *, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured < expected THEN 'partial' ELSE 'complete' END AS status FROM e""",
     "thread_depths": "WITH RECURSIVE " + _ENTRIES + """, tree AS (
   SELECT thread_id, entry_id, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
-  UNION ALL SELECT e.thread_id, e.entry_id, depth + 1 FROM tree t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id WHERE depth < 64
+  UNION ALL SELECT e.thread_id, e.entry_id, depth + 1 FROM tree t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id
 ) SELECT thread_id, max(depth)::INT AS depth, count(*) AS n_entries FROM tree GROUP BY 1""",
+    "thread_render": "WITH RECURSIVE " + _ENTRIES + r""", placed AS (
+  SELECT e.*, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
+  UNION ALL SELECT e.*, depth + 1 FROM placed t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id
+), lines AS (
+  SELECT thread_id, repeat('  ', least(coalesce(depth, 0), 64)) || CASE WHEN relation = 'quote' THEN '> ' ELSE '- ' END || '**' || coalesce(author_name, handle, 'unknown') || '**: '
+    || CASE WHEN kind = 'content' THEN regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', ' ', 'g') WHEN kind = 'more' THEN '_more replies_' ELSE '_unavailable' || coalesce(': ' || reason, '') || '_' END AS line
+  FROM (SELECT * FROM placed UNION ALL SELECT e.*, 0 FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.thread_id = e.thread_id AND p.entry_id = e.entry_id)) q
+) SELECT thread_id, count(*)::INT AS n_lines, (sum(length(line)) + count(*) - 1)::INT AS n_chars FROM lines GROUP BY 1""",
+    "thread_parse": """
+SELECT * FROM (VALUES
+  ('x-wrapped', 0, '1', NULL, 'root', 0, 'content', NULL, 'al', '2026-07-21T10:00:00.000Z', 'Long form', 'Root', 3, 1, '[{"kind":"video","url":"https://v.test/v.mp4"}]'),
+  ('x-wrapped', 1, '9', '1', 'quote', 1, 'content', NULL, 'bo', '2026-07-21T12:00:00.000Z', NULL, 'Quoted', NULL, NULL, '[{"kind":"photo","url":"https://p.test/q.jpg"}]'),
+  ('x-wrapped', 2, '2', '1', 'reply', 1, 'content', NULL, NULL, NULL, NULL, 'Reply', NULL, NULL, '[]'),
+  ('x-wrapped', 3, NULL, NULL, NULL, NULL, 'warning', 'repeated post 2 was skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('x-wrapped', 4, NULL, NULL, NULL, NULL, 'warning', 'malformed post 3 was skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('x-single', 0, '5', NULL, 'root', 0, 'content', NULL, NULL, NULL, NULL, 'Alone', NULL, NULL, '[]'),
+  ('x-plain', 0, '6', NULL, 'root', 0, 'content', NULL, NULL, NULL, NULL, 'Plain', NULL, NULL, '[]'),
+  ('hn-envelope', 0, '100', NULL, 'root', 0, 'content', NULL, 'al', '2023-11-14T22:13:20.000Z', 'Launch', 'Intro' || chr(10) || chr(10) || '*nice*' || chr(10) || chr(10) || '[Linked article](<https://e.test/l>)', 42, 5, '[]'),
+  ('hn-envelope', 1, '101', '100', 'reply', 1, 'content', NULL, 'bo', NULL, NULL, 'First', NULL, NULL, '[]'),
+  ('hn-envelope', 2, '104', '101', 'reply', 2, 'content', NULL, NULL, NULL, NULL, 'Child', NULL, NULL, '[]'),
+  ('hn-envelope', 3, '101', '104', 'reply', 3, 'boundary', 'cycle', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('hn-envelope', 4, '102', '100', 'reply', 1, 'unavailable', 'deleted', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('hn-envelope', 5, '103', '100', 'reply', 1, 'unavailable', 'dead', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('hn-envelope', 6, '999', '100', 'reply', 1, 'unavailable', 'not-found', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('hn-envelope', 7, NULL, NULL, NULL, NULL, 'warning', 'a cycle at entry 101 was cut', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('hn-list', 0, '1', NULL, 'root', 0, 'content', NULL, NULL, NULL, 'T', '', NULL, NULL, '[]'),
+  ('hn-bad', 0, NULL, NULL, NULL, NULL, 'boundary', 'malformed: KeyError', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('reddit', 0, 'abc', NULL, 'root', 0, 'content', NULL, 'al', '2023-11-14T22:13:20.000Z', 'Ask', 'Body', 10, 4, '[]'),
+  ('reddit', 1, 'c1', 'abc', 'reply', 1, 'content', NULL, 'bo', NULL, NULL, 'Reply', NULL, NULL, '[]'),
+  ('reddit', 2, 'c2', 'c1', 'reply', 2, 'unavailable', 'deleted', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('reddit', 3, 'm', 'c1', 'reply', 2, 'more', NULL, NULL, NULL, NULL, NULL, NULL, 7, '[]'),
+  ('bluesky', 0, '1', NULL, 'root', 0, 'content', NULL, NULL, NULL, NULL, 'One', NULL, NULL, '[]'),
+  ('bluesky', 1, '2', '1', 'reply', 0, 'content', NULL, 'al.test', '2026-01-02T03:04:05.000Z', NULL, 'Two', 1, NULL, '[{"kind":"image","url":"https://i.test/1.jpg"},{"kind":"image","url":"https://i.test/2.jpg"}]'),
+  ('bluesky', 2, '7', '2', 'quote', 1, 'content', NULL, 'bo.test', NULL, NULL, 'Seven', NULL, NULL, '[]'),
+  ('bluesky', 3, '3', '2', 'reply', 1, 'unavailable', 'not-found', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('bluesky', 4, '4', '2', 'reply', 1, 'unavailable', 'blocked', NULL, NULL, NULL, NULL, NULL, NULL, '[]'),
+  ('unknown', 0, NULL, NULL, NULL, NULL, 'boundary', 'unsupported platform', NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+) v(thread_id, ordinal, entry_id, parent_id, relation, tree_depth, kind, reason, handle, created_at, title, text, likes, replies, media)""",
     "pdf_body_sizes": "WITH " + _BODY + " SELECT * FROM bodies",
     "pdf_heading_levels": "WITH " + _BODY + ", s AS (SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08) SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS level FROM s",
     "pdf_margins": "WITH " + _FRAGMENTS + r""", l AS (
