@@ -145,6 +145,12 @@ def test_streams(spark, tmp_path):
     jobs.keep_index(jobs.follow_notes(spark, str(notes)), str(index), str(tmp_path / "ck")).awaitTermination(120)
     rows = spark.read.parquet(str(index)).collect()
     assert {r.path.rpartition("/")[2] for r in rows} == {"a.md", "b.md"} and len(rows) == 2
+    from vellum.operators import search
+
+    (notes / "c.md").write_text("third")
+    jobs.keep_index(jobs.follow_notes(spark, str(notes)), str(index), str(tmp_path / "ck")).awaitTermination(120)
+    now = search.current(spark.read.parquet(str(index)))
+    assert sorted(r.chunk for r in now.collect()) == ["# A\nwords", "more", "third"]
 
 
 def test_pipeline(spark, tmp_path):
@@ -189,3 +195,26 @@ def test_index_in_parts(spark, root, tmp_path):
 
     rows = {r.path: r.chunk for r in search.current(spark.read.parquet(place)).collect()}
     assert rows["areas/tuned.md"] == "new words" and "inbox/README.md" not in rows and len(rows) == 6
+
+
+def test_search_by_meaning(spark, root, tmp_path):
+    """Vectors of the index, hits of changed notes left out, degrees and a least score."""
+    words = ("oven", "kiln", "glaze", "clay")
+
+    def embed(texts):
+        return [[t.lower().count(w) + 0.01 for w in words] for t in texts]
+
+    place = str(tmp_path / "index")
+    (root / "areas/pots.md").write_text("# Pots\n\nclay clay glaze")
+    (root / "areas/bread.md").write_text("# Bread\n\noven oven oven. See [[pots]].")
+    v = api.Vault(spark, str(root), embed=embed, dimension=4)
+    v.build_index(place)
+    hits = v.search("clay", 2, index=place).collect()
+    assert hits[0].path == "areas/pots.md" and (hits[0].inbound, hits[0].outbound) == (1, 0) and hits[0].score > 0.8
+    assert v.search("clay", 10, index=place, min_score=0.8).count() == 1
+    (root / "areas/pots.md").write_text("changed")
+    assert "areas/pots.md" not in {r.path for r in api.Vault(spark, str(root), embed=embed, dimension=4).search("clay", 10, index=place).collect()}
+    assert {r.path for r in v.search("oven", 5, mode="keyword").collect()} == {"areas/bread.md"}
+    for bad in ({"mode": "x"}, {"mode": "semantic"}):
+        with pytest.raises(ValueError):
+            v.search("clay", **bad)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import platform
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ class Vault:
     index: str = "index.md"
     suggest: Column | None = None
     on_error: str = "raise"
+    embed: Callable[[Sequence[str]], np.ndarray] | None = None
+    dimension: int = 0
 
     @property
     def catalog_id(self) -> str:
@@ -58,32 +60,45 @@ class Vault:
         found = self.lookup(name)
         return traverse.neighborhood(self.notes, self.graph.edges, found.path, direction, depth, limit) if found.kind == "found" else None
 
-    def search(self, text: str, limit: int = 10) -> DataFrame:
-        """Keyword hits with their notes' titles and a snippet."""
-        bodies = self.notes.filter(F.col("id") != self.catalog_id)
-        hits = search.bm25(bodies, "path", "searchable_text", text, limit).withColumnRenamed("doc_id", "path")
-        found = hits.join(bodies.select("path", "title", "content"), "path")
-        at = search.snippet_offset(F.col("content"), text)
-        return found.select("path", "title", "score", search.hit_line(F.col("content"), at).alias("line"), search.snippet(F.col("content"), at).alias("snippet")).orderBy(F.desc("score"), "path")
+    def search(self, text: str, limit: int = 10, mode: str | None = None, min_score: float = 0.0, index: str | None = None) -> DataFrame:
+        """Hits with their notes' titles, degrees and a snippet, best first.
+
+        ``semantic`` (the default where an embedder is given) compares vectors of the index at
+        ``index``; hits whose note has changed since, or is gone, are left out. ``keyword`` reads the
+        notes as they are. ``min_score`` applies to the hits found.
+        """
+        mode = mode or ("semantic" if self.embed else "keyword")
+        bodies = self.notes.filter(F.col("id") != self.catalog_id).select("id", "path", "title", "content", "searchable_text")
+        if mode == "semantic":
+            if self.embed is None or index is None:
+                raise ValueError("semantic search needs an embedder and an index")
+            vector = [float(x) for x in np.asarray(self.embed([text])).reshape(-1)]
+            hits = search.semantic(search.current(self.spark.read.parquet(index)), vector, limit)
+        elif mode == "keyword":
+            hits = search.bm25(bodies, "path", "searchable_text", text, limit).withColumnRenamed("doc_id", "path")
+            hits = hits.join(bodies.select("path", F.sha2("content", 256).alias("sha256")), "path").withColumn("start_pos", F.lit(None).cast("int"))
+        else:
+            raise ValueError(f"no mode {mode!r}")
+        found = search.live_hits(hits, bodies, min_score).join(self.graph.degrees.select("id", "inbound", "outbound"), "id", "left")
+        at = search.snippet_offset(F.col("content"), text, F.col("start_pos"))
+        shown = found.select("path", "title", "score", "inbound", "outbound", search.hit_line(F.col("content"), at).alias("line"), search.snippet(F.col("content"), at).alias("snippet"))
+        return shown.orderBy(F.desc("score"), "path")
 
     def build_index(self, path: str, force: bool = False) -> DataFrame:
         """Brings the chunk index at ``path`` up to date; counts of what was new, changed, removed.
 
         Changed notes are appended as a new part and listed in it; readers take a note's
-        newest part. ``force`` writes everything anew.
+        newest part. ``force`` writes everything anew. With an embedder chunks have their vectors.
         """
         bodies = self.notes.filter(F.col("id") != self.catalog_id).select("path", "content")
         now = bodies.select("path", F.sha2("content", 256).alias("sha256"))
-        try:
-            old = None if force else search.current(self.spark.read.parquet(path))
-        except AnalysisException:
-            old = None
-        listed = self.spark.createDataFrame([], "path string, sha256 string") if old is None else old.select("path", "sha256").distinct()
+        part = 0 if force else search.next_part(self.spark, path)
+        listed = search.current(self.spark.read.parquet(path)).select("path", "sha256").distinct() if part else self.spark.createDataFrame([], "path string, sha256 string")
         diff = session.written(search.index_diff(listed, now), "index-diff")
-        part = 0 if old is None else self.spark.read.parquet(path).agg(F.max("part")).first()[0] + 1
         fresh = search.chunks(bodies.join(diff.filter("state IN ('new', 'updated')"), "path", "left_semi"))
+        fresh = fresh if self.embed is None else search.embedded(fresh, self.embed, self.dimension)
         gone = diff.filter("state = 'removed'").select("path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fresh.schema.fields[1:]])
-        fresh.unionByName(gone).withColumn("part", F.lit(part)).write.mode("append" if old is not None else "overwrite").parquet(path)
+        search.write_part(fresh.unionByName(gone), path, part, anew=force or not part)
         return search.update_counts(diff)
 
     def expected_index(self) -> tuple[vault.Revision, str]:

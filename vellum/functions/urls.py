@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 #: Query keys that track or authenticate (fixed values).
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "mibextid")
-CREDENTIAL_KEY = (
-    r"(?i)(?:^|[-_])(?:access[-_]?token|refresh[-_]?token|auth(?:orization)?|api[-_]?key|credential|csrf|xsrf|jwt|pass(?:word|wd)?|secret"
-    r"|session[-_]?id|signature|sig|code|ticket|otp|nonce|key|magic[-_]?link|one[-_]?time)(?:$|[-_])"
-)
+#: Words of query keys that authenticate (fixed values); their parts may be joined by a dash, an underscore or nothing.
+CREDENTIAL_WORDS = (
+    "access token", "refresh token", "auth", "authorization", "api key", "credential", "csrf", "xsrf", "jwt", "pass", "password", "passwd", "secret", "session id", "signature",
+    "sig", "code", "ticket", "otp", "nonce", "key", "magic link", "one time",
+)
+CREDENTIAL_KEY = "(?i)(?:^|[-_])(?:" + "|".join(w.replace(" ", "[-_]?") for w in CREDENTIAL_WORDS) + ")(?:$|[-_])"
 PLATFORMS = (
     "x", "hacker-news", "reddit", "bluesky", "substack", "instagram", "linkedin", "facebook", "tiktok", "threads", "whatsapp", "youtube",
     "github", "discourse", "generic",
@@ -113,8 +115,9 @@ def classified(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """The address without fragment and without parameters that track or authenticate."""
+    """The address without fragment and without parameters that track or authenticate; hosts of X are one."""
     bare = without_fragment(url)
+    bare = F.when(within(host(url), "twitter.com", "x.com"), F.regexp_replace(bare, r"(?i)^(https?://)(?:[a-z0-9-]+\.)*(?:twitter|x)\.com(?=[/?:]|$)", "$1x.com")).otherwise(bare)
     head, query = F.substring_index(bare, "?", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
     on_x = within(host(url), "x.com", "twitter.com")
 

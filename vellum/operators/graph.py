@@ -8,6 +8,7 @@ Nothing is collected per note: backlinks and candidates are rows.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 from urllib.parse import quote
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions import markdown, paths
+from vellum.session import written
 
 #: Characters of phrases that one automaton holds; more phrases are matched in more passes.
 PHRASE_BLOCK_CHARS = 20_000_000
@@ -161,12 +163,27 @@ def mentions(notes: DataFrame, edge_rows: DataFrame, suggest: Column | None = No
     return best.select("m.*", *pair).join(linked, ["a", "b"], "left_anti").select("source", "line", "target", "phrase")
 
 
-def _mention_scanner(shared, ahocorasick):
-    def run(batches):
+#: The automata that a worker has built, by a name for their phrases; those of earlier queries leave.
+_MACHINES: dict[str, object] = {}
+
+
+def _machine(name: str, shared, ahocorasick):
+    if name not in _MACHINES:
+        while len(_MACHINES) > 3:
+            _MACHINES.pop(next(iter(_MACHINES)))
         machine = ahocorasick.Automaton()
         for lower, phrase, target_id, target in shared.value:
             machine.add_word(lower, (lower, phrase, target_id, target))
         machine.make_automaton()
+        _MACHINES[name] = machine
+    return _MACHINES[name]
+
+
+def _mention_scanner(shared, ahocorasick):
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        machine = _machine(name, shared, ahocorasick)
         kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             found = []
@@ -292,7 +309,13 @@ class Analysis:
 
     @property
     def issues(self) -> DataFrame:
-        return issues(self.resolved)
+        """Broken and ambiguous links in the order of source, line and target."""
+        return issues(self.resolved).orderBy(icu("source"), "line", icu("target"))
+
+    @property
+    def connections(self) -> DataFrame:
+        """Content notes with their degrees, in the order of their paths."""
+        return self.degrees.orderBy(icu("path"))
 
     @property
     def orphans(self) -> DataFrame:
@@ -300,17 +323,19 @@ class Analysis:
 
     @property
     def mentions(self) -> DataFrame:
-        return mentions(self.notes, self.edges, self.suggest, self.catalog_id)
+        return mentions(self.notes, self.edges, self.suggest, self.catalog_id).orderBy(icu("source"), "line", icu("target"))
 
     def summary(self) -> DataFrame:
-        """One row of counts."""
+        """A row a count; the links are resolved once."""
         count = F.count(F.lit(1))
+        resolved = written(self.resolved.select("kind", "source_id", "source_path", "source_ordinal", "ordinal", "line", "target", "target_id", "n_candidates"), "graph-links")
+        pairs, open_links = edges(resolved, self.catalog_id), issues(resolved)
         parts = {
             "notes": self.notes.filter(F.col("id") != self.catalog_id).agg(count.alias("n")),
-            "edges": self.edges.agg(count.alias("n")),
-            "broken": self.issues.filter("kind = 'broken'").agg(count.alias("n")),
-            "ambiguous": self.issues.filter("kind = 'ambiguous'").agg(count.alias("n")),
-            "orphans": self.orphans.agg(count.alias("n")),
+            "edges": pairs.agg(count.alias("n")),
+            "broken": open_links.agg(F.count_if(F.col("kind") == "broken").alias("n")),
+            "ambiguous": open_links.agg(F.count_if(F.col("kind") == "ambiguous").alias("n")),
+            "orphans": orphans(self.notes, pairs, self.suggest, self.catalog_id).agg(count.alias("n")),
         }
         rows = None
         for name, part in parts.items():

@@ -7,8 +7,12 @@ page or document is held in one task's memory.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vellum.session import written
 
 #: A list item's mark (fixed value).
 BULLET = r"^(?:[•●◦▪▫‣⁃*-]|\d{1,4}[.)]|[a-zA-Z][.)])\s+(.+)$"
@@ -20,21 +24,43 @@ def half_points(size: Column) -> Column:
     return F.floor(size * 2 + 0.5) / 2
 
 
+def with_rows(fragments: DataFrame) -> DataFrame:
+    """Fragments with ``row_no``: by rising top a row goes on while it is no further from its least top than the tolerance.
+
+    Pages come as sorted streams; of each only the current row's top is held.
+    """
+    schema = T.StructType([*fragments.schema.fields, T.StructField("row_no", T.IntegerType())])
+
+    def run(batches):
+        page, least, row = None, 0.0, 0
+        for batch in batches:
+            numbers = []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pdf_id", "page_no", "top_pt", "height_pt"))
+            for pdf, no, top, height in zip(*columns, strict=True):
+                if page != (pdf, no):
+                    page, row, least = (pdf, no), 1, top
+                elif top is not None and (least is None or abs(top - least) > max(2.0, (height or 0.0) * 0.18)):
+                    row, least = row + 1, top
+                numbers.append(row)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, "row_no"])
+
+    ordered = fragments.repartition("pdf_id", "page_no").sortWithinPartitions("pdf_id", "page_no", "top_pt", "left_pt", "fragment_id")
+    return ordered.mapInArrow(run, schema)
+
+
 def visual_lines(fragments: DataFrame, page_width: float = 595.0) -> DataFrame:
     """Fragments joined to lines: rows by their top, columns by wide gaps.
 
-    A row begins where a fragment's top is further from the row's first than the tolerance;
-    as fragments come by rising top, the first of a row is its least. A gap wider than a
-    fifth of the page or eight font sizes begins another line of the same row.
+    A row begins where a fragment's top is further from the row's least top than the
+    tolerance. A gap wider than a fifth of the page or eight font sizes begins another line
+    of the same row. ``page_width`` counts where fragments have no column of that name.
     """
-    page = Window.partitionBy("pdf_id", "page_no").orderBy("top_pt", "left_pt", "fragment_id")
-    tolerance = F.greatest(F.lit(2.0), F.col("height_pt") * 0.18)
-    step = F.col("top_pt") - F.lag("top_pt").over(page)
-    rows = fragments.filter("text IS NOT NULL").withColumn("row_no", F.sum(F.coalesce((step > tolerance).cast("int"), F.lit(1))).over(page))
+    rows = with_rows(fragments.filter("text IS NOT NULL"))
+    width = F.coalesce(F.col("page_width"), F.lit(page_width)) if "page_width" in fragments.columns else F.lit(page_width)
     across = Window.partitionBy("pdf_id", "page_no", "row_no").orderBy("left_pt", "fragment_id")
     reached = F.max(F.col("left_pt") + F.col("width_pt")).over(across.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("gap", F.col("left_pt") - reached)
-    wide = F.col("gap") > F.greatest(F.lit(page_width * 0.2), F.col("font_size") * 8)
+    wide = F.col("gap") > F.greatest(width * 0.2, F.col("font_size") * 8)
     rows = rows.withColumn("part_no", F.sum(F.coalesce(wide.cast("int"), F.lit(0))).over(across))
     spaced = (F.col("gap") > F.greatest(F.lit(1.0), F.col("font_size") * 0.08)) & ~F.col("text").rlike(r"^[\s,.;:!?)}\]]")
     piece = F.concat(F.when(F.coalesce(spaced, F.lit(False)), " ").otherwise(""), F.col("text"))
@@ -84,6 +110,7 @@ def upper_median(column: str) -> Column:
 
 def layout_blocks(lines: DataFrame, page_height: float = 842.0) -> DataFrame:
     """``(pdf_id, page_no, block_no, kind, level, text)`` of lines of :func:`visual_lines`."""
+    lines = written(lines, "pdf-lines")  # read five times
     bodies = body_sizes(lines)
     levels = heading_levels(lines, bodies)
     margins = repeated_margins(lines, page_height).withColumnRenamed("margin", "margin_key")

@@ -63,16 +63,26 @@ def articles(acquisitions: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("body", "content_type", "browser_title")]
             found = [_article(*r) for r in zip(*columns, strict=True)]
             made = [pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [batch.schema.names[0], *names])
+            kept = len(batch.columns) - 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *made], [*batch.schema.names[:kept], *names])
 
-    rows = acquisitions.select("page_id", "body", "content_type", "browser_title")
-    found = rows.mapInArrow(run, f"page_id bigint, {ARTICLE}")
-    return acquisitions.select("page_id", "final_url", "content_type", "acquisition_method", "content_truncated", "warnings", "fetched_at").join(found, "page_id")
+    # the article's columns come beside the page's own: no join, so rows keep apart whatever their ids
+    own = ["page_id", "final_url", "content_type", "acquisition_method", "content_truncated", "warnings", "fetched_at"]
+    rows = acquisitions.select(*own, "body", "browser_title")
+    schema = T.StructType([*acquisitions.select(*own).schema.fields, *T.StructType.fromDDL(ARTICLE).fields])
+    return rows.mapInArrow(run, schema)
 
 
 def extractions(acquisitions: DataFrame) -> DataFrame:
-    """Each acquisition's article with platform, scope, status, words and score."""
-    rows = articles(acquisitions.dropDuplicates(["page_id"]))
+    """Each acquisition's article with platform, scope, status, words and score.
+
+    Of records with one ``page_id`` the one fetched first counts; records without id stay apart.
+    """
+    numbered = acquisitions.withColumn("own", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    columns = F.struct(*[c for c in acquisitions.columns if c != "page_id"])
+    place = F.struct(F.col("fetched_at").isNull(), "fetched_at", F.coalesce(F.length("body"), F.lit(-1)), F.xxhash64("body", "final_url"))
+    first = numbered.groupBy("page_id", "own").agg(F.min_by(columns, place).alias("a")).select("page_id", "a.*")
+    rows = articles(first)
     kind = urls.classified(F.col("final_url"))
     rows = rows.withColumns({"platform": F.coalesce(kind["platform"], F.lit("generic")), "content_id": kind["content_id"], "canonical_url": urls.canonical(F.col("final_url"))})
     rows = rows.withColumn("capture_scope", urls.scope(F.col("platform")))

@@ -7,9 +7,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.session import written
+
 K1, B = 1.2, 0.75
 MAX_HITS = 100
 #: Query vectors that a worker holds at a time.
@@ -54,6 +57,46 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 10) -
     return rows.select("doc_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def write_postings(docs: DataFrame, id_col: str, text_col: str, path: str, buckets: int = 64) -> None:
+    """The inverted index at ``path``, in folders by a hash of the term, with the corpus' figures beside it."""
+    rows = written(postings(docs, id_col, text_col), "postings")
+    rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    figures = rows.select("doc_id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).withColumn("buckets", F.lit(buckets))
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str, k: int = 10) -> DataFrame:
+    """As :func:`bm25` over an index of :func:`write_postings`: only the folders of the query's terms are read."""
+    wanted = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    if not wanted or not 1 <= k <= MAX_HITS:
+        raise ValueError("a query needs a term and 1 to 100 hits")
+    figures = spark.read.parquet(f"{path}/figures").first()
+    asked = spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(figures["buckets"])).cast("int")).distinct().collect()
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([r[0] for r in asked]) & F.col("term").isin(wanted))
+    found = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row a word asked for
+    idf = F.create_map(*[F.lit(x) for w in wanted for x in (w, float(np.log(1 + (figures["n"] - found.get(w, 0) + 0.5) / (found.get(w, 0) + 0.5))))])
+    part = idf[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(figures["mean"])))
+    return rows.groupBy("doc_id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def semantic(index: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
+    """``(path, sha256, start_pos, score)`` of the ``k`` notes whose best chunk is nearest to the query's vector.
+
+    ``index`` has chunks with an ``embedding``; the score is the cosine, 0 at least. One pass, and
+    one aggregate by path with map-side combine.
+    """
+    if not 1 <= k <= MAX_HITS:
+        raise ValueError("1 to 100 hits")
+    length = float(np.linalg.norm(query)) or 1.0
+    asked = F.array(*[F.lit(float(x) / length) for x in query])
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    size = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x))
+    product = F.aggregate(F.zip_with(own, asked, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = index.select("path", "sha256", "chunk_no", "start_pos", F.greatest(F.when(size > 0, product / size).otherwise(0.0), F.lit(0.0)).alias("score"))
+    best = rows.groupBy("path").agg(F.max_by(F.struct("sha256", "start_pos", "score"), F.struct("score", (-F.col("chunk_no")).alias("first"))).alias("b"))
+    return best.select("path", "b.*").orderBy(F.desc("score"), "path").limit(k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:
     """``(query_id, id, score, rank)``: exact cosine neighbours of every query vector among all others.
 
@@ -130,6 +173,21 @@ def current(index: DataFrame) -> DataFrame:
     return index.join(newest, ["path", "part"]).filter("sha256 IS NOT NULL")
 
 
+def next_part(spark: SparkSession, path: str) -> int:
+    """The number of the index's next part; 0 where there is no index."""
+    try:
+        last = spark.read.parquet(path).agg(F.max("part")).first()[0]
+    except AnalysisException:
+        return 0
+    return 0 if last is None else int(last) + 1
+
+
+def write_part(rows: DataFrame, path: str, part: int, anew: bool = False) -> None:
+    """Chunks as one part of an index, a folder of its own; writing a part again replaces it, ``anew`` replaces all."""
+    how = "static" if anew else "dynamic"
+    rows.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("part").parquet(path)
+
+
 def update_counts(diff: DataFrame) -> DataFrame:
     def count(*states: str) -> Column:
         return F.count_if(F.col("state").isin(*states))

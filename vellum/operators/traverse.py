@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import paths
 from vellum.operators.graph import icu
+from vellum.session import written
 
 MAX_DEPTH, MAX_NODES = 10, 1000
 
@@ -53,8 +54,8 @@ def lookup_note(notes: DataFrame, query: str, limit: int = MAX_NODES) -> Lookup:
 
 @dataclass(frozen=True)
 class Neighborhood:
-    nodes: DataFrame  # path, distance
-    edges: DataFrame  # source, target, line
+    nodes: DataFrame  # path, distance, position: nearest first, in the order of admission
+    edges: DataFrame  # source, target, line, in that order
     truncated: bool
 
 
@@ -77,7 +78,8 @@ def neighborhood(notes: DataFrame, edges: DataFrame, start: str, direction: str
         steps.append(edges.select(F.col("source").alias("path"), F.col("target").alias("neighbor"), "source", "target", "line"))
     if direction in ("in", "both"):
         steps.append(edges.select(F.col("target").alias("path"), F.col("source").alias("neighbor"), "source", "target", "line"))
-    moves = (steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])).join(known, "neighbor", "left_semi")
+    # written once: the levels read it, the links are not resolved again for each
+    moves = written((steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])).join(known, "neighbor", "left_semi"), "graph-moves")
 
     distance, visited, frontier, truncated = {start: 0}, [], [start], False
     for level in range(1, depth + 1):
@@ -93,8 +95,8 @@ def neighborhood(notes: DataFrame, edges: DataFrame, start: str, direction: str
         truncated |= len(new) > room
         frontier = new[:room]
         distance |= dict.fromkeys(frontier, level)
-    nodes = spark.createDataFrame(list(distance.items()), "path string, distance int")
+    nodes = spark.createDataFrame([(p, d, i) for i, (p, d) in enumerate(distance.items())], "path string, distance int, position int")  # limit rows at most
     expanded = spark.createDataFrame([(p,) for p in visited], "path string")
     inside = F.broadcast(nodes.select(F.col("path").alias("neighbor")))
     used = moves.join(F.broadcast(expanded), "path", "left_semi").join(inside, "neighbor", "left_semi")
-    return Neighborhood(nodes, used.select("source", "target", "line").distinct(), truncated)
+    return Neighborhood(nodes, used.select("source", "target", "line").distinct().orderBy(icu("source"), icu("target"), "line"), truncated)

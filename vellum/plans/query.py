@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -149,15 +150,21 @@ def condition(f: Equals | Exists, value: Column) -> Column:
 def has_tags(tags: Sequence[str], column: str = "tags") -> Column:
     """Every requested tag is there; a blank tag never is."""
     wanted = [normal_tag(t) for t in tags]
-    own = F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda t: normalized_tag(t))
+    own = normalized_tags(F.coalesce(F.col(column), F.array().cast("array<string>")))
     if "" in wanted:
         return F.lit(False)
     return reduce(and_, [F.array_contains(own, t) for t in wanted], F.lit(True))
 
 
-def normalized_tag(tag: Column) -> Column:
-    """Tag comparison form of composed tags, in the JVM."""
-    return F.lower(F.regexp_replace(F.trim(tag), "^#+", ""))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _composed(tags: pd.Series) -> pd.Series:
+    return tags.map(lambda own: None if own is None else [None if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in own])
+
+
+def normalized_tags(tags: Column) -> Column:
+    """The comparison form of tags: composed, in lower case, without blanks and signs at the ends; ASCII stays in the JVM."""
+    whole = F.zip_with(tags, _composed(tags), lambda own, composed: F.coalesce(composed, own))
+    return F.transform(whole, lambda t: F.lower(F.regexp_replace(F.trim(t), "^#+", "")))
 
 
 @F.pandas_udf(T.StringType())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum import session
 from vellum.functions import redaction, urls
 from vellum.operators import assets, captures, graph, pdf, pipeline, references, search, threads, traverse
 from vellum.operators import notes as note_ops
@@ -62,7 +64,7 @@ def note_links(spark, folder):
 
 
 def tag_counts(spark, folder):
-    tags = F.explode(F.array_distinct(F.transform("tags", plans.normalized_tag))).alias("tag")
+    tags = F.explode(F.array_distinct(plans.normalized_tags(F.col("tags")))).alias("tag")
     return live_notes(spark, folder).select(tags).filter("tag != ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n_notes"))
 
 
@@ -122,6 +124,19 @@ def graph_issues(spark, folder):
     return vault_graph(spark, folder).issues
 
 
+def issues_first(spark, folder):
+    """The first hundred open links in the order of source, line and target."""
+    keys = [graph.icu("source"), F.col("line"), graph.icu("target")]
+    rows = vault_graph(spark, folder).issues.orderBy(*keys).limit(100)
+    return ranked(rows.select("source", "line", "target"), *keys, "source", "target").select("source", "line", "target", "position")
+
+
+def connections_first(spark, folder):
+    """The first hundred content notes in the order of their paths, with their degrees."""
+    rows = vault_graph(spark, folder).connections.limit(100)
+    return ranked(rows.select("path", "inbound", "outbound"), graph.icu("path")).select("path", "inbound", "outbound", "position")
+
+
 def issue_candidates(spark, folder):
     g = vault_graph(spark, folder)
     return graph.candidates(g.issues, g.notes)
@@ -151,7 +166,7 @@ def _around(spark, folder, direction, depth):
     """From the first note that links anywhere."""
     g = vault_graph(spark, folder)
     start = g.edges.agg(F.min("source")).first()[0] or ""
-    return traverse.neighborhood(g.notes, g.edges, start, direction, depth, traverse.MAX_NODES).nodes
+    return traverse.neighborhood(g.notes, g.edges, start, direction, depth, traverse.MAX_NODES).nodes.select("path", "distance")
 
 
 def neighborhood_out_d2(spark, folder):
@@ -170,6 +185,46 @@ def bm25_topk(spark, folder):
     return rows.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def bm25_indexed(spark, folder):
+    """The same query over a written index, of which only the terms' folders are read."""
+    place = f"{session.ensure_checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    search.write_postings(table(spark, folder, "documents"), "doc_id", "text", place)
+    return search.bm25_indexed(spark, place, BM25_QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+#: Words whose counts are the vector of a text, for an embedder without a model.
+VECTOR_WORDS = ("harbor", "kiln", "catalog", "glossary", "survey", "index", "archive", "river")
+
+
+def counted_words(texts):
+    """A stand-in for an embedding model: how often each of a few words stands in a text."""
+    return [[float(t.lower().count(w)) for w in VECTOR_WORDS] for t in texts]
+
+
+def _vectors(spark, folder):
+    """Notes by title and summary, a chunk a note, with vectors."""
+    notes = live_notes(spark, folder).withColumn("content", F.concat_ws(" ", "title", "summary"))
+    return search.embedded(search.chunks(notes.filter("content != ''")), counted_words, len(VECTOR_WORDS)), notes
+
+
+def _semantic_hits(index):
+    return search.semantic(index, counted_words(["harbor catalog glossary"])[0], 20)
+
+
+def search_semantic(spark, folder):
+    """The notes nearest in meaning to a query."""
+    return _semantic_hits(_vectors(spark, folder)[0]).select("path", F.round("score", 6).alias("score"))
+
+
+def search_live(spark, folder):
+    """Of those hits the ones of half the score at least whose note is still the same, with its degrees."""
+    g = vault_graph(spark, folder)
+    index, notes = _vectors(spark, folder)
+    changed = notes.withColumn("content", F.when(F.length("path") % 2 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    found = search.live_hits(_semantic_hits(index), changed, 0.5).join(g.degrees.select("id", "inbound", "outbound"), "id", "left")
+    return found.select("path", F.round("score", 6).alias("score"), "inbound", "outbound")
+
+
 def posting_counts(spark, folder):
     rows = search.postings(table(spark, folder, "documents"), "doc_id", "text")
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -204,9 +259,20 @@ def search_hits(spark, folder):
 # --- pages ------------------------------------------------------------------
 
 
+#: Addresses of every platform, and of hosts that only look like one.
+ADDRESSES = (
+    "https://x.com/al/status/123?s=46", "https://mobile.twitter.com/al/status/124#a", "https://twitter.com/al?utm_source=b&k=1", "https://news.ycombinator.com/item?id=42", "https://old.reddit.com/r/t/comments/abc1/post/def2/", "https://redd.it/abc1",
+    "https://bsky.app/profile/al.test/post/3k", "https://al.substack.com/p/post", "https://www.instagram.com/reel/AB_1/", "https://www.linkedin.com/posts/al_activity-123", "https://www.facebook.com/story.php?story_fbid=12&id=4",
+    "https://www.tiktok.com/@al/video/12", "https://www.threads.com/@al/post/AB1", "https://web.whatsapp.com/", "https://www.youtube.com/watch?v=ab1", "https://youtu.be/ab2?t=10", "https://github.com/al/info/issues/42#issuecomment-1",
+    "https://github.com/al/info/pull/43/files", "https://meta.discourse.org/t/topic/12345/2", "https://discuss.example.com/t/12345", "https://example.com/t/product/12345", "https://x.com.evil.test/al/status/1", "https://e.test/?api_key=a&q=1&fbclid=2", "ftp://e.test/", "no address",
+)
+
+
 def url_classify(spark, folder):
-    rows = table(spark, folder, "capture_outcomes")
-    return rows.select("capture_id", urls.classified(F.col("source_url"))["platform"].alias("platform"), urls.canonical(F.col("source_url")).alias("canonical"))
+    literal = spark.createDataFrame([(-i, a) for i, a in enumerate(ADDRESSES, 1)], "capture_id long, source_url string")
+    rows = table(spark, folder, "capture_outcomes").select("capture_id", "source_url").unionByName(literal)
+    kind = urls.classified(F.col("source_url"))
+    return rows.select("capture_id", kind["platform"].alias("platform"), kind["content_id"].alias("content_id"), urls.canonical(F.col("source_url")).alias("canonical"))
 
 
 def capture_slugs(spark, folder):
@@ -428,7 +494,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
-        degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, bm25_topk,
+        degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, issues_first, connections_first, bm25_topk, bm25_indexed, search_semantic, search_live,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
         capture_quality, page_best_candidate, capture_manifests, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
@@ -473,7 +539,7 @@ WITH notes_at AS (
 
 _LIVE = r"""
 live AS (
-  SELECT note_row_id, path, note_id AS id, regexp_extract(note_id, '[^/]*$') AS base, title, tags, metadata, content
+  SELECT note_row_id, path, note_id AS id, regexp_extract(note_id, '[^/]*$') AS base, title, tags, metadata, content, summary
   FROM notes WHERE removed_at IS NULL AND path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY note_row_id) = 1
 )"""
 
@@ -562,12 +628,24 @@ _ENTRIES = "first_entries AS (SELECT * FROM captured_entries QUALIFY row_number(
 _FRAGMENTS = "f AS (SELECT * FROM pdf_fragments WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_id, page_no, ordinal ORDER BY fragment_id) = 1)"
 _BODY = _FRAGMENTS + ", weights AS (SELECT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size, sum(length(trim(regexp_replace(text, '[ \\t]+', ' ', 'g')))) AS chars FROM f GROUP BY ALL), bodies AS (SELECT pdf_id, size AS body_size FROM weights QUALIFY row_number() OVER (PARTITION BY pdf_id ORDER BY chars DESC, size) = 1)"
 
+_COUNTS = "[" + ", ".join(f"((length(t) - length(replace(t, '{w}', ''))) / {len(w)})::DOUBLE" for w in VECTOR_WORDS) + "]"
+_SEMANTIC = f""", said AS (SELECT path, lower(concat_ws(' ', title, summary)) AS t FROM live), v AS (SELECT path, {_COUNTS} AS e FROM said WHERE t <> ''),
+hits AS (SELECT path, CASE WHEN list_sum(e) > 0 THEN list_cosine_similarity(e, [{", ".join(str(float(w in ("harbor", "catalog", "glossary"))) for w in VECTOR_WORDS)}]::DOUBLE[]) ELSE 0.0 END AS score FROM v ORDER BY round(score, 9) DESC, path LIMIT 20)
+"""
+_BM25 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
+q AS (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term), tf AS (SELECT doc_id, dl, term, len([t for t in terms if t = term])::DOUBLE AS tf FROM n, q),
+s AS (SELECT count(*)::DOUBLE AS total, avg(dl) AS mean FROM n), df AS (SELECT term, count(*) FILTER (tf > 0)::DOUBLE AS df FROM tf GROUP BY term),
+score AS (SELECT doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * ({1 - search.B} + {search.B} * dl / mean))) AS score
+  FROM tf JOIN df USING (term), s GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+
 SQL = {
-    "tag_counts": "WITH " + _LIVE + r", t AS (SELECT DISTINCT path, lower(regexp_replace(trim(unnest(tags)), '^#+', '')) AS tag FROM live) SELECT tag, count(*) AS n_notes FROM t WHERE tag <> '' GROUP BY 1",
+    "tag_counts": "WITH " + _LIVE + r", t AS (SELECT DISTINCT path, lower(regexp_replace(trim(nfc_normalize(unnest(tags))), '^#+', '')) AS tag FROM live) SELECT tag, count(*) AS n_notes FROM t WHERE tag <> '' GROUP BY 1",
     "list_equals": "WITH " + _LIVE + "SELECT path FROM live WHERE lower(json_extract_string(metadata, '$.status')) = 'draft'",
     "list_number": "WITH " + _LIVE + "SELECT path FROM live WHERE json_type(metadata, '$.priority') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_extract_string(metadata, '$.priority')::DOUBLE = 3",
     "list_exists": "WITH " + _LIVE + "SELECT path FROM live WHERE json_exists(metadata, '$.priority')",
-    "list_tags_all": "WITH " + _LIVE + r", t AS (SELECT path, [lower(regexp_replace(trim(x), '^#+', '')) for x in tags] AS own FROM live) SELECT path FROM t WHERE list_contains(own, 'inbox') AND list_contains(own, 'method')",
+    "list_tags_all": "WITH " + _LIVE + r", t AS (SELECT path, [lower(regexp_replace(trim(nfc_normalize(x)), '^#+', '')) for x in tags] AS own FROM live) SELECT path FROM t WHERE list_contains(own, 'inbox') AND list_contains(own, 'method')",
     "list_sort_mixed": "WITH " + _LIVE + r""", v AS (
   SELECT path, note_row_id, json_type(metadata, '$.priority') AS t, json_extract_string(metadata, '$.priority') AS p FROM live
 ), r AS (
@@ -588,13 +666,10 @@ UNION ALL SELECT k, (SELECT count(*) FROM issues WHERE kind = k) FROM (VALUES ('
     "catalog_sections": "WITH " + _LIVE + "SELECT CASE WHEN id LIKE '%/%' THEN split_part(id, '/', 1) ELSE 'Notes' END AS section, count(*) AS n_notes FROM live WHERE id <> 'index' GROUP BY 1",
     "neighborhood_out_d2": _reach(2),
     "neighborhood_out_d3": _reach(3),
-    "bm25_topk": f"""
-WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
-q AS (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term), tf AS (SELECT doc_id, dl, term, len([t for t in terms if t = term])::DOUBLE AS tf FROM n, q),
-s AS (SELECT count(*)::DOUBLE AS total, avg(dl) AS mean FROM n), df AS (SELECT term, count(*) FILTER (tf > 0)::DOUBLE AS df FROM tf GROUP BY term),
-score AS (SELECT doc_id, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1} / (tf + {search.K1} * ({1 - search.B} + {search.B} * dl / mean))) AS score
-  FROM tf JOIN df USING (term), s GROUP BY doc_id)
-SELECT doc_id, round(score, 6) AS score FROM score WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "bm25_topk": _BM25,
+    "bm25_indexed": _BM25,
+    "search_semantic": "WITH " + _LIVE + _SEMANTIC + "SELECT path, round(score, 6) AS score FROM hits",
+    "search_live": _GRAPH + _SEMANTIC + "SELECT path, round(score, 6) AS score, inbound, outbound FROM hits JOIN degrees USING (path) WHERE score >= 0.5 AND length(path) % 2 = 1",
     "posting_counts": f"WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY 1",
     "vector_topk": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
@@ -606,7 +681,17 @@ n AS (SELECT path, sha256(coalesce(arg_min(coalesce(content, ''), note_row_id),
 SELECT CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS state, count(*) AS n_notes
 FROM o FULL JOIN n ON o.path = n.path GROUP BY 1""",
     "url_classify": r"""
-SELECT capture_id, CASE WHEN source_url IS NULL THEN NULL ELSE 'generic' END AS platform, regexp_replace(regexp_replace(regexp_replace(source_url, '#.*$', ''), '([?&])utm_[^&]*', '\1', 'g'), '[?&]+$', '') AS canonical FROM capture_outcomes""",
+SELECT capture_id, CASE WHEN source_url IS NULL THEN NULL ELSE 'generic' END AS platform, NULL AS content_id, regexp_replace(regexp_replace(regexp_replace(source_url, '#.*$', ''), '([?&])utm_[^&]*', '\1', 'g'), '[?&]+$', '') AS canonical FROM capture_outcomes
+UNION ALL SELECT * FROM (VALUES
+  (-1, 'x', '123', 'https://x.com/al/status/123'), (-2, 'x', '124', 'https://x.com/al/status/124'), (-3, 'generic', NULL, 'https://x.com/al?k=1'), (-4, 'hacker-news', '42', 'https://news.ycombinator.com/item?id=42'),
+  (-5, 'reddit', 'def2', 'https://old.reddit.com/r/t/comments/abc1/post/def2/'), (-6, 'reddit', 'abc1', 'https://redd.it/abc1'), (-7, 'bluesky', '3k', 'https://bsky.app/profile/al.test/post/3k'), (-8, 'substack', NULL, 'https://al.substack.com/p/post'),
+  (-9, 'instagram', 'AB_1', 'https://www.instagram.com/reel/AB_1/'), (-10, 'linkedin', 'al_activity-123', 'https://www.linkedin.com/posts/al_activity-123'), (-11, 'facebook', '12', 'https://www.facebook.com/story.php?story_fbid=12&id=4'),
+  (-12, 'tiktok', '12', 'https://www.tiktok.com/@al/video/12'), (-13, 'threads', 'AB1', 'https://www.threads.com/@al/post/AB1'), (-14, 'whatsapp', NULL, 'https://web.whatsapp.com/'), (-15, 'youtube', 'ab1', 'https://www.youtube.com/watch?v=ab1'),
+  (-16, 'youtube', 'ab2', 'https://youtu.be/ab2?t=10'), (-17, 'github', '42', 'https://github.com/al/info/issues/42'), (-18, 'github', '43', 'https://github.com/al/info/pull/43/files'), (-19, 'discourse', '12345', 'https://meta.discourse.org/t/topic/12345/2'),
+  (-20, 'discourse', '12345', 'https://discuss.example.com/t/12345'), (-21, 'generic', NULL, 'https://example.com/t/product/12345'), (-22, 'generic', NULL, 'https://x.com.evil.test/al/status/1'), (-23, 'generic', NULL, 'https://e.test/?q=1'),
+  (-24, NULL, NULL, 'ftp://e.test/'), (-25, NULL, NULL, 'no address')) v""",
+    "issues_first": _GRAPH + """SELECT source, line, "target", row_number() OVER (ORDER BY lower(source), line, lower("target"))::INT AS position FROM issues QUALIFY position <= 100""",
+    "connections_first": _GRAPH + "SELECT path, inbound, outbound, row_number() OVER (ORDER BY path)::INT AS position FROM degrees QUALIFY position <= 100",
     "page_words": f"SELECT page_id, coalesce(len(regexp_extract_all(body, {_WORDS})), 0)::INT AS n_words FROM acquisitions",
     "capture_markers": f"SELECT capture_id, {_MARKS} FROM capture_outcomes WHERE markdown IS NOT NULL",
     "capture_status": f"{_GATES_TABLE} SELECT capture_id, verdict FROM ({_STATUS})",

@@ -39,14 +39,17 @@ def follow_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_index(notes: DataFrame, index: str, checkpoint: str, on_batch: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Appends chunks of new and changed notes to the index, a batch at a time; a batch written twice is the same files.
+    """Adds chunks of new and changed notes to the index, a part a batch, as :func:`vellum.operators.search.current` reads it.
 
-    Removed notes are found by comparing with a listing (:func:`vellum.operators.search.index_diff`).
+    A batch that is written again replaces its part, or is a newer one after a restart: readers
+    take a note's newest. Removed notes are found by comparing with a listing
+    (:func:`vellum.operators.search.index_diff`).
     """
+    first = search.next_part(notes.sparkSession, index)
 
     def write(batch: DataFrame, number: int) -> None:
         parts = search.chunks(batch.dropDuplicates(["path", "content"]))
-        parts.write.mode("overwrite").parquet(f"{index}/batch={number}")
+        search.write_part(parts, index, first + number)
         if on_batch:
             on_batch(parts)
 
