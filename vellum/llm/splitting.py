@@ -158,28 +158,30 @@ def pieces(df: DataFrame, id_col: str, text_col: str, known: list[Profile]) -> D
         F.array(F.lit(0)).cast("array<int>"),
         lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
     )
+    rows = cuts(df, id_col, text_col, known).select("row_id", "profile_id", unit.alias("unit"), overlap.alias("overlap"), ends.alias("ends"), "text")
     tokens = F.regexp_extract_all("text", F.lit(rf"^[{BLANK}]*[^{BLANK}]+[{BLANK}]*|[^{BLANK}]+[{BLANK}]*"), F.lit(0))
-    rows = cuts(df, id_col, text_col, known).select(
-        "row_id", "profile_id", unit.alias("unit"), overlap.alias("overlap"), ends.alias("ends"), "text"
+    # code points of four bytes each, bytes, or words: a slice is found by its place and not by walking from the start
+    octets = F.when(F.col("unit") == "bytes", F.encode("text", "UTF-8")).when(F.col("unit") == "chars", F.encode("text", "UTF-32"))
+    rows = rows.select("row_id", "profile_id", "unit", "overlap", "ends", F.when(F.col("unit") == "words", tokens).alias("words"), octets.alias("octets"))
+    # pieces are made inside of the row; only they leave it, not the text
+    made = F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), _piece)
+    rows = rows.select("row_id", "profile_id", F.posexplode(made).alias("piece_no", "p"))
+    return rows.select("row_id", "profile_id", "piece_no", "p.start_pos", "p.n_units", "p.piece")
+
+
+def _piece(cut: Column, i: Column) -> Column:
+    """The piece from a cut on, with the overlap before it, to the next cut."""
+    stop = F.get("ends", i + 1)
+    start = F.greatest(cut - F.col("overlap"), F.lit(0))
+    # an overlap that would begin inside a character begins after it
+    torn = F.length(F.regexp_extract(F.decode(F.substring(F.col("octets"), start + 1, F.lit(3)), "ISO-8859-1"), r"^[\x{80}-\x{BF}]+", 0))
+    skipped = F.when(F.col("unit") == "bytes", torn).otherwise(0)
+    text = (
+        F.when(F.col("unit") == "bytes", F.decode(F.substring(F.col("octets"), start + skipped + 1, stop - start - skipped), "UTF-8"))
+        .when(F.col("unit") == "chars", F.decode(F.substring(F.col("octets"), start * 4 + 1, (stop - start) * 4), "UTF-32"))
+        .otherwise(F.array_join(F.slice("words", start + 1, stop - start), ""))
     )
-    rows = rows.withColumns({
-        "bytes": F.when(F.col("unit") == "bytes", latin(F.col("text"))),
-        "tokens": F.when(F.col("unit") == "words", tokens),
-    })
-    rows = rows.select("*", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("piece_no", "cut"))
-    rows = rows.withColumns({
-        "start_pos": F.greatest(F.col("cut") - F.col("overlap"), F.lit(0)),
-        "stop": F.expr("ends[piece_no + 1]"),
-    })
-    n = F.col("stop") - F.col("start_pos")
-    cut_bytes = F.regexp_replace(F.substr("bytes", F.col("start_pos") + 1, n), r"^[\x{80}-\x{BF}]+", "")
-    piece = (
-        F.when(F.col("unit") == "chars", F.substr("text", F.col("start_pos") + 1, n))
-        .when(F.col("unit") == "bytes", F.decode(F.encode(cut_bytes, "ISO-8859-1"), "UTF-8"))
-        .otherwise(F.array_join(F.slice("tokens", F.col("start_pos") + 1, n), ""))
-    )
-    kept = F.when(F.col("unit") == "bytes", F.length(cut_bytes)).otherwise(n)
-    return rows.select("row_id", "profile_id", "piece_no", (F.col("stop") - kept).alias("start_pos"), kept.alias("n_units"), piece.alias("piece"))
+    return F.struct((start + skipped).alias("start_pos"), (stop - start - skipped).alias("n_units"), text.alias("piece"))
 
 
 def _known(spark: SparkSession, folder: str) -> list[Profile]:
