@@ -84,3 +84,12 @@ def test_query_without_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     assert lg.p9_found(spark, str(tmp_path)).count() == 0
+
+
+def test_a_language_that_labels_bring(spark, tmp_path):
+    """Documents labelled in a fourteenth language get its prototype; a label too rare for one is let stand."""
+    finnish = ["tämä on suomenkielinen teksti joka kertoo pitkästä talvesta ja lyhyestä kesästä järven rannalla", "vanha talo seisoo mäellä ja sen ikkunat näkyvät kauas merelle kun ilta tulee", "lapset juoksevat pihalla ja koira haukkuu heidän perässään koko aamun ajan"]
+    english = ["this is a text that tells of the long winter and the short summer by the lake", "the old house stands on the hill and its windows are seen from far out at sea", "children run in the yard and the dog barks after them all through the morning"]
+    rows = [(i, finnish[i % 3] + f" {i}", "fi") for i in range(30)] + [(100 + i, english[i % 3] + f" {i}", "en") for i in range(30)] + [(200, finnish[0], None), (201, english[1], "fi"), (202, finnish[1], "et")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in lg.p9_found(spark, str(tmp_path)).collect()) == [(200, 0, "fi"), (201, 0, "en")]

@@ -13,7 +13,8 @@ paragraph differs from its document's main language where its own evidence leads
 ``SWITCH``; a document with such a paragraph is mixed, and each of its paragraphs gets the
 best of the languages found in it. The confidence is a logistic curve over the lead of the
 best evidence over the next. Null, empty and letterless texts have no language and give no
-row. Ties go to the language first in the alphabet. Repeated rows each come out.
+row. Ties go to the language first in the alphabet. Languages are those that labels name: the usual ones
+however rare, any other with ``LABELLED`` documents; a label of a rarer one is let stand. Repeated rows each come out.
 """
 
 from __future__ import annotations
@@ -45,6 +46,14 @@ LANGUAGES = {
     "sv": ("swe", "swedish", "svenska"),
     "uk": ("ukr", "ukrainian", "українська"),
 }
+#: Other two-letter codes of languages (fixed values, ISO 639-1).
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy dv dz ee el eo et eu fa ff fi fj fo fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is iu "
+    "jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nn no nr nv ny oc oj om or os pa pi ps qu rm rn ro rw sa sc sd se sg si sk sl sm sn so "
+    "sq sr ss st su sw ta te tg th ti tk tl tn to tr ts tt tw ty ug ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+#: Labelled documents that one of those needs to have a prototype.
+LABELLED = 20
 DIMENSION = 2048
 #: Lead of evidence by which a paragraph leaves its document's main language; evidence a text needs to have one.
 SWITCH, LEAST = 1.25, 0.5
@@ -86,7 +95,7 @@ def label_code(label: Column) -> Column:
     base = F.split_part(F.regexp_replace(plain, "_", "-"), F.lit("-"), F.lit(1))
     codes = {x: code for code, names in LANGUAGES.items() for x in (code, *names)}
     known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    return F.coalesce(known[plain], known[base])
+    return F.coalesce(known[plain], known[base], F.when(base.isin(CODES), base))
 
 
 def paragraphs(text: str) -> list[str]:
@@ -263,6 +272,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, label: Column) -> l
     rows = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), label.alias("code"))
     rows = rows.filter(F.col("code").isNotNull() & F.length("text").between(40, TRAIN_CHARS))
     counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}  # a row a language
+    counts = {code: n for code, n in counts.items() if code in LANGUAGES or n >= LABELLED}
     draw, chosen = F.pmod("h", F.lit(1 << 30)), F.lit(False)
     for code, n in counts.items():
         chosen |= (F.col("code") == code) & (draw < int(min(1.0, 3 * TRAIN_DOCS / n) * (1 << 30)))
@@ -296,17 +306,20 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", label_code(F.col("lang")).alias("label"))
     labelled = training_rows(docs, "doc_id", "text", F.col("label"))
     if not labelled:
-        schema = "doc_id bigint, para_no int, lang string, confidence double, label string"
+        schema = "doc_id bigint, para_no int, lang string, confidence double, label string, judged boolean"
         return spark.createDataFrame([], schema)
-    return languages(docs, "doc_id", "text", fitted(labelled), "label").withColumnRenamed("row_id", "doc_id")
+    known = sorted({code for code, _ in labelled})
+    # a label of a language without a prototype cannot be told wrong
+    docs = docs.withColumn("judged", F.col("label").isNull() | F.col("label").isin(known))
+    return languages(docs, "doc_id", "text", fitted(labelled), "label", "judged").withColumnRenamed("row_id", "doc_id")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without a right label (para_no 0) and the paragraphs of mixed documents."""
-    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    wrong = F.col("label").isNull() | (F.col("judged") & (F.col("label") != F.col("lang")))
     return _judged(spark, folder).filter((F.col("para_no") > 0) | wrong).select("doc_id", "para_no", "lang")
 
 
 def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's language, and every paragraph's of mixed ones, with confidence."""
-    return _judged(spark, folder).drop("label")
+    return _judged(spark, folder).drop("label", "judged")
