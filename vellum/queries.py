@@ -632,6 +632,36 @@ _COUNTS = "[" + ", ".join(f"((length(t) - length(replace(t, '{w}', ''))) / {len(
 _SEMANTIC = f""", said AS (SELECT path, lower(concat_ws(' ', title, summary)) AS t FROM live), v AS (SELECT path, {_COUNTS} AS e FROM said WHERE t <> ''),
 hits AS (SELECT path, CASE WHEN list_sum(e) > 0 THEN list_cosine_similarity(e, [{", ".join(str(float(w in ("harbor", "catalog", "glossary"))) for w in VECTOR_WORDS)}]::DOUBLE[]) ELSE 0.0 END AS score FROM v ORDER BY round(score, 9) DESC, path LIMIT 20)
 """
+#: Blocks of pages whose printed lines are a fragment each.
+_LAYOUT = _BODY + r""", sized AS (
+  SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08
+), levels AS (SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS lvl FROM sized
+), lines AS (
+  SELECT pdf_id, page_no, trim(regexp_replace(text, '[ \t]+', ' ', 'g')) AS text, font_size, bold, top_pt AS top, left_pt AS l, top_pt + height_pt AS bottom, floor(font_size * 2 + 0.5) / 2 AS size FROM f
+), keyed AS (
+  SELECT *, trim(regexp_replace(regexp_replace(lower(text), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS margin FROM lines WHERE text <> ''
+), paged AS (SELECT pdf_id, count(DISTINCT page_no) AS pages FROM keyed GROUP BY 1
+), margins AS (
+  SELECT pdf_id, margin FROM keyed JOIN paged USING (pdf_id) WHERE (top <= 842 * 0.06 OR bottom >= 842 * 0.94) AND length(text) <= 160 AND margin <> ''
+  GROUP BY pdf_id, margin, pages HAVING count(DISTINCT page_no) >= greatest(3, ceil(pages * 0.4))
+), kept AS (
+  SELECT k.*, body_size, lvl, top - lag(top) OVER (PARTITION BY pdf_id, page_no ORDER BY top, l) AS gap
+  FROM keyed k JOIN bodies USING (pdf_id) LEFT JOIN levels USING (pdf_id, size) WHERE NOT EXISTS (SELECT 1 FROM margins m WHERE m.pdf_id = k.pdf_id AND m.margin = k.margin)
+), steps AS (SELECT pdf_id, page_no, list_sort(list(gap))[(count(*) // 2 + 1)::INT] AS step FROM kept WHERE gap > 0 GROUP BY ALL
+), stepped AS (
+  SELECT k.*, coalesce(step, greatest(1.0, body_size * 1.4)) AS step, font_size > body_size * 1.08 AS larger, regexp_extract(text, '^(?:[•●◦▪▫‣⁃*-]|\d{1,4}[.)]|[a-zA-Z][.)])\s+(.+)$', 1) AS item FROM kept k LEFT JOIN steps USING (pdf_id, page_no)
+), headed AS (
+  SELECT *, length(text) <= 240 AND (larger OR (bold AND length(text) <= 180 AND coalesce(gap, 1e9) >= step * 1.45)) AS heading FROM stepped
+), named AS (
+  SELECT *, CASE WHEN heading THEN 'heading' WHEN item <> '' THEN 'list-item' ELSE 'paragraph' END AS k, CASE WHEN heading THEN CASE WHEN larger THEN lvl ELSE 2 END END AS level,
+    CASE WHEN NOT heading AND item <> '' THEN trim(item) ELSE text END AS said FROM headed
+), fresh AS (
+  SELECT *, (k <> 'paragraph' OR coalesce(lag(k) OVER w, '') <> 'paragraph' OR gap IS NULL OR gap >= step * 1.55)::INT AS starts FROM named WINDOW w AS (PARTITION BY pdf_id, page_no ORDER BY top, l)
+), numbered AS (SELECT *, sum(starts) OVER (PARTITION BY pdf_id, page_no ORDER BY top, l ROWS UNBOUNDED PRECEDING)::BIGINT AS block_no FROM fresh
+), blocks AS (
+  SELECT pdf_id, page_no, block_no, min(k) AS kind, min(level) AS level, trim(regexp_replace(string_agg(said, ' ' ORDER BY top, l), '\s+', ' ', 'g')) AS text FROM numbered GROUP BY ALL
+)
+"""
 _BM25 = f"""
 WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
 q AS (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term), tf AS (SELECT doc_id, dl, term, len([t for t in terms if t = term])::DOUBLE AS tf FROM n, q),
@@ -752,6 +782,11 @@ SELECT * FROM (VALUES
 ) v(thread_id, ordinal, entry_id, parent_id, relation, tree_depth, kind, reason, handle, created_at, title, text, likes, replies, media)""",
     "pdf_body_sizes": "WITH " + _BODY + " SELECT * FROM bodies",
     "pdf_heading_levels": "WITH " + _BODY + ", s AS (SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08) SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS level FROM s",
+    "pdf_layout": "WITH " + _LAYOUT + "SELECT pdf_id, page_no, block_no, kind, level, text FROM blocks",
+    "pdf_markdown": "WITH " + _LAYOUT + r""", shown AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY block_no) = 1 THEN '<!-- page ' || page_no || ' -->' || chr(10) || chr(10) ELSE '' END
+    || CASE kind WHEN 'heading' THEN repeat('#', coalesce(level, 2)) || ' ' || text WHEN 'list-item' THEN '- ' || text ELSE text END AS shown FROM blocks
+) SELECT pdf_id, (sum(length(shown)) + 2 * (count(*) - 1))::INT AS n_chars FROM shown GROUP BY 1""",
     "pdf_margins": "WITH " + _FRAGMENTS + r""", l AS (
   SELECT pdf_id, page_no, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS margin FROM f
   WHERE (top_pt <= 842 * 0.06 OR top_pt + height_pt >= 842 * 0.94) AND length(text) <= 160
