@@ -372,6 +372,35 @@ def redacted_texts(spark, folder):
     return rows.filter("r.count > 0").select("tbl", "row_id", "r.text", "r.count")
 
 
+#: What extractors and pages give: number, platform, extractor, HTML or text, description, image.
+CAPTURED = (
+    (1, "x", "twitter", '<p>a</p><hr><p>b</p><hr class="x"><div class="comment first">c</div><DIV CLASS=comment>d</DIV>', None, "https://u:p@i.test/a(1).png?k=1#x"),
+    (2, "reddit", "reddit", "<div class='a comment'>c</div><div class='comments'>no</div><divx class='comment'>", None, "ftp://i.test/a"),
+    (3, "generic", "article", "<div class='comment'>c</div>", None, None),
+    (4, "x", None, "Join X now to read replies on this post", None, "https://i.test/b.png"),
+    (5, "x", None, "Log in Sign up", None, None), (6, "generic", None, "Log in Sign up", None, None), (7, "generic", None, "Please sign in to continue to the page", None, None),
+    (8, "x", None, "Intro one two # three end", "one\ntwo\n# three", None), (9, "x", None, "no match here", "a\nb", None), (10, "x", None, "a *b* c <d>", "a *b*\r\nc <d>", None),
+)
+
+
+def capture_rules(spark, folder):
+    """Items, gates, restored lines and inert images of captured pages."""
+    rows = spark.createDataFrame(CAPTURED, "n int, platform string, extractor string, content string, description string, image string")
+    c = F.col
+    return rows.select(
+        "n", captures.conversation_items(c("content"), c("extractor"), c("platform")).alias("items"), captures.access_gate(c("content"), c("platform")).alias("gate"),
+        captures.restored_lines(c("content"), c("description")).alias("restored"), captures.inert_image(c("image")).alias("image"),
+    )
+
+
+def thread_extractions(spark, folder):
+    """Threads as extractions: their text's size, items captured and expected, and status."""
+    entries = _entries(spark, folder)
+    texts = threads.rendered(threads.linked(entries))
+    rows = threads.thread_counts(entries).join(texts, "thread_id")
+    return rows.select("thread_id", "captured", "expected", "status", F.length("markdown").alias("n_chars"), captures.word_count(F.col("markdown")).alias("n_words"))
+
+
 def content_dedupe(spark, folder):
     """Documents by content: the first of each text and how many there are."""
     rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -507,7 +536,7 @@ QUERIES = {
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, issues_first, connections_first, bm25_topk, bm25_indexed, search_semantic, search_live,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
-        capture_quality, page_best_candidate, capture_manifests, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
+        capture_quality, page_best_candidate, capture_manifests, capture_rules, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
@@ -673,6 +702,15 @@ _LAYOUT = _BODY + r""", sized AS (
   SELECT pdf_id, page_no, block_no, min(k) AS kind, min(level) AS level, trim(regexp_replace(string_agg(said, ' ' ORDER BY top, l), '\s+', ' ', 'g')) AS text FROM numbered GROUP BY ALL
 )
 """
+_RENDERED = "WITH RECURSIVE " + _ENTRIES + r""", placed AS (
+  SELECT e.*, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
+  UNION ALL SELECT e.*, depth + 1 FROM placed t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id
+), lines AS (
+  SELECT thread_id, repeat('  ', least(coalesce(depth, 0), 64)) || CASE WHEN relation = 'quote' THEN '> ' ELSE '- ' END || '**' || coalesce(author_name, handle, 'unknown') || '**: '
+    || CASE WHEN kind = 'content' THEN regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', ' ', 'g') WHEN kind = 'more' THEN '_more replies_' ELSE '_unavailable' || coalesce(': ' || reason, '') || '_' END AS line
+  FROM (SELECT * FROM placed UNION ALL SELECT e.*, 0 FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.thread_id = e.thread_id AND p.entry_id = e.entry_id)) q
+)
+"""
 _BM25 = f"""
 WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, terms, len(terms) AS dl FROM d WHERE len(terms) > 0),
 q AS (SELECT unnest(string_split('{BM25_QUERY}', ' ')) AS term), tf AS (SELECT doc_id, dl, term, len([t for t in terms if t = term])::DOUBLE AS tf FROM n, q),
@@ -771,14 +809,19 @@ SELECT *, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured
   SELECT thread_id, entry_id, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
   UNION ALL SELECT e.thread_id, e.entry_id, depth + 1 FROM tree t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id
 ) SELECT thread_id, max(depth)::INT AS depth, count(*) AS n_entries FROM tree GROUP BY 1""",
-    "thread_render": "WITH RECURSIVE " + _ENTRIES + r""", placed AS (
-  SELECT e.*, 0 AS depth FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM first_entries p WHERE p.thread_id = e.thread_id AND p.entry_id = e.parent_id)
-  UNION ALL SELECT e.*, depth + 1 FROM placed t JOIN first_entries e ON e.thread_id = t.thread_id AND e.parent_id = t.entry_id
-), lines AS (
-  SELECT thread_id, repeat('  ', least(coalesce(depth, 0), 64)) || CASE WHEN relation = 'quote' THEN '> ' ELSE '- ' END || '**' || coalesce(author_name, handle, 'unknown') || '**: '
-    || CASE WHEN kind = 'content' THEN regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*', ' ', 'g') WHEN kind = 'more' THEN '_more replies_' ELSE '_unavailable' || coalesce(': ' || reason, '') || '_' END AS line
-  FROM (SELECT * FROM placed UNION ALL SELECT e.*, 0 FROM first_entries e WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.thread_id = e.thread_id AND p.entry_id = e.entry_id)) q
-) SELECT thread_id, count(*)::INT AS n_lines, (sum(length(line)) + count(*) - 1)::INT AS n_chars FROM lines GROUP BY 1""",
+    "thread_render": _RENDERED + "SELECT thread_id, count(*)::INT AS n_lines, (sum(length(line)) + count(*) - 1)::INT AS n_chars FROM lines GROUP BY 1",
+    "thread_extractions": _RENDERED + """, c AS (
+  SELECT thread_id, count(*) FILTER (kind = 'content') AS n_content, count(*) FILTER (kind IN ('content', 'unavailable')) AS captured, count(*) FILTER (kind = 'more') AS n_more,
+    coalesce(sum(replies) FILTER (kind = 'content' AND parent_id IS NULL), 0)::BIGINT AS declared FROM first_entries GROUP BY 1
+), t AS (SELECT thread_id, (sum(length(line)) + count(*) - 1)::INT AS n_chars, sum(len(regexp_extract_all(line, """ + _WORDS + """)))::INT AS n_words FROM lines GROUP BY 1)
+SELECT thread_id, captured, greatest(captured, declared + 1) AS expected, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured < greatest(captured, declared + 1) THEN 'partial' ELSE 'complete' END AS status, n_chars, n_words
+FROM c JOIN t USING (thread_id)""",
+    "capture_rules": r"""
+SELECT * FROM (VALUES
+  (1, 3, false, '<p>a</p><hr><p>b</p><hr class="x"><div class="comment first">c</div><DIV CLASS=comment>d</DIV>', 'https://i.test/a%281%29.png'), (2, 1, false, '<div class=''a comment''>c</div><div class=''comments''>no</div><divx class=''comment''>', NULL),
+  (3, NULL, false, '<div class=''comment''>c</div>', NULL), (4, NULL, true, 'Join X now to read replies on this post', 'https://i.test/b.png'), (5, NULL, true, 'Log in Sign up', NULL), (6, NULL, false, 'Log in Sign up', NULL),
+  (7, NULL, true, 'Please sign in to continue to the page', NULL), (8, NULL, false, 'Intro one' || chr(10) || 'two' || chr(10) || '\# three end', NULL), (9, NULL, false, 'no match here', NULL), (10, NULL, false, 'a \*b\*' || chr(10) || 'c &lt;d&gt;', NULL)
+) v(n, items, gate, restored, image)""",
     "thread_parse": """
 SELECT * FROM (VALUES
   ('x-wrapped', 0, '1', NULL, 'root', 0, 'content', NULL, 'al', '2026-07-21T10:00:00.000Z', 'Long form', 'Root', 3, 1, '[{"kind":"video","url":"https://v.test/v.mp4"}]'),
