@@ -33,7 +33,7 @@ def test_layout(spark):
         (2, "paragraph", None, "after it."), (3, "paragraph", None, ("Third page only. " + "x" * 400)[:30]),
     ]
     text = pdf.markdown(pdf.layout_blocks(lines)).first().markdown
-    assert text.startswith("<!-- page 1 -->\n\n## Chapter One\n\nFirst line") and "- another item" in text and text.count("<!-- page") == 3
+    assert text.startswith("<!-- pdf-page: 1 -->\n\n## Chapter One\n\nFirst line") and "- another item" in text and text.count("<!-- pdf-page") == 3
 
 
 def test_rows_columns_and_spaces(spark):
@@ -62,3 +62,25 @@ def test_recognised_words(spark):
 def test_half_points(spark):
     got = spark.createDataFrame([(9.74,), (9.75,), (10.24,), (10.25,)], "s double").select(pdf.half_points(F.col("s")).alias("h")).collect()
     assert [r.h for r in got] == [9.5, 10.0, 10.0, 10.5]
+
+
+def test_documents_have_frontmatter(spark):
+    facts = [("d", 'A "title"', "d.pdf", "s", None, 3, "2026-01-01", "complete", "Me", None, None), ("e", None, "My file.PDF", "t", "https://e.test/", 1, "2026-01-01", "partial", None, None, None)]
+    names = "pdf_id string, title string, filename string, sha256 string, source_url string, pages int, clipped string, status string, author string, subject string, created string"
+    bodies = spark.createDataFrame([("d", "Body.")], "pdf_id string, markdown string")
+    got = {r.pdf_id: r.markdown for r in pdf.documents(spark.createDataFrame(facts, names), bodies).collect()}
+    assert got["d"].startswith('---\ntitle: "A \\"title\\""\nsource: "source.pdf"\n') and 'author: "Me"\n---\n\n# A "title"\n\n[Open the source PDF](source.pdf)\n\nBody.\n' in got["d"]
+    assert 'title: "My file"' in got["e"] and 'source_url: "https://e.test/"' in got["e"] and "author" not in got["e"] and got["e"].endswith("(source.pdf)\n")
+
+
+def test_rows_by_least_top(spark):
+    """Lines that fall slowly are rows of their own: the distance counts from the row's least top."""
+    rows = [(1, 100.0 + 1.5 * k, 50.0, 30.0, 10.0, 10.0, False, f"t{k}") for k in range(6)]
+    assert [r.row_no for r in pdf.with_rows(fragments(spark, rows)).orderBy("fragment_id").collect()] == [1, 1, 2, 2, 3, 3]
+
+
+def test_images_of_unknown_type(spark):
+    found = pdf.image_candidates(spark.createDataFrame([("d", 1, 0, b"no image"), ("d", 2, 0, None)], "pdf_id string, page_no int, place int, content binary"))
+    assert [r.image_id for r in found.collect()] == [None, None] and found.filter("warning IS NOT NULL").count() == 2
+    notes = spark.createDataFrame([], "image_id string, kind string, method string, markdown string, platform string")
+    assert pdf.resolved_images(found, notes).count() == 0

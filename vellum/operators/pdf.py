@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.functions.text import image_type
 from vellum.session import written
 
 #: A list item's mark (fixed value).
@@ -137,18 +138,106 @@ def layout_blocks(lines: DataFrame, page_height: float = 842.0) -> DataFrame:
     )
 
 
+def inline(text: Column) -> Column:
+    """Text that Markdown shows as it is, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"([\\`*_\[\]{}<>#])", r"\\$1"), r"\s+", " "))
+
+
 def markdown(blocks: DataFrame) -> DataFrame:
-    """``(pdf_id, markdown)``: a document is one file, so its blocks meet in one row."""
+    """``(pdf_id, markdown, n_headings, n_texts)``: a document is one file, so its blocks meet in one row.
+
+    A block of kind ``image`` brings its Markdown (:func:`image_markdown`) as its text.
+    """
     shown = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(2))), F.lit(" "), F.col("text")))
-        .when(F.col("kind") == "list-item", F.concat(F.lit("- "), F.col("text")))
-        .when(F.col("kind") == "image", F.lit("![image]()"))
-        .otherwise(F.col("text"))
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(2), F.least(F.lit(6), F.coalesce("level", F.lit(2))))), F.lit(" "), inline(F.col("text"))))
+        .when(F.col("kind") == "list-item", F.concat(F.lit("- "), inline(F.col("text"))))
+        .when(F.col("kind") == "image", F.col("text"))
+        .otherwise(inline(F.col("text")))
     )
     first = F.row_number().over(Window.partitionBy("pdf_id", "page_no").orderBy("block_no")) == 1
-    rows = blocks.withColumn("shown", F.concat(F.when(first, F.concat(F.lit("<!-- page "), F.col("page_no"), F.lit(" -->\n\n"))).otherwise(""), shown))
+    rows = blocks.withColumn("shown", F.concat(F.when(first, F.concat(F.lit("<!-- pdf-page: "), F.col("page_no"), F.lit(" -->\n\n"))).otherwise(""), shown))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "block_no", "shown")))
-    return rows.groupBy("pdf_id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n\n").alias("markdown"))
+    return rows.groupBy("pdf_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n\n").alias("markdown"),
+        F.count_if(F.col("kind") == "heading").alias("n_headings"), F.count_if(F.col("kind").isin("paragraph", "list-item")).alias("n_texts"),
+    )
+
+
+def documents(facts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``(pdf_id, markdown)`` with frontmatter: ``facts`` are one row a document, ``bodies`` as of :func:`markdown`."""
+
+    def quoted(name: str) -> Column:
+        text = F.col(name)
+        for plain, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            text = F.replace(text, F.lit(plain), F.lit(shown))
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    named = F.nullif(F.trim(F.regexp_replace("filename", r"(?i)\.pdf$", "")), F.lit(""))
+    facts = facts.withColumn("title", F.coalesce("title", named, F.col("pdf_id")))
+    lines = {
+        "title": quoted("title"), "source": F.lit('"source.pdf"'), "source_type": F.lit('"pdf"'), "source_original_filename": quoted("filename"), "source_sha256": quoted("sha256"), "source_url": quoted("source_url"),
+        "pages": F.col("pages").cast("string"), "clipped": quoted("clipped"), "capture_status": quoted("status"), "capture_method": F.lit('"poppler"'), "author": quoted("author"), "description": quoted("subject"), "created": quoted("created"),
+    }
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()])  # what is null is left out
+    text = F.concat(F.lit("---\n"), head, F.lit("\n---\n\n# "), inline(F.col("title")), F.lit("\n\n[Open the source PDF](source.pdf)\n\n"), F.coalesce("markdown", F.lit("")))
+    return facts.join(bodies.select("pdf_id", "markdown"), "pdf_id", "left").select("pdf_id", F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n")).alias("markdown"))
+
+
+# --- images -----------------------------------------------------------------
+
+
+def image_candidates(images: DataFrame) -> DataFrame:
+    """Images ``(pdf_id, page_no, place, content)`` with their id, hash, size and type; of an unknown type there is a warning and no id."""
+    sha, kind = F.sha2("content", 256), image_type(F.col("content"))
+    name = F.concat(F.lit("page-"), F.col("page_no"), F.lit("-image-"), F.col("place") + 1, F.lit("-"), F.substring(sha, 1, 12))
+    return images.select(
+        *[c for c in images.columns if c != "content"], F.when(kind.isNotNull(), name).alias("image_id"), sha.alias("sha256"), F.octet_length("content").alias("n_bytes"), kind.alias("extension"),
+        F.when(kind.isNull(), F.concat(F.lit("Skipped an unsupported generated image on page "), F.col("page_no"), F.lit("."))).alias("warning"),
+    )
+
+
+def resolved_images(candidates: DataFrame, notes: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Each image by its note ``(image_id, kind, method, markdown, platform)``, else by what was recognised in it, else unclassified.
+
+    ``words`` as of :func:`ocr_words`; text of too few or doubtful words leaves the image visual.
+    """
+    rows = candidates.filter("image_id IS NOT NULL").join(notes.select("image_id", F.col("kind").alias("said_kind"), F.col("method").alias("said_method"), F.col("markdown").alias("said"), "platform"), "image_id", "left")
+    method, kind, text = F.coalesce("said_method", F.lit("manual")), F.col("said_kind"), F.when(F.col("said_kind") != "visual", F.col("said")).otherwise("")
+    if words is None:
+        other = (F.lit("unclassified"), F.lit("visual"), F.lit(""), F.lit(None).cast("double"))
+    else:
+        lines = ocr_lines(words).groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block", "paragraph", "line_no", "text"))), lambda x: x["text"]), "\n").alias("read"))
+        rows = rows.join(ocr_quality(words).select("image_id", "confidence", "substantive"), "image_id", "left").join(lines, "image_id", "left")
+        sound = F.coalesce("substantive", F.lit(False))
+        other = (F.lit("tesseract"), F.when(sound, "text").otherwise("visual"), F.when(sound, F.col("read")).otherwise(""), F.col("confidence"))
+    noted = kind.isNotNull()
+    out = {"method": F.when(noted, method).otherwise(other[0]), "kind": F.when(noted, kind).otherwise(other[1]), "markdown": F.when(noted, text).otherwise(other[2]), "confidence": F.when(~noted, other[3])}
+    kept = [c for c in candidates.columns if c not in out]
+    rows = rows.select(*kept, "platform", *[v.alias(k) for k, v in out.items()])
+    return rows.withColumn("word_count", F.when(F.col("markdown") == "", 0).otherwise(F.regexp_count("markdown", F.lit(r"\S+"))))
+
+
+def image_markdown(image: DataFrame) -> DataFrame:
+    """Resolved images with ``shown``: the link to the asset, and the text that the image shows."""
+    alt = inline(F.concat(F.coalesce("platform", F.lit("PDF image")), F.lit(" from page "), F.col("page_no").cast("string")))
+    asset = F.concat(F.lit("assets/"), F.substring("sha256", 1, 16), F.lit("."), F.col("extension"))
+    heading = F.concat(F.lit("#### Text visible in "), F.coalesce(F.concat(inline(F.col("platform")), F.lit(" image")), F.lit("image")))
+    text = F.when(F.col("kind").isin("text", "mixed"), F.concat(F.lit("\n\n"), heading, F.lit("\n\n"), F.trim("markdown"))).otherwise("")
+    return image.withColumn("shown", F.concat(F.lit("!["), alt, F.lit("]("), asset, F.lit(")"), text))
+
+
+def capture_counts(resolved: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``(pdf_id, n_text, n_mixed, n_visual, ocr, n_warnings, status)``: a manifest's figures of images; ``warnings(pdf_id, warning)``."""
+
+    def of(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
+
+    noted, read = F.count_if(F.col("method").isin("agent", "manual")) > 0, F.count_if(F.col("method") == "tesseract") > 0
+    ocr = F.when(noted & read, "mixed").when(noted, "annotations").when(read, "tesseract").otherwise("unavailable").alias("ocr")
+    counts = resolved.groupBy("pdf_id").agg(of("text"), of("mixed"), of("visual"), ocr, F.count_if(F.col("method") == "unclassified").alias("open"))
+    said = warnings.filter("warning IS NOT NULL").groupBy("pdf_id").agg(F.count_distinct("warning").alias("n_warnings"))
+    rows = counts.join(said, "pdf_id", "full_outer").fillna(0, ["n_text", "n_mixed", "n_visual", "open", "n_warnings"]).fillna("unavailable", ["ocr"])
+    return rows.withColumn("status", F.when((F.col("open") > 0) | (F.col("n_warnings") > 0), "partial").otherwise("complete")).drop("open")
 
 
 # --- recognition ------------------------------------------------------------

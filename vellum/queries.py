@@ -490,6 +490,36 @@ def pdf_markdown(spark, folder):
     return pdf.markdown(pdf_layout(spark, folder)).select("pdf_id", F.length("markdown").alias("n_chars"))
 
 
+_PNG = b"\x89PNG\r\n\x1a\n"
+#: Images of PDFs: document, page, place, bytes; their notes by place; and what was read in them, as a table of words.
+IMAGES = (("a", 1, 0, _PNG + b"1"), ("a", 1, 1, _PNG + b"2"), ("a", 2, 0, b"text"), ("b", 1, 0, _PNG + b"3"), ("b", 3, 0, _PNG + b"4"), ("c", 1, 0, _PNG + b"5"))
+NOTED = (("a", 1, 0, "mixed", None, "One *two*", "chat"), ("c", 1, 0, "visual", "agent", "not shown", None))
+READ = (("a", 1, 1, ("96\tQuarterly", "91\tfigures", "88\tof", "90\tharbor")), ("b", 1, 0, ("20\tq", "-1\t", "30\tz")))
+
+
+def pdf_images(spark, folder):
+    """Images of PDFs as notes or recognition tell them, with their Markdown."""
+    rows = pdf.image_markdown(_images(spark)[1])
+    return rows.select("pdf_id", "page_no", "place", "kind", "method", "word_count", F.round("confidence", 3).alias("confidence"), F.regexp_replace("shown", "assets/[0-9a-f]{16}", "assets/x").alias("shown"))
+
+
+def pdf_captures(spark, folder):
+    """What a manifest says of a PDF's images."""
+    candidates, resolved = _images(spark)
+    return pdf.capture_counts(resolved, candidates.select("pdf_id", "warning"))
+
+
+def _images(spark):
+    found = pdf.image_candidates(spark.createDataFrame(IMAGES, "pdf_id string, page_no int, place int, content binary"))
+    names = found.select("pdf_id", "page_no", "place", "image_id")
+    at = ["pdf_id", "page_no", "place"]
+    notes = spark.createDataFrame(NOTED, "pdf_id string, page_no int, place int, kind string, method string, markdown string, platform string").join(names, at)
+    head = "page_num\tblock_num\tpar_num\tline_num\tword_num\tconf\ttext"
+    tsv = [(*place, "\n".join([head, *(f"1\t1\t1\t1\t{k}\t{w}" for k, w in enumerate(words))])) for *place, words in READ]
+    words = pdf.ocr_words(spark.createDataFrame(tsv, "pdf_id string, page_no int, place int, tsv string").join(names, at).select("image_id", "tsv"))
+    return found, pdf.resolved_images(found, notes, words)
+
+
 def _words(spark, folder):
     """Printed lines as recognised words, a confidence by their length."""
     rows = table(spark, folder, "pdf_fragments").filter("text IS NOT NULL")
@@ -537,7 +567,7 @@ QUERIES = {
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, issues_first, connections_first, bm25_topk, bm25_indexed, search_semantic, search_live,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
         capture_quality, page_best_candidate, capture_manifests, capture_rules, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
-        pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
+        pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, pdf_images, pdf_captures, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
 
@@ -856,9 +886,16 @@ SELECT * FROM (VALUES
     "pdf_heading_levels": "WITH " + _BODY + ", s AS (SELECT DISTINCT pdf_id, floor(font_size * 2 + 0.5) / 2 AS size FROM f JOIN bodies USING (pdf_id) WHERE font_size > body_size * 1.08) SELECT pdf_id, size, least(6, row_number() OVER (PARTITION BY pdf_id ORDER BY size DESC) + 1)::INT AS level FROM s",
     "pdf_layout": "WITH " + _LAYOUT + "SELECT pdf_id, page_no, block_no, kind, level, text FROM blocks",
     "pdf_markdown": "WITH " + _LAYOUT + r""", shown AS (
-  SELECT *, CASE WHEN row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY block_no) = 1 THEN '<!-- page ' || page_no || ' -->' || chr(10) || chr(10) ELSE '' END
-    || CASE kind WHEN 'heading' THEN repeat('#', coalesce(level, 2)) || ' ' || text WHEN 'list-item' THEN '- ' || text ELSE text END AS shown FROM blocks
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY pdf_id, page_no ORDER BY block_no) = 1 THEN '<!-- pdf-page: ' || page_no || ' -->' || chr(10) || chr(10) ELSE '' END
+    || CASE kind WHEN 'heading' THEN repeat('#', coalesce(level, 2)) || ' ' WHEN 'list-item' THEN '- ' ELSE '' END || trim(regexp_replace(regexp_replace(text, '([\\\\`*_\[\]{}<>#])', '\\\1', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS shown FROM blocks
 ) SELECT pdf_id, (sum(length(shown)) + 2 * (count(*) - 1))::INT AS n_chars FROM shown GROUP BY 1""",
+    "pdf_images": r"""
+SELECT * FROM (VALUES ('a', 1, 0, 'mixed', 'manual', 2, NULL::DOUBLE, '![chat from page 1](assets/x.png)' || chr(10) || chr(10) || '#### Text visible in chat image' || chr(10) || chr(10) || 'One *two*'),
+  ('a', 1, 1, 'text', 'tesseract', 4, 92.375, '![PDF image from page 1](assets/x.png)' || chr(10) || chr(10) || '#### Text visible in image' || chr(10) || chr(10) || 'Quarterly figures of harbor'),
+  ('b', 1, 0, 'visual', 'tesseract', 0, 25.0, '![PDF image from page 1](assets/x.png)'), ('b', 3, 0, 'visual', 'tesseract', 0, NULL, '![PDF image from page 3](assets/x.png)'), ('c', 1, 0, 'visual', 'agent', 0, NULL, '![PDF image from page 1](assets/x.png)')
+) v(pdf_id, page_no, place, kind, method, word_count, confidence, shown)""",
+    "pdf_captures": """
+SELECT * FROM (VALUES ('a', 1, 1, 0, 'mixed', 1, 'partial'), ('b', 0, 0, 2, 'tesseract', 0, 'complete'), ('c', 0, 0, 1, 'annotations', 0, 'complete')) v(pdf_id, n_text, n_mixed, n_visual, ocr, n_warnings, status)""",
     "pdf_margins": "WITH " + _FRAGMENTS + r""", l AS (
   SELECT pdf_id, page_no, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[ \t]+', ' ', 'g'))), '\d+', '#', 'g'), '\s+', ' ', 'g')) AS margin FROM f
   WHERE (top_pt <= 842 * 0.06 OR top_pt + height_pt >= 842 * 0.94) AND length(text) <= 160
