@@ -67,6 +67,8 @@ _STRAY = r"|¦^~\\`"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _CODE = re.compile(r"\S*\d[:/.-]\S*")
 _CUT = re.compile(rf"([^\W_]+)([-¬=‐\xad])[\s{_STRAY}·]*$")
+_CUTS, _AFTER_CUT = frozenset("-¬=‐\xad"), " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0|¦^~\\`·"
+_NEXT = re.compile(rf"[\s{_STRAY}]*([^\W_]+)(?: ([^\W\d_]+))?")
 _ROMAN = re.compile(r"(?:x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _NUMBER = re.compile(r"(?<![\w])[\dlIO|]*\d[\dlIO]*(?!\w)")
 _DIGIT_OF = str.maketrans("lI|OoSZBGgq", "11100528699")
@@ -236,8 +238,10 @@ def _corrected(word: str, rights: dict[str, list[str]]) -> set[str]:
 
 def cut_word(line: str, following: str | None, known: Vocabulary) -> tuple[str, str] | None:
     """The halves of a word cut at the line's end, or None; a compound at its own hyphen is none."""
+    if line.rstrip(_AFTER_CUT)[-1:] not in _CUTS:
+        return None
     m = _CUT.search(line)
-    n = re.match(rf"[\s{_STRAY}]*([^\W_]+)(?: ([^\W\d_]+))?", following) if m and following else None
+    n = _NEXT.match(following) if m and following else None
     if not m or m.group(1).isdigit():
         return None
     a, mark = m.group(1), m.group(2)
@@ -262,7 +266,7 @@ def misread(line: str, known: Vocabulary, skip_first: str | None, skip_last: str
     text = _SET_OFF.sub(" ", line) if furniture else line  # a mark may set a page number off
     if _MARKS.search(text) or ("·" in text and _DOT.search(text)):
         return True
-    if all(w in known.sound or w.isdigit() for w in _TOKEN.findall(text.casefold())):
+    if all(w.isdigit() for w in set(_TOKEN.findall(text.casefold())).difference(known.sound)):
         return False
     text = _CODE.sub(lambda m: " " * len(m.group()), text)
     words = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
