@@ -283,42 +283,29 @@ def disclosing(rows: DataFrame) -> DataFrame:
     terms = written(_roles(rows), "author-terms")
     counts = _counts(rows.select("text"), terms)
     seen = counts.filter("kind = 'seen'").select(F.col("a").alias("term"), F.col("n").alias("seen"))
-    pairs = counts.filter("kind = 'pair'").select(F.col("a").alias("given"), F.col("b").alias("family"), "n")
+    ends = [F.struct(F.lit(r).alias("role"), F.col(c).alias("term"), F.lit(o).alias("other_role"), F.col(d).alias("other")) for r, c, o, d in (("given", "a", "family", "b"), ("family", "b", "given", "a"))]
+    sides = counts.filter("kind = 'pair'").select("n", F.inline(F.array(*ends))).filter("term != ''")
+    initial = rows.sparkSession.createDataFrame([("given", "")], "other_role string, other string")
 
-    def of(known: DataFrame, role: str) -> DataFrame:
-        return known.filter(F.col("role") == role).select(F.col("term").alias(role))
-
-    def partnered(known: DataFrame, role: str) -> DataFrame:
-        """``(term, beside)`` for terms that stand in ``role`` beside verified terms of the other."""
-        other = "family" if role == "given" else "given"
-        firm = of(known, other)
-        if other == "given":
-            firm = firm.unionByName(firm.sparkSession.createDataFrame([("",)], "given string"))
-        named = pairs.filter("given != ''") if role == "given" else pairs
-        return named.join(firm, other, "left_semi").groupBy(F.col(role).alias("term")).agg(F.sum("n").alias("beside"))
+    def partnered(known: DataFrame) -> DataFrame:
+        """``(role, term, beside)``: how often terms stand in a role beside verified terms of the other, or an initial."""
+        firm = known.select(F.col("role").alias("other_role"), F.col("term").alias("other")).unionByName(initial)
+        return sides.join(firm, ["other_role", "other"], "left_semi").groupBy("role", "term").agg(F.sum("n").alias("beside"))
 
+    own = written(terms.join(partnered(terms), ["role", "term"], "left").join(seen, "term", "left"), "term-counts")
     words = seen.agg(F.sum("seen")).first()[0] or 0
-    beside = {role: partnered(terms, role).join(of(terms, role).withColumnRenamed(role, "term"), "term", "left_semi") for role in ("given", "family")}
-    standing = beside["family"].agg(F.sum("beside")).first()[0] or 0
+    standing = own.filter("role = 'family'").agg(F.sum("beside")).first()[0] or 0
     # how many of all words stand in names: the context's own information
     usual = min(max(2 * standing, 1) / max(words, 1), 0.5)
 
-    def disclosure(of_terms: DataFrame, add: float) -> DataFrame:
+    def disclosing_terms(counted: DataFrame, add: float) -> DataFrame:
         share = F.least((F.coalesce("beside", F.lit(0)) + add) / (F.coalesce("seen", F.lit(0)) + 1), F.lit(1.0))
-        return of_terms.join(seen, "term", "left").select("term", (1 - F.ln(share) / float(np.log(usual))).alias("disclosure"))
+        return counted.filter(1 - F.ln(share) / float(np.log(usual)) >= DISCLOSURE).select("role", "term")
 
-    own = [
-        disclosure(of(terms, r).withColumnRenamed(r, "term").join(beside[r], "term", "left"), 0.5).filter(F.col("disclosure") >= DISCLOSURE).select(F.lit(r).alias("role"), "term")
-        for r in ("given", "family")
-    ]
-    accepted = written(own[0].unionByName(own[1]), "name-terms")
-    titles = counts.filter("kind = 'before'").select(F.col("a").alias("term"))
-    strange = []
-    for role in ("given", "family"):
-        rest = partnered(accepted, role).filter("term != ''").join(of(terms, role).withColumnRenamed(role, "term"), "term", "left_anti")
-        rest = rest.join(titles, "term", "left_anti") if role == "given" else rest
-        strange.append(disclosure(rest, 0.0).filter(F.col("disclosure") >= DISCLOSURE).select(F.lit(role).alias("role"), "term"))
-    return accepted.unionByName(strange[0]).unionByName(strange[1])
+    accepted = written(disclosing_terms(own, 0.5), "accepted-terms")
+    titles = counts.filter("kind = 'before'").select(F.lit("given").alias("role"), F.col("a").alias("term"))
+    strangers = partnered(accepted).join(terms.unionByName(titles), ["role", "term"], "left_anti").join(seen, "term", "left")
+    return accepted.unionByName(disclosing_terms(strangers, 0.0))
 
 
 _CANDIDATES = T.StructType(
@@ -422,11 +409,11 @@ def personal_values(df: DataFrame, id_col: str, text_col: str, handle_col: str,
     values = written(numbered.mapInArrow(run, schema), "personal-values")
     plain = values.filter("kind != 'name'")
     plain = plain.join(_spread(plain, rows), ["kind", "value"], "left_anti")
-    # what the bitmap let pass is verified against the terms themselves
+    # what the bitmap let pass is verified against the terms themselves; terms are distinct, so no join repeats a row
     named = values.filter("kind = 'name'")
     for column, role in (("family", "family"), ("given", "given"), ("second", "family")):
-        firm = terms.filter(F.col("role") == role).select(F.col("term").alias(column))
-        named = named.filter(F.col(column).isNull()).unionByName(named.filter(F.col(column).isNotNull()).join(firm, column, "left_semi").select(named.columns))
+        firm = terms.filter(F.col("role") == role).select(F.col("term").alias(column), F.lit(True).alias("firm"))
+        named = named.join(firm, column, "left").filter(F.col(column).isNull() | F.col("firm")).drop("firm")
     return plain.select("row_id", "field_name", "kind", "start_pos", "end_pos").unionByName(_separate(named))
 
 
