@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum import session
-from vellum.functions import redaction, urls
+from vellum.functions import media, network, pdftools, redaction, text, urls
 from vellum.operators import assets, captures, graph, pdf, pipeline, references, search, threads, traverse
 from vellum.operators import notes as note_ops
 from vellum.plans import query as plans
@@ -401,6 +402,34 @@ def thread_extractions(spark, folder):
     return rows.select("thread_id", "captured", "expected", "status", F.length("markdown").alias("n_chars"), captures.word_count(F.col("markdown")).alias("n_words"))
 
 
+#: The scalar functions that texts go through, by name; what they give is shown as text.
+SCALARS = {
+    "yaml": text.yaml_string, "bounded": lambda x: text.bounded(x, 4), "utf8_bounded": lambda x: text.utf8_bounded(x, 9, "…"), "utf8_prefix": lambda x: text.utf8_prefix(x, 2), "first_line": lambda x: text.first_line(x, 10),
+    "escaped": text.escaped_markdown, "bytes": lambda x: str(text.byte_size(x)), "iso": text.iso_time, "shown": redaction.shown, "shown_line": lambda x: redaction.shown(x, line=True),
+    "private_address": lambda x: str(network.is_private_address(x)), "private_host": lambda x: str(network.is_private_host(x)), "cookies": lambda x: ";".join(f"{c.name}={c.value}" for c in network.parse_cookies(x, "h.test")),
+    "captions": lambda x: media.parse_captions(x).markdown, "new_words": lambda x: media.new_words(*x.split("|")), "outcome": media.media_outcome, "facts": lambda x: pdftools.parse_facts(x)["title"], "slug": urls.slug,
+    "handle": search.path_handle, "literal": lambda x: json.dumps(plans.typed_literal(x)), "comment": threads.comment_markdown, "section": graph.section_title, "catalog_text": lambda x: graph.safe_text(x, 40), "epoch": lambda x: threads.epoch(float(x)),
+}
+SAID = (
+    ("yaml", 'a"b\n'), ("bounded", "abcdef"), ("bounded", "ab"), ("utf8_bounded", "é" * 10), ("utf8_prefix", "aé"), ("first_line", " one\ntwo"), ("escaped", "*a* <b>"), ("bytes", "25mb"), ("bytes", " 7 "), ("iso", "2024-01-02T03:04:05+02:00"), ("iso", "x"),
+    ("shown", "a\x1b[31mb\x1b[0m\tc\r\nd"), ("shown_line", "a\nb"), ("private_address", "10.1.2.3"), ("private_address", "8.8.8.8"), ("private_address", "::ffff:10.0.0.1"), ("private_host", "printer.lan."), ("private_host", "example.org"),
+    ("cookies", "a=1; b=2; a=3"), ("cookies", "__Host-a=1; ok=2; b ad=3"), ("captions", "WEBVTT\n\n00:01.000 --> 00:02.000\n<c>hello</c> &amp; there\n\n00:02.500 --> 00:03.000\nthere you\n"), ("new_words", "a b c|b c d"), ("new_words", "a b|a b"),
+    ("outcome", "ERROR: Unsupported URL: x"), ("outcome", "boom"), ("facts", "Title: a: b\nPages: 3"), ("slug", "It's a Test, of Ⅳ!"), ("handle", "My Notes/Hello World.md"), ("literal", "1e3"), ("literal", "'x'"), ("literal", "true"), ("literal", "draft"),
+    ("comment", "One<p>Two <i>soft</i> &amp; <a href=\"https://e.test/\">l</a>"), ("section", "my-folder"), ("catalog_text", "a|b <!-- c --> [[d]]"), ("epoch", "0"), ("epoch", "-1"),
+)
+
+
+def scalar_functions(spark, folder):
+    """What scalar functions make of some texts."""
+
+    @F.pandas_udf("string")
+    def applied(names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([SCALARS[n](t) for n, t in zip(names, texts, strict=True)], dtype=object)
+
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(SAID)], "n int, name string, said string")
+    return rows.select("n", "name", applied("name", "said").alias("given"))
+
+
 def content_dedupe(spark, folder):
     """Documents by content: the first of each text and how many there are."""
     rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -566,7 +595,7 @@ QUERIES = {
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, issues_first, connections_first, bm25_topk, bm25_indexed, search_semantic, search_live,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
-        capture_quality, page_best_candidate, capture_manifests, capture_rules, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
+        capture_quality, page_best_candidate, capture_manifests, capture_rules, scalar_functions, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, pdf_images, pdf_captures, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
@@ -846,6 +875,12 @@ SELECT *, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured
 ), t AS (SELECT thread_id, (sum(length(line)) + count(*) - 1)::INT AS n_chars, sum(len(regexp_extract_all(line, """ + _WORDS + """)))::INT AS n_words FROM lines GROUP BY 1)
 SELECT thread_id, captured, greatest(captured, declared + 1) AS expected, CASE WHEN n_content = 0 THEN 'unsupported' WHEN n_more > 0 OR captured < greatest(captured, declared + 1) THEN 'partial' ELSE 'complete' END AS status, n_chars, n_words
 FROM c JOIN t USING (thread_id)""",
+    "scalar_functions": """
+SELECT * FROM (VALUES (0, 'yaml', '"a\\"b\\n"'), (1, 'bounded', 'abc…'), (2, 'bounded', 'ab'), (3, 'utf8_bounded', 'ééé…'), (4, 'utf8_prefix', 'a'), (5, 'first_line', 'one'), (6, 'escaped', '\\*a\\* &lt;b&gt;'), (7, 'bytes', '26214400'), (8, 'bytes', '7'),
+  (9, 'iso', '2024-01-02T01:04:05.000Z'), (10, 'iso', NULL), (11, 'shown', 'ab    c' || chr(10) || 'd'), (12, 'shown_line', 'a b'), (13, 'private_address', 'True'), (14, 'private_address', 'False'), (15, 'private_address', 'True'),
+  (16, 'private_host', 'True'), (17, 'private_host', 'False'), (18, 'cookies', 'a=3;b=2'), (19, 'cookies', 'ok=2'), (20, 'captions', '- [00:01] hello & there' || chr(10) || '- [00:02] you' || chr(10)), (21, 'new_words', 'd'), (22, 'new_words', NULL),
+  (23, 'outcome', 'unsupported'), (24, 'outcome', 'failed'), (25, 'facts', 'a: b'), (26, 'slug', 'its-a-test-of-iv'), (27, 'handle', 'my-notes/hello-world.md'), (28, 'literal', '1000'), (29, 'literal', '"x"'), (30, 'literal', 'true'), (31, 'literal', '"draft"'),
+  (32, 'comment', 'One' || chr(10) || chr(10) || 'Two *soft* & [l](<https://e.test/>)'), (33, 'section', 'My Folder'), (34, 'catalog_text', 'a — b ‹!-- c --› d'), (35, 'epoch', '1970-01-01T00:00:00.000Z'), (36, 'epoch', NULL)) v(n, name, given)""",
     "capture_rules": r"""
 SELECT * FROM (VALUES
   (1, 3, false, '<p>a</p><hr><p>b</p><hr class="x"><div class="comment first">c</div><DIV CLASS=comment>d</DIV>', 'https://i.test/a%281%29.png'), (2, 1, false, '<div class=''a comment''>c</div><div class=''comments''>no</div><divx class=''comment''>', NULL),
