@@ -419,6 +419,26 @@ SAID = (
 )
 
 
+#: Plain captures of an address: number, status, scope, platform, words, mode, browser asked for, stopped at a limit.
+PLAIN = (
+    (1, "complete", "page", "generic", 100, "auto", False, False), (2, "complete", "page", "generic", 59, "auto", False, False), (3, "partial", "page", "generic", 900, "auto", False, False), (4, None, "page", "generic", None, "auto", False, False),
+    (5, "complete", "page", "generic", 100, "browser", False, False), (6, None, "page", "generic", None, "http", True, False), (7, "complete", "page", "generic", 100, "auto", True, False), (8, "complete", "comments", "reddit", 500, "auto", False, False),
+    (9, "complete", "comments", "hacker-news", 500, "auto", False, False), (10, "partial", "comments", "hacker-news", 500, "auto", False, True), (11, "partial", "thread", "bluesky", 500, "auto", False, False), (12, "complete", "page", "instagram", 500, "auto", False, False),
+)
+
+
+def browser_needed(spark, folder):
+    """Which addresses a browser should try after their plain captures."""
+    rows = spark.createDataFrame(PLAIN, "n int, status string, scope string, platform string, words int, mode string, wanted boolean, bounded boolean")
+    return rows.select("n", captures.escalate_to_browser(*map(F.col, ("status", "scope", "platform", "words", "mode", "wanted", "bounded"))).alias("browser"))
+
+
+def capture_attempts(spark, folder):
+    """The log of lanes of each page: its first three captures."""
+    rows = captures.attempts(table(spark, folder, "capture_outcomes").filter("page_id IS NOT NULL"), "page_id", "capture_id", 3)
+    return rows.select("page_id", "ordinal", "method", "outcome", "message")
+
+
 def scalar_functions(spark, folder):
     """What scalar functions make of some texts."""
 
@@ -595,7 +615,7 @@ QUERIES = {
         note_parse, note_links, tag_counts, list_equals, list_number, list_exists, list_tags_all, list_sort_mixed, list_most_linked, link_kinds, edges, backlinks,
         degrees, graph_issues, issue_candidates, orphans, mentions, graph_summary, catalog_sections, neighborhood_out_d2, neighborhood_out_d3, issues_first, connections_first, bm25_topk, bm25_indexed, search_semantic, search_live,
         posting_counts, vector_topk, index_changes, search_hits, url_classify, capture_slugs, page_words, page_titles, capture_markers, capture_status,
-        capture_quality, page_best_candidate, capture_manifests, capture_rules, scalar_functions, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
+        capture_quality, page_best_candidate, capture_manifests, capture_rules, browser_needed, capture_attempts, scalar_functions, thread_extractions, page_extract, capture_documents, redacted_texts, content_dedupe, thread_counts, thread_depths, thread_render, thread_parse, pdf_body_sizes,
         pdf_heading_levels, pdf_margins, pdf_layout, pdf_markdown, pdf_images, pdf_captures, ocr_quality, ocr_lines, events_tumbling, events_sliding, events_sessions,
     )
 } | {"p6_found": references.p6_found, "p6_report": references.p6_report}
@@ -881,6 +901,10 @@ SELECT * FROM (VALUES (0, 'yaml', '"a\\"b\\n"'), (1, 'bounded', 'abc…'), (2, '
   (16, 'private_host', 'True'), (17, 'private_host', 'False'), (18, 'cookies', 'a=3;b=2'), (19, 'cookies', 'ok=2'), (20, 'captions', '- [00:01] hello & there' || chr(10) || '- [00:02] you' || chr(10)), (21, 'new_words', 'd'), (22, 'new_words', NULL),
   (23, 'outcome', 'unsupported'), (24, 'outcome', 'failed'), (25, 'facts', 'a: b'), (26, 'slug', 'its-a-test-of-iv'), (27, 'handle', 'my-notes/hello-world.md'), (28, 'literal', '1000'), (29, 'literal', '"x"'), (30, 'literal', 'true'), (31, 'literal', '"draft"'),
   (32, 'comment', 'One' || chr(10) || chr(10) || 'Two *soft* & [l](<https://e.test/>)'), (33, 'section', 'My Folder'), (34, 'catalog_text', 'a — b ‹!-- c --› d'), (35, 'epoch', '1970-01-01T00:00:00.000Z'), (36, 'epoch', NULL)) v(n, name, given)""",
+    "browser_needed": "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, true), (5, true), (6, false), (7, true), (8, true), (9, false), (10, false), (11, true), (12, true)) v(n, browser)",
+    "capture_attempts": """
+SELECT page_id, capture_id AS ordinal, acquisition_method AS method, CASE WHEN status = 'complete' THEN 'ok' ELSE status END AS outcome, CASE WHEN status <> 'complete' THEN 'capture was ' || status END AS message
+FROM capture_outcomes WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY capture_id) <= 3""",
     "capture_rules": r"""
 SELECT * FROM (VALUES
   (1, 3, false, '<p>a</p><hr><p>b</p><hr class="x"><div class="comment first">c</div><DIV CLASS=comment>d</DIV>', 'https://i.test/a%281%29.png'), (2, 1, false, '<div class=''a comment''>c</div><div class=''comments''>no</div><divx class=''comment''>', NULL),
