@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -188,7 +187,7 @@ def bm25_topk(spark, folder):
 
 def bm25_indexed(spark, folder):
     """The same query over a written index, of which only the terms' folders are read."""
-    place = f"{session.ensure_checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    place = session.scratch(spark, "bm25")
     search.write_postings(table(spark, folder, "documents"), "doc_id", "text", place)
     return search.bm25_indexed(spark, place, BM25_QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
 

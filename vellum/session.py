@@ -46,14 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there.
 
     The table is new at every call and removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = scratch(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
